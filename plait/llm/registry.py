@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plait.llm import dac, licenses, packing, quality, toxicity
+from plait.llm import dac, licenses, mixing, packing, quality, site_trees, toxicity, urls
 from plait.llm.shared import table
 
 
@@ -16,10 +16,18 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
+
+
 def op3_token_dac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_trees.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels.where(~toxicity.held_out("doc_id")))
@@ -27,6 +35,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -37,8 +49,11 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_mixing": op2_mixing,
     "op3_token_dac": op3_token_dac,
+    "op5_main_text": op5_main_text,
     "op7_toxicity": op7_toxicity,
+    "op8_url_filter": op8_url_filter,
     "op9_packing": op9_packing,
     "op10_licenses": op10_licenses,
 }

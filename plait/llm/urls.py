@@ -1,0 +1,131 @@
+"""URL filters (operator 8): rules, then logistic regression on hashed character n-grams of host and path.
+
+The model is trained from a small labelled table, which is a parameter (fixed values below by default): its size,
+not the pages', bounds the training.  Rules fit a host and its subdomains and a beginning of the path; the longest wins.
+
+* null urls and urls without ``://`` have an empty host and path: no rule, and the model judges two empty strings.
+* ties between rules of one length go to the first by code point; null ids are kept; repeated rows get the same verdict;
+  an empty table gives no rows; extra columns are ignored.
+"""
+
+from __future__ import annotations
+
+import zlib
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Rules as (verdict, host, path).
+RULES = (
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+)
+
+#: The labelled table, one host and path a word; paths say little, as on the web.
+BLOCKED = """
+casino-royal.example.com/en/1 win-casino.example.net/fr/77 www.casino-slots.example.org/de/4 mycasino.example.com/en/92.html
+cheap-meds.example.com/en/3 pills-online.example.net/es/18 www.cheap-viagra.example.org/en/500 buy-pills.example.com/de/61
+bets-today.example.com/en/7 free-betting.example.net/en/12/ sport-bets.example.org/fr/5 www.free-spins.example.com/es/81
+adult-video.example.com/en/44 adult-chat.example.net/de/9 xxx-adult.example.org/en/15 m.adult-cams.example.com/fr/3
+spam-links.example.com/en/20 link-farm.example.net/en/33 farm-spam.example.org/es/2 blog.spam-mail.example.com/en/87
+ads-server.example.com/en/10 track-ads.example.net/fr/41 ads-click.example.org/en/6 m.track-user.example.com/de/55
+porn-tube.example.com/en/13 xxx-tube.example.net/en/71 payday-loans.example.org/en/24 fast-loans.example.com/es/8
+poker-jackpot.example.com/en/30 slots-win.example.net/de/16 win-lottery.example.org/en/2.html www.win-prize.example.com/fr/19
+replica-watch.example.com/en/4 free-cracks.example.net/en/58 warez-keys.example.org/de/23 torrent-free.example.com/en/66
+blog.casino-tips.example.org/en/17 blog.adult-dating.example.com/es/38 blog.win-casino.example.com/fr/62 m.slots-casino.example.net/en/91
+blog.pills-shop.example.net/de/29 blog.betting-odds.example.org/en/70 blog.ads-network.example.com/en/84 www.adult-x-clips.example.net/en/53
+"""
+ALLOWED = """
+news.example.com/en/1 www.weather.example.net/fr/77 library.example.org/de/4 museum.example.com/en/92.html
+blog.gardening.example.com/en/3 m.history.example.net/es/18 www.university.example.org/en/500 recipes.example.com/de/61
+school.example.com/en/7 citycouncil.example.net/en/12/ science.example.org/fr/5 www.travel.example.com/es/81
+music.example.com/en/44 blog.anthem.example.net/de/9 theatre.example.org/en/15 m.thunder.example.com/fr/3
+hospital.example.com/en/20 journal.example.net/en/33 www.northern.example.org/es/2 blog.bright.example.com/en/87
+wiki.example.com/en/10 docs.example.net/fr/41 ththing.example.org/en/6 m.tionthe.example.com/de/55
+tionate.example.com/en/13 thrend.example.net/en/71 theroned.example.org/en/24 erthand.example.com/es/8
+blog.tionary.example.com/en/30 thatten.example.net/de/16 m.therein.example.org/en/2.html www.thonly.example.com/fr/19
+painting.example.com/en/4 philosophy.example.net/en/58 www.letters.example.org/de/23 seaside.example.com/en/66
+en.wikipedia.org/wiki/Logic docs.python.org/3/library www.bbc.co.uk/news/world city.gov/water/bills stanford.edu/about arxiv.org/abs/1
+weather.gov/maps nature.com/articles/9 openstreetmap.org/way/12 gutenberg.org/ebooks/77 who.int/health/en nps.gov/parks
+blog.readers.example.net/en/80 blog.winter.example.org/fr/16 blog.mountain.example.com/es/4 blog.stories.example.net/en/29
+blog.astronomy.example.org/en/12 m.bakery.example.net/fr/31 kitchen.example.com/de/90 orchestra.example.net/es/47
+"""
+LABELLED = tuple((u, 1) for u in BLOCKED.split()) + tuple((u, 0) for u in ALLOWED.split())
+
+
+def url_part(url: Column, pattern: str) -> Column:
+    return F.coalesce(F.regexp_extract(F.coalesce(url, F.lit("")), pattern, 1), F.lit(""))
+
+
+def host_and_path(url: Column) -> tuple[Column, Column]:
+    host = F.translate(url_part(url, r"^(?s).*?://([^/?#]*)"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return host, url_part(url, r"^(?s).*?://[^/?#]*([^?#]*)")
+
+
+def longest_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
+    """(rule, verdict) of the longest rule that fits, null if none does."""
+    name, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for v, h, p in sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]), reverse=True):
+        fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
+        name, verdict = F.when(fits, h + p).otherwise(name), F.when(fits, v).otherwise(verdict)
+    return name, verdict
+
+
+def ngrams(host: str, path: str, sizes=(3, 4, 5), buckets: int = 1 << 14) -> np.ndarray:
+    """Distinct hashed character n-grams of ``^host$`` and ``^path$``, told apart."""
+    out = set()
+    for mark, s in (("h", f"^{host}$"), ("p", f"^{path}$")):
+        for n in sizes:
+            for i in range(max(1, len(s) - n + 1)):
+                out.add(zlib.crc32((mark + s[i : i + n]).encode("utf-8", "surrogatepass")) % buckets)
+    return np.fromiter(sorted(out), "i8")
+
+
+@lru_cache(maxsize=4)
+def train(labelled=LABELLED, buckets: int = 1 << 14, ridge: float = 0.02, steps: int = 1500) -> tuple[np.ndarray, float]:
+    """Weights and bias: gradient descent on the ridge-penalised logistic loss; rows have unit length."""
+    rows = [(ngrams(*_cut(u), buckets=buckets), y) for u, y in labelled]
+    w, bias = np.zeros(buckets), 0.0
+    for _ in range(steps):
+        g, gb = ridge * w / len(rows), 0.0
+        for at, y in rows:
+            e = (1 / (1 + np.exp(-(w[at].sum() / np.sqrt(len(at)) + bias))) - y) / len(rows)
+            g[at] += e / np.sqrt(len(at))
+            gb += e
+        w, bias = w - 4.0 * g, bias - 1.0 * gb
+    return w, bias
+
+
+def _cut(u: str) -> tuple[str, str]:
+    host, slash, path = u.partition("/")
+    return host, slash + path
+
+
+def probability(host: str, path: str, model: tuple[np.ndarray, float]) -> float:
+    w, bias = model
+    at = ngrams(host, path, buckets=len(w))
+    return float(1 / (1 + np.exp(-(w[at].sum() / np.sqrt(len(at)) + bias))))
+
+
+def judge(pages: DataFrame, rules=RULES, labelled=LABELLED, threshold: float = 0.5) -> DataFrame:
+    """page_id, host, path, rule, verdict and the model's score of every page's url.  No shuffle."""
+    host, path = host_and_path(F.col("url").cast("string"))
+    kind = pages.schema["page_id"].dataType.simpleString()
+    rows = pages.select("page_id", host.alias("host"), path.alias("path"))
+
+    def scored(batches):
+        model = train(labelled)
+        for b in batches:
+            p = [probability(h, x, model) for h, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], names=["page_id", "host", "path", "score"])
+
+    out = rows.mapInArrow(scored, f"page_id {kind}, host string, path string, score double")
+    rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
+    by_model = F.when(F.col("score") >= threshold, "block").otherwise("allow")
+    return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_model).alias("verdict"), "score")
