@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plait.llm import dac, licenses, mixing, packing, quality, site_trees, toxicity, urls
+from plait.llm import dac, licenses, mixing, near_dups, packing, quality, site_trees, toxicity, urls
 from plait.llm.shared import table
 
 
@@ -28,6 +28,10 @@ def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_trees.extract(table(spark, sf_dir, "pages"))
 
 
+def op6_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels.where(~toxicity.held_out("doc_id")))
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_token_dac": op3_token_dac,
     "op5_main_text": op5_main_text,
+    "op6_near_dups": op6_near_dups,
     "op7_toxicity": op7_toxicity,
     "op8_url_filter": op8_url_filter,
     "op9_packing": op9_packing,
