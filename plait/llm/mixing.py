@@ -147,3 +147,17 @@ def mix(docs: DataFrame, pattern: tuple[float, ...] = (5, 2, 1), max_sources: in
     copies = F.col("whole") + F.when(rank <= F.col("extra"), 1).otherwise(0)
     out = full.withColumn("copies", F.when(F.col("size") == 0, F.lit(1)).otherwise(copies).cast("long"))
     return out.select("doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "rate")
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as the mix takes it."""
+    names = docs.columns
+    plan = mix(docs, **options).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("_total"), F.count("*").alias("_n"))
+    plan = plan.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "_total", "_n")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("doc_id").cast("long").alias("_d"), F.col("source").cast("string").alias("_s"), n_words(F.col("text").cast("string")).alias("_z"))
+    on = packed["_d"].eqNullSafe(plan["_d"]) & packed["_s"].eqNullSafe(plan["_s"]) & (packed["_z"] == plan["_z"])
+    full = packed.join(plan, on).select("_row", packed["_d"], packed["_s"], packed["_z"], "_total", "_n")
+    rank = F.row_number().over(Window.partitionBy("_d", "_s", "_z").orderBy(F.lit(0)))  # over 1 only for repeated rows
+    times = F.floor(F.col("_total") / F.col("_n")) + F.when(rank <= F.col("_total") % F.col("_n"), 1).otherwise(0)
+    out = full.withColumn("_times", times.cast("int")).where("_times > 0")
+    return out.select("_row", F.explode(F.array_repeat(F.lit(1), F.col("_times")))).select("_row.*")

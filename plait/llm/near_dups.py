@@ -169,11 +169,20 @@ def attach(rows: DataFrame, named: DataFrame) -> DataFrame:
     return out.select("doc_id", "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.coalesce("_hot_class", "class_id")).alias("class_id"))
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The columns of ``docs``, one document of each class: that whose id names the class (of repeated rows, one)."""
-    kept = classes(docs, **options).where("doc_id <=> class_id").select("doc_id").distinct()
-    names = docs.columns
-    whole = docs.join(kept.withColumnRenamed("doc_id", "_kept"), docs["doc_id"].cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    return whole.select(*names)
-
-
+def one_of_each(docs: DataFrame, max_broadcast: int = 2_000_000, **options) -> DataFrame:
+    """The rows of ``docs``, all columns, one of each class: that whose id names the class (of repeated rows, one).
+
+    Only ids that go are joined to the texts: by broadcast up to ``max_broadcast`` of them, else by a shuffled join."""
+    spare = "_gone_" + "_".join(docs.columns)[:40]
+    found = written(classes(docs, max_broadcast=max_broadcast, **options).groupBy("doc_id", "node").agg(F.first("class_id").alias("class_id"), F.count("*").alias("n")), "found")
+    keys = [F.col("doc_id").alias(f"{spare}_d"), F.col("node").alias(f"{spare}_n")]
+    gone = found.where("not (doc_id <=> class_id)").select(*keys)
+    again = found.where("doc_id <=> class_id and n > 1 and node is not null").select(*keys)
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(f"{spare}_d")) & node_key(docs["text"].cast("string")).eqNullSafe(F.col(f"{spare}_n"))
+    small = lambda x: F.broadcast(x) if x.count() <= max_broadcast else x
+    rest = docs.join(small(gone), same, "left_anti")
+    if again.isEmpty():
+        return rest
+    more = small(again)
+    single = docs.join(more, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return rest.join(more, same, "left_anti").unionByName(single)

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 
 SPACES, SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
+#: Nats an n-gram: good text lies near 0, junk well below -1.
+THRESHOLD = -0.3
 FEATURES = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double"
 
 
@@ -104,31 +106,39 @@ def model(docs: DataFrame, good: DataFrame, n: int = 4, buckets: int = 1 << 15,
     return log_ratios(count_ngrams(marked.select("text", "_trusted"), n, buckets).toLocalIterator(), buckets)
 
 
-def score(docs: DataFrame, ratios: np.ndarray, n: int = 4, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Each document's base figures and length-normalised score; ``keep`` names columns carried along."""
-    buckets = len(ratios)
+def _scores(text: str | None, llr: np.ndarray, n: int) -> tuple:
+    g = ngram_buckets(_bytes(text), n, len(llr))
+    return (*word_features(text), float(llr[g].mean()) if len(g) else 0.0)
+
+
+def score(docs: DataFrame, ratios: np.ndarray, n: int = 4) -> DataFrame:
+    """Each document's base figures and length-normalised score."""
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
-    kept = [F.col(c) for c in keep]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema) if kept else ""
 
     def scored(batches):
-        llr = shared.value
         for b in batches:
-            rows = []
-            for text in b.column(1).to_pylist():
-                g = ngram_buckets(_bytes(text), n, buckets)
-                rows.append((*word_features(text), float(llr[g].mean()) if len(g) else 0.0))
-            cols = list(zip(*rows)) or [()] * 6
+            cols = list(zip(*(_scores(t, shared.value, n) for t in b.column(1).to_pylist()))) or [()] * 6
             names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score"]
-            out = [b.column(0), *(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.float64())]
-            yield pa.RecordBatch.from_arrays(out + [b.column(i) for i in range(2, b.num_columns)], names=names + list(keep))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.float64())], names=names)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"), *kept)
-    return rows.mapInArrow(scored, FEATURES + (", " + kinds if kinds else ""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scored, FEATURES)
 
 
-def judge(docs: DataFrame, good: DataFrame, threshold: float = -0.3, keep: tuple[str, ...] = (), **options) -> DataFrame:
+def judge(docs: DataFrame, good: DataFrame, threshold: float = THRESHOLD, n: int = 4, **options) -> DataFrame:
     """Adds ``base_failed`` and ``kept``: the base rules, then the score against the threshold."""
-    out = score(docs, model(docs, good, **options), options.get("n", 4), keep)
+    out = score(docs, model(docs, good, n, **options), n)
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold))
+
+
+def kept(docs: DataFrame, good: DataFrame, threshold: float = THRESHOLD, n: int = 4, **options) -> DataFrame:
+    """The rows of ``docs``, all columns, that :func:`judge` keeps.  No shuffle of texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(model(docs, good, n, **options))
+    at = docs.columns.index("text")
+
+    def rows(batches):
+        for b in batches:
+            verdicts = (_scores(t, shared.value, n) for t in b.column(at).to_pylist())
+            yield b.filter(pa.array([not base_failed(v[0], v[4]) and v[5] >= threshold for v in verdicts], pa.bool_()))
+
+    return docs.mapInArrow(rows, docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plait.llm import dac, licenses, mixing, near_dups, packing, quality, site_trees, toxicity, urls
+from plait.llm import dac, images, licenses, mixing, near_dups, packing, quality, site_trees, toxicity, urls
 from plait.llm.shared import table
 
 
@@ -24,6 +24,11 @@ def op3_token_dac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op4_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.col("embedding").alias("image"))
+    return images.copies(vectors, images.from_vector)
+
+
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_trees.extract(table(spark, sf_dir, "pages"))
 
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_mixing": op2_mixing,
     "op3_token_dac": op3_token_dac,
+    "op4_image_copies": op4_image_copies,
     "op5_main_text": op5_main_text,
     "op6_near_dups": op6_near_dups,
     "op7_toxicity": op7_toxicity,
