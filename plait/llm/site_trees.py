@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plait.llm.shared import written
+
 #: HTML's element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math object canvas select".split())
@@ -200,7 +202,8 @@ def removed_nodes(trees: DataFrame, threshold: float = 0.3, min_pages: int = 3)
     The groups hold one host's distinct nodes, not its pages.
     """
 
-    def low(nodes: pd.DataFrame) -> pd.DataFrame:
+    def low(table: pa.Table) -> pa.Table:
+        nodes = table.to_pandas()
         imp = importance(nodes)
         leaf = {}  # the most important leaf at or below
         rows = {r.node: r for r in nodes.itertuples()}
@@ -213,16 +216,16 @@ def removed_nodes(trees: DataFrame, threshold: float = 0.3, min_pages: int = 3)
                     leaf[at] = max(leaf.get(at, 0.0), own)
                     at, steps = rows[at].parent, steps + 1
         gone = [n for n, r in rows.items() if r.role < 0 or (leaf.get(n, 0.0) < threshold and imp[n] < threshold) or (r.n_texts and leaf.get(n, 0.0) < threshold)]
-        return pd.DataFrame({"host": [nodes.host.iloc[0]] * len(gone), "node": gone}).astype({"node": "int64"})
+        return pa.table({"host": pa.array([nodes.host.iloc[0]] * len(gone), pa.string()), "node": pa.array(gone, pa.int64())})
 
-    return trees.groupBy("host").applyInPandas(low, "host string, node long")
+    return trees.groupBy("host").applyInArrow(low, "host string, node long")
 
 
 def extract(pages: DataFrame, threshold: float = 0.3, max_broadcast: int = 500_000) -> DataFrame:
     """Each page's main text.  The removed nodes go to the tasks as a broadcast up to ``max_broadcast`` of them; beyond,
     each host's list is joined to its pages with salts, so that a hot host is dealt over many tasks."""
     spark = pages.sparkSession
-    gone = removed_nodes(merged_trees(pages), threshold).persist()
+    gone = written(removed_nodes(merged_trees(pages), threshold), "removed-nodes")
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host_of(F.col("url").cast("string")).alias("host"))
     few = gone.count() <= max_broadcast
     if few:
