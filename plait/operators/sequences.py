@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 
 from plait.functions.columns import clip, occupied
 
-SESSION = Window.partitionBy("game", "pa").orderBy("seq")
-GAME = Window.partitionBy("game").orderBy("pa", "seq")
+
+def in_session():
+    return Window.partitionBy("game", "pa").orderBy("seq")
+
+
+def in_game():
+    return Window.partitionBy("game").orderBy("pa", "seq")
 
 
 def history(rows: DataFrame, fields: list[str], length: int) -> DataFrame:
     """Adds ``hist_<field>_<i>``: the session's last ``length`` values, oldest at 0, missing and null as 0."""
-    new = {f"hist_{f}_{i}": F.coalesce(F.lag(f, length - i).over(SESSION), F.lit(0)) for f in fields for i in range(length)}
+    new = {f"hist_{f}_{i}": F.coalesce(F.lag(f, length - i).over(in_session()), F.lit(0)) for f in fields for i in range(length)}
     return rows.withColumns(new)
 
 
@@ -24,7 +29,7 @@ def last_nonzero(columns: list[str]) -> Column:
 
 def next_state(rows: DataFrame) -> DataFrame:
     """Adds the state after each event within its game: the targets ``y_*``."""
-    nxt = lambda x: F.lead(x).over(GAME)
+    nxt = lambda x: F.lead(x).over(in_game())
     has = nxt("pa").isNotNull()
     base = lambda x: F.coalesce(nxt(occupied(x).cast("int")), F.lit(0))
     return rows.withColumns({
