@@ -15,6 +15,8 @@ With 32 bands of 6 coordinates a pair of similarity 0.8 shares a bucket with pro
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,9 +33,32 @@ def node_key(text) -> F.Column:
     return F.when(F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(text))
 
 
-def signed(docs: DataFrame, bands: int, rows: int, width: int, weighted: bool) -> DataFrame:
-    """doc_id, node and band hashes of every document (no bands without words)."""
-    k = bands * rows
+def sketch_names(k: int) -> list[str]:
+    """Columns of the sketch: four bits of each coordinate, 16 coordinates to a column."""
+    return [f"s{i}" for i in range(k // 16)]
+
+
+def plausible(k: int, threshold: float, a: str = "x_", b: str = "y_") -> F.Column:
+    """Do two sketches agree in as many coordinates as texts of ``threshold`` similarity do, less four deviations?
+
+    A pair right at the threshold is lost three times in a hundred thousand, half as often as by the bands."""
+    names = sketch_names(k)
+    if not names:
+        return F.lit(True)
+    n, p = 16 * len(names), threshold + (1 - threshold) / 16
+    most = math.ceil(n * (1 - p) + 4 * math.sqrt(n * p * (1 - p)))
+    differ = F.lit(0)
+    for c in names:
+        x = F.col(a + c).bitwiseXOR(F.col(b + c))
+        for shift in (2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+        differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return differ <= most
+
+
+def signed(docs: DataFrame, bands: int, rows: int, k: int, width: int, weighted: bool) -> DataFrame:
+    """doc_id, node, band hashes and sketch of every document (no bands without words).  The bands take the first of ``k`` coordinates."""
+    n_sketch = k // 16
 
     def sign(batches):
         hasher = darts.SpanHasher()
@@ -46,101 +71,149 @@ def signed(docs: DataFrame, bands: int, rows: int, width: int, weighted: bool) -
                     to += 1
                 owner, h, times = darts.shingles(texts[at:to], width, hasher)
                 sig = darts.signatures(to - at, owner, h, times.astype("f8") if weighted else np.ones(len(h)), k)
-                flat = pa.array(darts.band_hashes(sig, bands).reshape(-1))
+                flat = pa.array(darts.band_hashes(sig[:, : bands * rows], bands).reshape(-1))
                 has = np.isin(np.arange(to - at), owner)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(has, bands, 0))]), pa.int32()), flat.filter(pa.array(np.repeat(has, bands))))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), b.column(1).slice(at, to - at), lists], names=["doc_id", "node", "bands"])
+                low = (sig[:, : 16 * n_sketch] & 15).astype("u1")
+                sketch = np.ascontiguousarray(low[:, ::2] | low[:, 1::2] << 4).view("<i8")
+                cols = [b.column(0).slice(at, to - at), b.column(1).slice(at, to - at), lists, *(pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(n_sketch))]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "node", "bands", *sketch_names(k)])
                 at = to
 
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), node_key(text).alias("node"), text.alias("text")).mapInArrow(sign, "doc_id long, node long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), node_key(text).alias("node"), text.alias("text")).mapInArrow(sign, "doc_id long, node long, bands array<long>" + "".join(f", {c} long" for c in sketch_names(k)))
+
+
+class ShingleSets:
+    """The shingle sets of a task's latest texts, by node; emptied beyond ``limit`` shingles."""
+
+    def __init__(self, width: int, limit: int = 4_000_000):
+        self.width, self.limit, self.known, self.size, self.hasher = width, limit, {}, 0, darts.SpanHasher()
+
+    def get(self, node: int, text: str) -> tuple[np.ndarray, np.ndarray]:
+        got = self.known.get(node)
+        if got is None:
+            if self.size > self.limit:
+                self.known.clear()
+                self.size = 0
+            got = self.known[node] = darts.shingles([text], self.width, self.hasher)[1:]
+            self.size += len(got[0])
+        return got
+
+
+def jaccard_at_least(a, b, threshold: float, weighted: bool) -> bool:
+    (ha, wa), (hb, wb) = a, b
+    if not weighted:
+        small, large = sorted((len(ha), len(hb)))
+        if small < threshold * large - 1e-9:
+            return False
+        both = len(np.intersect1d(ha, hb, assume_unique=True))
+        union = len(ha) + len(hb) - both
+    else:
+        _, i, j = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
+        both = int(np.minimum(wa[i], wb[j]).sum())
+        union = int(wa.sum() + wb.sum()) - both
+    return union > 0 and both >= threshold * union - 1e-9
 
 
 def similar(pairs: DataFrame, texts: DataFrame, width: int, threshold: float, weighted: bool) -> DataFrame:
     """Those (a, b) whose texts' shingle sets have a Jaccard similarity of ``threshold`` or more."""
 
     def verified(batches):
-        hasher, last, a_set = darts.SpanHasher(), None, None
+        sets = ShingleSets(width)
         for b in batches:
-            hit = []
-            for a, c, ta, tc in zip(*(b.column(i).to_pylist() for i in range(4))):
-                if a != last:
-                    last, a_set = a, darts.shingles([ta], width, hasher)[1:]
-                (ha, wa), (hb, wb) = a_set, darts.shingles([tc], width, hasher)[1:]
-                if not weighted:
-                    both = len(np.intersect1d(ha, hb, assume_unique=True))
-                    union = len(ha) + len(hb) - both
-                else:
-                    _, i, j = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
-                    both = int(np.minimum(wa[i], wb[j]).sum())
-                    union = int(wa.sum() + wb.sum()) - both
-                hit.append(union > 0 and both >= threshold * union - 1e-9)
+            rows = zip(*(b.column(i).to_pylist() for i in range(4)))
+            hit = [jaccard_at_least(sets.get(x, tx), sets.get(y, ty), threshold, weighted) for x, y, tx, ty in rows]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
     full = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     return full.select("a", "b", "text_a", "text_b").mapInArrow(verified, "a long, b long")
 
 
+def light(rows: DataFrame, limit: int = 1_000_000) -> DataFrame:
+    """A written table of two longs a row, hinted for broadcast if its counted rows are at most ``limit`` (16 MB)."""
+    return F.broadcast(rows) if rows.count() <= limit else rows
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) by least labels with pointer jumping; every round is a written table."""
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "links")
+    both = written(edges.select("a", "b").union(edges.select("b", "a")), "links")
     labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "labels")
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("m"))
-        new = labels.join(near, labels["node"] == near["a"]).select("node", F.least("component", "m").alias("component"), F.col("component").alias("was"))
-        up = new.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+        known = light(labels)
+        near = both.join(known, both["b"] == known["node"]).groupBy("a").agg(F.min("component").alias("m"))
+        new = near.join(known, near["a"] == known["node"]).select("node", F.least("component", "m").alias("component"), F.col("component").alias("was"))
+        up = known.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
         new = written(new.join(up, new["component"] == up["_n"]).select("node", F.least("component", "_c").alias("component"), "was"), "labels")
-        if new.where("component <> was").isEmpty():
-            return new.select("node", "component")
         labels = new.select("node", "component")
+        if new.where("component <> was").isEmpty():
+            return labels
 
 
 def _labelled(rows: DataFrame, labels: DataFrame | None, column: str, out: str) -> DataFrame:
     """The component of ``column`` (a node without links is its own)."""
     if labels is None:
         return rows.withColumn(out, F.col(column))
-    side = labels.select(F.col("node").alias(column), F.col("component").alias("_c"))
-    return rows.join(side, column, "left").withColumn(out, F.coalesce("_c", column)).drop("_c")
+    side = light(labels).select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+    return rows.join(side, rows[column] == F.col("_n"), "left").withColumn(out, F.coalesce("_c", column)).drop("_c", "_n")
+
 
+def links(nodes: DataFrame, texts_of, k: int, bands: int, width: int, threshold: float, weighted: bool, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Verified links between distinct texts, and their components.  ``nodes``: node, bands and sketch.
 
-def links(nodes: DataFrame, texts_of, bands: int, width: int, threshold: float, weighted: bool) -> tuple[DataFrame, DataFrame | None]:
-    """Verified links between distinct texts, and their components.  ``nodes``: node, bands."""
+    Each round compares one leader of a bucket with the members of other components.  The first round takes the same
+    leaders everywhere over a quarter of the bands (few distinct pairs link most of a class); later ones draw leaders
+    anew for each bucket, so that every member meets many.  Rounds only shrink what the last step decides exactly:
+    members outside their bucket's largest component are compared with all mates of other components.  Pairs whose
+    sketches cannot belong to similar texts leave inside that join."""
+    sketch = sketch_names(k)
     rows = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
-    order = F.xxhash64("node", F.lit(1))
-    buckets = rows.groupBy("bucket").agg(F.min_by("node", order).alias("leader"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-    members = written(rows.join(buckets.select("bucket", "leader", "n"), "bucket"), "members")
+    full = rows.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket")
+    members = written(rows.join(full, "bucket"), "members")
     texts = written(texts_of(members.select("node").distinct()), "texts")
+    fits = plausible(k, threshold)
     found, labels = None, None
-    pair = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+    side = lambda p: [F.col("node").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in sketch]]
 
     def more(pairs):
         nonlocal found, labels
+        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         new = written(similar(pairs, texts, width, threshold, weighted), "similar")
-        found = new if found is None else found.union(new)
+        found = new if found is None else written(found.union(new), "found")
         labels = components(found)
 
-    # the first bands link most of a class; later leaders then meet only other components
-    for low, high in ((0, bands // 4), (bands // 4, bands)):
-        stars = members.where((F.col("band") >= low) & (F.col("band") < high) & (F.col("node") != F.col("leader"))).select("leader", "node").distinct()
-        stars = _labelled(_labelled(stars, labels, "leader", "c1"), labels, "node", "c2").where("c1 <> c2")
-        more(stars.select(*pair("leader", "node")).distinct())
-    # what is left: bucket mates in different components of which neither leads
-    known = _labelled(_labelled(members.where("n > 2 and node <> leader"), labels, "leader", "lead_c"), labels, "node", "c")
-    known = written(known.select("bucket", "node", "c", "lead_c"), "mates")
-    strays = known.where("c <> lead_c").select("bucket", F.col("node").alias("stray"), F.col("c").alias("stray_c"))
-    rest = strays.join(known, "bucket").where("stray_c <> c and (stray < node or c = lead_c)").select(*pair("stray", "node")).distinct()
-    more(rest)
+    def undecided():
+        """Members with their component, of buckets that hold several."""
+        marked = _labelled(members, labels, "node", "c")
+        open_ = marked.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket")
+        return written(marked.join(open_, "bucket"), "open")
+
+    for r in range(rounds):
+        rows = undecided() if r else members.where(F.col("band") < max(1, bands // 4)).withColumn("c", F.col("node"))
+        order = F.xxhash64("node", "bucket", F.lit(r)) if r else F.xxhash64("node")
+        lead = rows.groupBy("bucket").agg(F.min_by("node", order).alias("x"), F.min_by("c", order).alias("x_c"))
+        more(rows.select("bucket", "c", F.col("node").alias("y")).join(lead, "bucket").where("c <> x_c"))
+    rows = undecided()
+    sizes = rows.groupBy("bucket", "c").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("bucket").agg(F.max_by("c", F.struct("n", "c")).alias("main"))
+    rows = written(rows.join(main, "bucket").join(nodes.select("node", "bands", *sketch), "node"), "mates")
+    strays = rows.where("c <> main").select(F.col("bucket").alias("_b"), F.col("c").alias("x_c"), F.col("bands").alias("x_bands"), *side("x"))
+    mates = rows.select("bucket", "band", "c", "main", "bands", *side("y"))
+    # a pair that shares several buckets is met in the first alone
+    first = F.array_position(F.zip_with("x_bands", "bands", lambda a, b: a == b), True) == F.col("band") + 1
+    more(strays.join(mates, (F.col("_b") == F.col("bucket")) & (F.col("x_c") != F.col("c")) & ((F.col("c") == F.col("main")) | (F.col("x") < F.col("y"))) & fits & first))
     return found, labels
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, bands: int = 32, rows: int = 6, weighted: bool = False, max_broadcast: int = 2_000_000) -> DataFrame:
+def classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, bands: int = 32, rows: int = 6, k: int = 384, weighted: bool = False, max_broadcast: int = 2_000_000) -> DataFrame:
     """doc_id, node and class_id of every document.
 
-    ``weighted`` takes shingles as often as they occur, else once.  Texts of candidates are fetched by a broadcast of
+    ``k`` coordinates make the sketch, ``bands * rows`` of them the bands.  ``weighted`` takes shingles as often as they occur, else once.  Texts of candidates are fetched by a broadcast of
     at most ``max_broadcast`` (node, id) pairs; beyond, by a shuffled join.
     """
-    sigs = written(signed(docs, bands, rows, width, weighted), "signed")
-    reps = written(sigs.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "reps")
+    k = max(k, bands * rows)
+    sigs = written(signed(docs, bands, rows, k, width, weighted), "signed")
+    reps = written(sigs.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"), *[F.first(c).alias(c) for c in sketch_names(k)]), "reps")
 
     def texts_of(wanted):
         want = written(reps.join(wanted, "node").select("node", "rep"), "wanted")
@@ -149,10 +222,11 @@ def classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, bands: int
         all_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), node_key(text).alias("node"), text.alias("text"))
         return all_.join(small, (all_["node"] == small["node"]) & all_["doc_id"].eqNullSafe(small["rep"])).select(all_["node"], "text").dropDuplicates(["node"])
 
-    _, labels = links(reps, texts_of, bands, width, threshold, weighted)
-    grouped = reps.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = grouped.where("component is not null").join(labels.select("component").distinct(), "component", "left_semi").groupBy("component").agg(F.min("rep").alias("class_rep"))
-    named = written(grouped.join(least, "component", "left").select("node", F.coalesce("class_rep", "rep").alias("class_id"), "copies"), "classes")
+    _, labels = links(reps, texts_of, k, bands, width, threshold, weighted)
+    known = light(labels)
+    linked = reps.join(known, "node").groupBy("component").agg(F.min("rep").alias("class_rep"))
+    class_of = light(written(labels.join(linked, "component").select("node", "class_rep"), "class-of"))
+    named = written(reps.join(class_of, "node", "left").select("node", F.coalesce("class_rep", "rep").alias("class_id"), "copies"), "classes")
     return attach(sigs.select("doc_id", "node"), named)
 
 
