@@ -26,7 +26,7 @@ def op3_token_dac(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.col("embedding").alias("image"))
-    return images.copies(vectors, images.from_vector)
+    return images.classes(vectors, images.from_vector)
 
 
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
