@@ -248,5 +248,45 @@ def test_image_copies(spark):
     assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 5, 6: 5, 7: 7, 50: 50, 51: 51}
 
 
+def test_image_matches_are_those_of_brute_force(spark):
+    r = np.random.default_rng(8)
+    words = lambda: r.integers(-(1 << 63), 1 << 63, 4).tolist()
+    pictures = [[words() for _ in range(8)] for _ in range(10)]
+    rows = []
+    for i, k in enumerate([0, 1, 2, 3, 0, 4, 5, 1, 6, 0, 7, 8, 9]):  # copies, with strangers between them in every cell
+        for j, w in enumerate(pictures[k]):
+            rows.append((i, images.packed_place(8 * j, 4 * j, 1.0, 0.5), w[0] ^ 7, *w[1:], [j % 3, 100]))
+    found = spark.createDataFrame(rows, images.FEATURES)
+    near = lambda a, b: sum(((x ^ y) & 0xFFFFFFFFFFFFFFFF).bit_count() for x, y in zip(a[2:6], b[2:6])) <= 16
+    want = sorted((a[0], a[1], b[0], b[1]) for a in rows for b in rows if a[0] < b[0] and set(a[6]) & set(b[6]) and near(a, b))
+    for crowded in (1000, 20):
+        m = images.matches(found, crowded=crowded)
+        assert sorted(map(tuple, m.collect())) == want
+        assert sorted((x.query_id, x.image_id) for x in images.consensus(m).collect()) == [(0, 4), (0, 9), (1, 7), (4, 9)]
+
+
+def test_image_copies_among_strangers_with_default_parameters(spark):
+    r = np.random.default_rng(9)
+    base = [r.normal(size=64).astype("f4") for _ in range(40)]
+    vectors = [v for k, v in enumerate(base) for v in [v, v * (1 + 0.002 * r.normal(size=64)), v * (1 + 0.002 * r.normal(size=64))][: 3 if k % 4 == 0 else 1]]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
+    found = [(i, images.packed_place(*d[:4]), *d[4:], images.cells_of(d[4:])) for i, v in rows for d in images.describe(images.from_vector(v))]
+    bits = np.unpackbits(np.array([f[2:6] for f in found], "<i8").view("u1"), axis=1).astype("i4")
+    cells, ids = np.array([f[6] for f in found]), np.array([f[0] for f in found])
+    far = bits @ (1 - bits).T + (1 - bits) @ bits.T
+    ok = (cells[:, None] == cells[None]).any(axis=2) & (far <= 16) & (ids[:, None] < ids[None])
+    brute = spark.createDataFrame([(int(ids[i]), found[i][1], int(ids[j]), found[j][1]) for i, j in np.argwhere(ok)], "q_image_id long, q_place long, t_image_id long, t_place long").distinct()
+    links = [(x.query_id, x.image_id) for x in images.consensus(brute).collect()]
+    degree = {i: sum(i in pair for pair in links) for i, _ in rows}
+    d = spark.createDataFrame(rows, "image_id long, image array<double>")
+    assert {x.image_id: x.n_links for x in images.classes(d, images.from_vector).collect()} == degree and sum(degree.values()) >= 40
+
+
+def test_corners_grow_with_the_image():
+    a = np.random.default_rng(3).random((64, 64))
+    few, many = images.corners(images.smooth(a), 16), images.corners(images.smooth(np.tile(a, (3, 3))), 16)
+    assert len(few) == 16 and len(many) == 9 * 16
+
+
 def test_words_are_ascii_parted():
     assert re.findall(r"[^\x20\x09-\x0D]+", "a\xa0b c") == ["a\xa0b", "c"] and len(quality.word_features("a\xa0b c")) == 5
