@@ -4,8 +4,10 @@ The DOMs of a host's pages are merged into one tree: a node is a path of tags an
 nodes keep the styles of their children (sequences of tags), content nodes the texts of their blocks, each
 with the number of pages that have it.  From these come entropies: a content node whose texts stand on every
 page of the host, or a presentation node with one style everywhere, tells nothing of a page.  Branches of low
-composite importance are removed from each page; what known roles say (``<nav>``, ``class="ad"``, ``<article>``)
-is the prior, and decides alone for hosts with too few pages to compare.
+composite importance are removed from each page.  Known roles weigh a block's importance: texts unique to a page stay in spite of a
+noise word in a name (``id="related-work"``), and texts on every page go in spite of ``<article>``.  Noise by tag or by a
+whole name (``<nav>``, ``class="ad"``) always goes: such texts are often unique to a page.  Roles decide alone for hosts
+with too few pages to compare.
 
 * null or empty html, and pages without an important block, give an empty text with 0 characters.
 * null urls share the empty host; null ids are kept; repeated rows are extracted one by one.
@@ -41,7 +43,9 @@ _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'
 _SPLIT = re.compile(r"[^a-z]+")
 
 NO_PARENT = -1
-#: Roles of a node: noise (-1), content (1), unknown (0).
+#: Roles of a node: noise by its tag or a whole class or id (-2), by a word within one (-1), content (1), unknown (0); what a
+#: role multiplies importance by.  At the threshold of 0.3 entropy can overrule all but -2.
+WEIGHTS = {-2: 0.25, -1: 0.5, 0: 1.0, 1: 1.5}
 EMITTED = "host string, node long, parent long, kind int, role int, feature long"
 
 
@@ -53,12 +57,13 @@ def host_of(url):
 class _Node:
     __slots__ = ("tag", "key", "parent", "role", "children")
 
-    def __init__(self, tag: str, names: frozenset[str], parent: _Node | None):
+    def __init__(self, tag: str, names: frozenset[str], parent: _Node | None, whole: frozenset[str] = frozenset()):
         self.tag, self.parent, self.children = tag, parent, []
         up = parent.role if parent else 0
-        noise = tag in NOISE_TAGS or (tag == "header" and up <= 0) or (not names.isdisjoint(NOISE_NAMES) and tag not in CONTENT_TAGS and tag != "body" and tag != "html")
-        self.role = -1 if up < 0 or noise else 1 if up > 0 or tag in CONTENT_TAGS else 0
-        step = f"{tag}.{'.'.join(sorted(names))}".encode()
+        named = tag not in CONTENT_TAGS and tag != "body" and tag != "html"
+        noise = tag in NOISE_TAGS or (tag == "header" and up <= 0) or (named and not whole.isdisjoint(NOISE_NAMES))
+        self.role = -2 if up < -1 or noise else -1 if up < 0 or (named and not names.isdisjoint(NOISE_NAMES)) else 1 if up > 0 or tag in CONTENT_TAGS else 0
+        step = f"{tag}.{'.'.join(sorted(names))}{'!' * noise}".encode()
         self.key = zlib.crc32(step, parent.key & 0xFFFFFFFF if parent else 0) | (zlib.adler32(step, parent.key >> 32 & 0x7FFFFFFF if parent else 1) & 0x7FFFFFFF) << 32
 
 
@@ -96,9 +101,11 @@ def blocks(page: str | None) -> tuple[list[tuple[_Node, str]], list[_Node]]:
                 raw = tag
             text.append(" ")
             continue
-        names = frozenset()
+        names = whole = frozenset()
         if "=" in attrs and not ending:
-            names = frozenset(x for a in _NAMES.findall(attrs) for x in _SPLIT.split("".join(a).lower()) if x)
+            values = ["".join(a).lower() for a in _NAMES.findall(attrs)]
+            names = frozenset(x for v in values for x in _SPLIT.split(v) if x)
+            whole = frozenset(x for v in values for x in v.split())
         if tag in INLINE and (ending or names.isdisjoint(NOISE_NAMES)):
             if tag == "br":
                 text.append(" ")
@@ -126,7 +133,7 @@ def blocks(page: str | None) -> tuple[list[tuple[_Node, str]], list[_Node]]:
                     break
         elif stack[-1].tag == "p":
             del stack[-1]
-        node = _Node(tag, names, stack[-1])
+        node = _Node(tag, names, stack[-1], whole)
         stack[-1].children.append(tag)
         stack.append(node)
         nodes.append(node)
@@ -197,7 +204,10 @@ def importance(nodes: pd.DataFrame, gamma: float = 0.9) -> dict[int, float]:
 
 
 def removed_nodes(trees: DataFrame, threshold: float = 0.3, min_pages: int = 3) -> DataFrame:
-    """(host, node) of branches to remove: low importance with no important leaf below, or a role that is noise.
+    """(host, node) of branches to remove: low importance with no important leaf below.
+
+    A block's importance is that of its texts' entropy over pages, times the weight of its role.  On hosts of under
+    ``min_pages`` pages the role decides alone.
 
     The groups hold one host's distinct nodes, not its pages.
     """
@@ -207,15 +217,15 @@ def removed_nodes(trees: DataFrame, threshold: float = 0.3, min_pages: int = 3)
         imp = importance(nodes)
         leaf = {}  # the most important leaf at or below
         rows = {r.node: r for r in nodes.itertuples()}
+        comparable = nodes.m.max() >= min_pages  # every page has the root
         for r in rows.values():
-            if r.n_texts and r.role >= 0:
-                own = 1 - r.text_logk / r.n_texts / math.log(r.m) if r.m >= min_pages else 1.0
-                own = max(own, threshold) if r.role > 0 else own
+            if r.n_texts:
+                own = (1 - r.text_logk / r.n_texts / math.log(max(r.m, min_pages, 2))) * WEIGHTS[r.role] if comparable else float(r.role >= 0)
                 at, steps = r.node, 0
                 while at in rows and steps < 1000:
                     leaf[at] = max(leaf.get(at, 0.0), own)
                     at, steps = rows[at].parent, steps + 1
-        gone = [n for n, r in rows.items() if r.role < 0 or (leaf.get(n, 0.0) < threshold and imp[n] < threshold) or (r.n_texts and leaf.get(n, 0.0) < threshold)]
+        gone = [n for n, r in rows.items() if (leaf.get(n, 0.0) < threshold and imp[n] < threshold) or (r.n_texts and leaf.get(n, 0.0) < threshold)]
         return pa.table({"host": pa.array([nodes.host.iloc[0]] * len(gone), pa.string()), "node": pa.array(gone, pa.int64())})
 
     return trees.groupBy("host").applyInArrow(low, "host string, node long")
@@ -250,7 +260,7 @@ def extract(pages: DataFrame, threshold: float = 0.3, max_broadcast: int = 500_0
                     at = n
                     while at is not None and at.key not in drop:
                         at = at.parent
-                    if at is None and n.role >= 0:
+                    if at is None:
                         kept.append(s)
                 out.append("\n\n".join(kept))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array([len(s) for s in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])

@@ -222,6 +222,15 @@ def test_main_text(spark):
     assert {r.page_id: r.text for r in shuffled.collect()} == {k: r.text for k, r in got.items()}
 
 
+def test_entropy_overrules_roles_in_both_directions(spark):
+    page = """<html><body><div id="related-work">Earlier studies of case {i}</div><article><p>Body {i}</p><div>Read this in our app</div></article>
+<div class="comments"><p>nice</p></div></body></html>"""
+    rows = [(i, f"http://h.example/{i}", page.replace("{i}", str(i))) for i in range(6)] + [(90 + i, f"http://few.example/{i}", page.replace("{i}", str(i))) for i in range(2)]
+    got = {r.page_id: r.text for r in site_trees.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Earlier studies of case {i}\n\nBody {i}" for i in range(6))
+    assert all(got[90 + i] == f"Body {i}\n\nRead this in our app" for i in range(2))
+
+
 def test_url_rules_and_model(spark):
     rows = [(1, "http://A.example.org/es/1?x"), (2, "https://b.org"), (3, "https://b.org/"), (4, "http://example.org/en/12"), (5, "http://m.x.com/de/"), (6, "http://notexample.org/es/1"), (7, None), (8, "no scheme"), (9, "http://www.casino-pills.example.net/en/1"), (10, "http://meadow.example.net/en/1")]
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
