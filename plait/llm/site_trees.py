@@ -32,6 +32,8 @@ from plait.llm.shared import written
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math object canvas select".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Those whose content is text, not markup, up to their own end tag.
+RAW_TEXT = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in "script style noscript textarea title iframe".split()}
 CLOSED_BY_SELF = frozenset("p li dt dd tr td th option".split())
 #: Roles known in advance.
 NOISE_TAGS = frozenset("nav footer aside form button dialog menu head label fieldset".split())
@@ -84,8 +86,15 @@ def blocks(page: str | None) -> tuple[list[tuple[_Node, str]], list[_Node]]:
         flush()
         del stack[i:]
 
-    for m in _TOKEN.finditer(page or ""):
-        tag = m[2] or m[5]
+    page, at = page or "", 0
+    while at < len(page):
+        m = _TOKEN.match(page, at)
+        at, tag = m.end(), m[2] or m[5]
+        if tag and not (m[1] or m[4]) and (end := RAW_TEXT.get(tag.lower())) and not (m[3] or m[6] or "").endswith("/"):
+            e = end.search(page, at)
+            at = e.end() if e else len(page)
+            text.append(" " if not raw else "")
+            continue
         if raw:
             if tag and (m[1] or m[4]) and tag.lower() == raw:
                 raw = None
@@ -113,9 +122,9 @@ def blocks(page: str | None) -> tuple[list[tuple[_Node, str]], list[_Node]]:
                 pop_to(max(i for i, n in enumerate(stack) if n.tag == tag))
             continue
         if ending:
-            at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if at:
-                pop_to(at)
+            up = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
+            if up:
+                pop_to(up)
             else:
                 flush()
             continue

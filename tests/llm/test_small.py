@@ -231,6 +231,13 @@ def test_entropy_overrules_roles_in_both_directions(spark):
     assert all(got[90 + i] == f"Body {i}\n\nRead this in our app" for i in range(2))
 
 
+def test_scripts_end_at_their_own_end_tag():
+    for script in ("for(i=0;i<n;i++){f()}", "if(a<b){s=\"don't\"}", "x = a<b ? 'it' : \"'\";", "s='</p>'"):
+        page = f"<SCRIPT>{script}</Script ><article><p>It's all here</p></article><svg><style>a<b{{}}</style></svg><p>End</p>"
+        assert [s for _, s in site_trees.blocks(page)[0]] == ["It's all here", "End"]
+    assert [s for _, s in site_trees.blocks("<p>a<script>b</p></scripted><p>c")[0]] == ["a"]
+
+
 def test_url_rules_and_model(spark):
     rows = [(1, "http://A.example.org/es/1?x"), (2, "https://b.org"), (3, "https://b.org/"), (4, "http://example.org/en/12"), (5, "http://m.x.com/de/"), (6, "http://notexample.org/es/1"), (7, None), (8, "no scheme"), (9, "http://www.casino-pills.example.net/en/1"), (10, "http://meadow.example.net/en/1")]
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
