@@ -198,6 +198,19 @@ def test_licenses(spark, docs, none):
     assert licenses.scan(none).count() == 0 and licenses.scan(docs).count() == docs.count()
 
 
+def test_licences_are_found_by_any_section():
+    sc = licenses.Scanner()
+    ends = [
+        ("mit", "The software is provided 'as is', without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software."),
+        ("bsd", "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+        ("isc", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ]
+    for label, text in ends:
+        assert {s.label for s in sc.scan(licenses.words("intro " + text))[1]} == {label}
+    for label, text in licenses.TEMPLATES:
+        assert {s.label for s in sc.scan(licenses.words("x " + text + " y"))[1]} == {label}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sampled_from(["under", "the", "mit", "license", "apache", "version", "2", "cc", "by", "nc", "x"]), max_size=40))
 def test_phrases_against_brute_force(ws):
