@@ -122,6 +122,14 @@ def test_toxicity_learns_words(spark, none):
     assert toxicity.score(none, m).count() == 0 and toxicity.score(d, toxicity.fit(["a"], [1])).where("score <> 0").count() == 0
 
 
+def test_every_ordinary_window_reaches_the_trainer(monkeypatch):
+    seen, trained = [], toxicity._trained
+    monkeypatch.setattr(toxicity, "_trained", lambda samples, size: seen.append(samples) or trained(samples[-2000:], size))
+    docs = [[b"amber%d" % (i % 97) for i in range(500_000)], [b"wretchling"] * 9, [b"latecomer"] * 9]
+    toxicity.train_dictionaries(docs, [0, 1, 0])
+    assert sum(len(w.split()) for w in seen[-1]) == 500_009 and b"latecomer" in seen[-1][-1]
+
+
 def test_darts_estimate_weighted_jaccard():
     e = np.arange(400, dtype="u8")
     w = np.random.default_rng(2).uniform(0.1, 3, 400)
