@@ -112,22 +112,51 @@ def test_quality_drops_junk_and_keeps_prose(spark, none):
 
 def test_toxicity_learns_words(spark, none):
     bad = ["wretchling", "snotgoblin", "mudbrained"]
-    rows = [(i, prose(60, i) + (" " + " ".join(bad) + " ") * 2 * (i % 3 == 0)) for i in range(240)] + [(900, None), (901, "")]
-    d = spark.createDataFrame(rows, "doc_id long, text string")
-    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(240)] + [(None, 1)], "doc_id long, toxic int").where(~toxicity.held_out("doc_id"))
+    rows = [(i, prose(60, i) + (" " + " ".join(bad) + " ") * 2 * (i % 3 == 0)) for i in range(240)] + [(900, None), (901, ""), (902, prose(40_000, 5)), (3, prose(60, 3)), (None, "Mudbrained SNOTGOBLIN " * 9)]
+    d = spark.createDataFrame([(i, t, 1.0, "s", "h", 1, 0) for i, t in rows], "doc_id long, text string, score double, sample string, half string, toxic int, part int")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), "x") for i in range(240)] + [(None, 1, "x"), (1, 0, "x")], "doc_id long, toxic int, text string").where(~toxicity.held_out("doc_id"))
     m = toxicity.train(d, labels)
-    got = {r.doc_id: r.predicted for r in toxicity.score(d, m).collect()}
-    hits = sum(got[i] == int(i % 3 == 0) for i in range(240))
-    assert hits >= 230 and got[900] == got[901] == 0
-    assert toxicity.score(none, m).count() == 0 and toxicity.score(d, toxicity.fit(["a"], [1])).where("score <> 0").count() == 0
-
-
-def test_every_ordinary_window_reaches_the_trainer(monkeypatch):
-    seen, trained = [], toxicity._trained
-    monkeypatch.setattr(toxicity, "_trained", lambda samples, size: seen.append(samples) or trained(samples[-2000:], size))
-    docs = [[b"amber%d" % (i % 97) for i in range(500_000)], [b"wretchling"] * 9, [b"latecomer"] * 9]
-    toxicity.train_dictionaries(docs, [0, 1, 0])
-    assert sum(len(w.split()) for w in seen[-1]) == 500_009 and b"latecomer" in seen[-1][-1]
+    out = toxicity.score(d, m).collect()
+    got = {r.doc_id: r.predicted for r in out}
+    hits = sum(got[i] == int(i % 3 == 0) for i in range(240) if i != 3)
+    assert len(out) == len(rows) and hits >= 230 and got[900] == got[901] == got[902] == 0 and got[None] == 1
+    assert m == toxicity.train(d.repartition(5), labels)
+    kept = toxicity.kept(d, m)
+    assert kept.columns == d.columns and kept.count() == sum(r.predicted == 0 for r in out)
+    assert toxicity.score(none, m).count() == 0 == toxicity.kept(none, m).count()
+    one_class = toxicity.train(d, labels.where("toxic = 0"))
+    assert one_class.dictionaries is None and toxicity.score(d, one_class).where("score <> 0 or predicted <> 0").count() == 0
+    assert toxicity.train(none, labels).dictionaries is None
+
+
+def test_toxicity_score_is_that_of_plain_compression():
+    d = toxicity.Dictionaries(b"".join(toxicity.coded(prose(400, 1).encode().split())[0] for _ in range(2)), toxicity.coded([b"wretchling", b"mudbrained"])[0])
+    c0, c1 = (toxicity._compressor(x).compress for x in (d.ordinary, d.toxic + d.ordinary))
+    ws, counts = toxicity.words(prose(90, 2) + " Wretchlings mudbrained"), [0] * (toxicity.LEVELS + 1)
+    for i in range(0, len(ws), toxicity.WINDOW):
+        w = b"".join(toxicity.coded([x])[0] for x in ws[i : i + toxicity.WINDOW])
+        counts[min(toxicity.LEVELS, max(0, len(c0(w)) - len(c1(w))))] += 1
+    up = [sum(counts[k:]) for k in range(1, toxicity.LEVELS + 1)]
+    assert up[5] > 0 and np.allclose(toxicity.histogram(ws, d.distance()), [*np.log1p(up), *(10 * np.sqrt(np.array(up) / 23)), 1])
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text("abcé1 ", min_size=1), max_size=12))
+def test_codes_agree_as_far_as_words_begin_alike(texts):
+    ws = toxicity.words(" ".join(texts))
+    b, ends = toxicity.coded(ws) if ws else (b"", [0])
+    parts = [b[i:j] for i, j in zip(ends, ends[1:])]
+    for x, p in zip(ws, parts):
+        for y, q in zip(ws, parts):
+            alike = next((k for k in range(min(len(x), len(y), 8)) if x[k] != y[k]), min(len(x), len(y), 8))
+            assert len(p) == 4 * min(len(x), 8) and p[: 4 * alike] == q[: 4 * alike] and p[4 * alike :][:4] != q[4 * alike :][:4] or p[4 * alike :] == b"" == q[4 * alike :]
+    assert sum(len(w) for w in toxicity.windows(ws)) == len(b)
+
+
+def test_spread_takes_windows_of_the_whole_text():
+    ws = [b"%d" % i for i in range(1000)]
+    some = toxicity.spread(ws, 100)
+    assert len(some) == 100 and int(some[-1]) > 950 and toxicity.spread(ws[:90], 100) == ws[:90]
 
 
 def test_darts_estimate_weighted_jaccard():
