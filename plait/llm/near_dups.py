@@ -150,7 +150,7 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _labelled(rows: DataFrame, labels: DataFrame | None, column: str, out: str) -> DataFrame:
+def labelled(rows: DataFrame, labels: DataFrame | None, column: str, out: str) -> DataFrame:
     """The component of ``column`` (a node without links is its own)."""
     if labels is None:
         return rows.withColumn(out, F.col(column))
@@ -158,6 +158,24 @@ def _labelled(rows: DataFrame, labels: DataFrame | None, column: str, out: str)
     return rows.join(side, rows[column] == F.col("_n"), "left").withColumn(out, F.coalesce("_c", column)).drop("_c", "_n")
 
 
+def strays_and_mates(marked: DataFrame, key: list[str], names: list[str], a: str = "q_", b: str = "t_", more: DataFrame | None = None, block: int = 1000) -> tuple[DataFrame, DataFrame, F.Column]:
+    """What remains to be compared in groups (``key``) that hold several components ``c``: members outside the largest one, all members of
+    the group, and when two of them meet (once, and only from different components).
+
+    ``more`` adds columns by the first name.  The strays of a group are dealt over parts of about ``block``, and the mates go to each part, so that a hot group is no one task."""
+    sizes = marked.groupBy(*key, "c").agg(F.count("*").alias("n"))
+    main = sizes.groupBy(*key).agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("several"), (F.sum("n") - F.max("n")).alias("n_strays")).where("several > 1")
+    main = main.select(*key, "main", F.ceil(F.col("n_strays") / block).cast("int").alias("parts"))
+    rows = marked.join(main, key)
+    rows = written(rows.join(more, names[0]) if more is not None else rows, "open")
+    strays = rows.where("c <> main").select(*[F.col(x).alias(f"_{x}") for x in key], F.pmod(F.xxhash64(names[0]), F.col("parts")).cast("int").alias("_part"), F.col("c").alias("_c"), *[F.col(x).alias(a + x) for x in names])
+    mates = rows.select(*key, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "c", "main", *[F.col(x).alias(b + x) for x in names])
+    meet = (F.col("_part") == F.col("part")) & (F.col("_c") != F.col("c")) & ((F.col("c") == F.col("main")) | (F.col(a + names[0]) < F.col(b + names[0])))
+    for x in key:
+        meet = (F.col(f"_{x}") == F.col(x)) & meet
+    return strays, mates, meet
+
+
 def links(nodes: DataFrame, texts_of, k: int, bands: int, width: int, threshold: float, weighted: bool, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
     """Verified links between distinct texts, and their components.  ``nodes``: node, bands and sketch.
 
@@ -173,7 +191,6 @@ def links(nodes: DataFrame, texts_of, k: int, bands: int, width: int, threshold:
     texts = written(texts_of(members.select("node").distinct()), "texts")
     fits = plausible(k, threshold)
     found, labels = None, None
-    side = lambda p: [F.col("node").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in sketch]]
 
     def more(pairs):
         nonlocal found, labels
@@ -184,7 +201,7 @@ def links(nodes: DataFrame, texts_of, k: int, bands: int, width: int, threshold:
 
     def undecided():
         """Members with their component, of buckets that hold several."""
-        marked = _labelled(members, labels, "node", "c")
+        marked = labelled(members, labels, "node", "c")
         open_ = marked.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket")
         return written(marked.join(open_, "bucket"), "open")
 
@@ -193,15 +210,11 @@ def links(nodes: DataFrame, texts_of, k: int, bands: int, width: int, threshold:
         order = F.xxhash64("node", "bucket", F.lit(r)) if r else F.xxhash64("node")
         lead = rows.groupBy("bucket").agg(F.min_by("node", order).alias("x"), F.min_by("c", order).alias("x_c"))
         more(rows.select("bucket", "c", F.col("node").alias("y")).join(lead, "bucket").where("c <> x_c"))
-    rows = undecided()
-    sizes = rows.groupBy("bucket", "c").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("bucket").agg(F.max_by("c", F.struct("n", "c")).alias("main"))
-    rows = written(rows.join(main, "bucket").join(nodes.select("node", "bands", *sketch), "node"), "mates")
-    strays = rows.where("c <> main").select(F.col("bucket").alias("_b"), F.col("c").alias("x_c"), F.col("bands").alias("x_bands"), *side("x"))
-    mates = rows.select("bucket", "band", "c", "main", "bands", *side("y"))
+    rows, more_of = labelled(members, labels, "node", "c"), nodes.select("node", "bands", *sketch)
+    strays, mates, meet = strays_and_mates(rows, ["bucket"], ["node", "band", "bands", *sketch], "x_", "y_", more_of)
     # a pair that shares several buckets is met in the first alone
-    first = F.array_position(F.zip_with("x_bands", "bands", lambda a, b: a == b), True) == F.col("band") + 1
-    more(strays.join(mates, (F.col("_b") == F.col("bucket")) & (F.col("x_c") != F.col("c")) & ((F.col("c") == F.col("main")) | (F.col("x") < F.col("y"))) & fits & first))
+    first = F.array_position(F.zip_with("x_bands", "y_bands", lambda a, b: a == b), True) == F.col("y_band") + 1
+    more(strays.join(mates, meet & fits & first).select(F.col("x_node").alias("x"), F.col("y_node").alias("y")))
     return found, labels
 
 

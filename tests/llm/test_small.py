@@ -314,38 +314,73 @@ def test_image_copies(spark):
     assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 5, 6: 5, 7: 7, 50: 50, 51: 51}
 
 
-def test_image_matches_are_those_of_brute_force(spark):
+def classes_of(ids, pairs):
+    up = {i: i for i in ids}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for x, y in pairs:
+        up[max(top(x), top(y))] = min(top(x), top(y))
+    return {i: top(i) for i in up}
+
+
+def brute_force_links(spark, found, read, max_distance, max_other):
+    """Links of all pairs of descriptors (image_id, place, w0..w3)."""
+    w = np.array([f[2:6] for f in found], "<i8")
+    ids, bits = np.array([f[0] for f in found]), np.unpackbits(w.view("u1").reshape(len(w), 32), axis=1, bitorder="little").astype("i4")
+    differ = lambda x: x @ (1 - x).T + (1 - x) @ x.T
+    ok = np.zeros((len(w), len(w)), bool)
+    for t in range(0, 256, read):
+        o = (t // 64 + 2) % 4 * 64
+        ok |= (differ(bits[:, t : t + read]) == 0) & (differ(bits[:, o : o + 64]) <= max_other)
+    ok &= (differ(bits) <= max_distance) & (ids[:, None] < ids[None])
+    pairs = [(int(ids[i]), found[i][1], int(ids[j]), found[j][1]) for i, j in np.argwhere(ok)]
+    pairs = spark.createDataFrame(pairs, "q_image_id long, q_place long, t_image_id long, t_place long").distinct()
+    return sorted((x.query_id, x.image_id) for x in images.consensus(pairs).collect())
+
+
+def test_image_classes_are_those_of_brute_force(spark):
     r = np.random.default_rng(8)
     words = lambda: r.integers(-(1 << 63), 1 << 63, 4).tolist()
-    pictures = [[words() for _ in range(8)] for _ in range(10)]
+    pictures, common = [[words() for _ in range(8)] for _ in range(10)], words()
     rows = []
-    for i, k in enumerate([0, 1, 2, 3, 0, 4, 5, 1, 6, 0, 7, 8, 9]):  # copies, with strangers between them in every cell
+    for i, k in enumerate([0, 1, 2, 3, 0, 4, 5, 1, 6, 0, 7, 8, 9]):  # copies, with strangers in a cell that all share
         for j, w in enumerate(pictures[k]):
-            rows.append((i, images.packed_place(8 * j, 4 * j, 1.0, 0.5), w[0] ^ 7, *w[1:], [j % 3, 100]))
+            rows.append((i, images.packed_place(8 * j, 4 * j, 1.0, 0.5), w[0] ^ (7 << i), *w[1:]))
+        rows.append((i, images.packed_place(90, 90, 1.0, 0.5), *common))
     found = spark.createDataFrame(rows, images.FEATURES)
-    near = lambda a, b: sum(((x ^ y) & 0xFFFFFFFFFFFFFFFF).bit_count() for x, y in zip(a[2:6], b[2:6])) <= 16
-    want = sorted((a[0], a[1], b[0], b[1]) for a in rows for b in rows if a[0] < b[0] and set(a[6]) & set(b[6]) and near(a, b))
-    for crowded in (1000, 20):
-        m = images.matches(found, crowded=crowded)
-        assert sorted(map(tuple, m.collect())) == want
-        assert sorted((x.query_id, x.image_id) for x in images.consensus(m).collect()) == [(0, 4), (0, 9), (1, 7), (4, 9)]
-
-
-def test_image_copies_among_strangers_with_default_parameters(spark):
-    r = np.random.default_rng(9)
-    base = [r.normal(size=64).astype("f4") for _ in range(40)]
-    vectors = [v for k, v in enumerate(base) for v in [v, v * (1 + 0.002 * r.normal(size=64)), v * (1 + 0.002 * r.normal(size=64))][: 3 if k % 4 == 0 else 1]]
-    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
-    found = [(i, images.packed_place(*d[:4]), *d[4:], images.cells_of(d[4:])) for i, v in rows for d in images.describe(images.from_vector(v))]
-    bits = np.unpackbits(np.array([f[2:6] for f in found], "<i8").view("u1"), axis=1).astype("i4")
-    cells, ids = np.array([f[6] for f in found]), np.array([f[0] for f in found])
-    far = bits @ (1 - bits).T + (1 - bits) @ bits.T
-    ok = (cells[:, None] == cells[None]).any(axis=2) & (far <= 16) & (ids[:, None] < ids[None])
-    brute = spark.createDataFrame([(int(ids[i]), found[i][1], int(ids[j]), found[j][1]) for i, j in np.argwhere(ok)], "q_image_id long, q_place long, t_image_id long, t_place long").distinct()
-    links = [(x.query_id, x.image_id) for x in images.consensus(brute).collect()]
-    degree = {i: sum(i in pair for pair in links) for i, _ in rows}
-    d = spark.createDataFrame(rows, "image_id long, image array<double>")
-    assert {x.image_id: x.n_links for x in images.classes(d, images.from_vector).collect()} == degree and sum(degree.values()) >= 40
+    links, labels = images.links(found)
+    want = brute_force_links(spark, rows, 32, 24, 12)
+    assert want == [(0, 4), (0, 9), (1, 7), (4, 9)] and {(x.a, x.b) for x in links.collect()} <= set(want)
+    assert {i: 0 for i in (0, 4, 9)} | {1: 1, 7: 1} == {x.node: x.component for x in labels.collect()}
+
+
+def test_image_copies_with_default_parameters(spark):
+    r, height = np.random.default_rng(9), lambda a: [float(a.shape[0]), *a.ravel().tolist()]
+    decode = lambda v: np.array(v[1:]).reshape(int(v[0]), -1)
+    rows, origin = [], {}
+    for k in range(40):
+        v = r.normal(size=64)
+        a = images.from_vector(v)
+        edited = a.copy()
+        edited[:16, :16] = 0.5
+        shots = [a, images.from_vector(v + 0.05 * r.normal(size=64)), np.rot90(a), a[:, 8:], edited, 0.7 * a + 0.2][: 6 if k % 2 == 0 else 1]
+        for s in shots:
+            origin[len(rows)] = len(rows) if s is a else origin[len(rows) - 1]
+            rows.append((len(rows), height(s), "x", 1))
+    d = spark.createDataFrame(rows + rows[:3] + [(None, [1.0, 1.0], "x", 1), (900, None, "x", 1), (901, None, "x", 1), (902, [], "x", 1)], "image_id long, image array<double>, same string, cell long")
+    got = {x.image_id: x.class_id for x in images.classes(d, lambda v: decode(v) if v else None).collect()}
+    assert len(got) == len(rows) + 3 and all(got[i] == i for i in (900, 901, 902))
+    found = [(i, images.packed_place(*f[:4]), *f[4:]) for i, v, *_ in rows for f in images.describe(decode(v))]
+    assert {i: got[i] for i in origin} == classes_of(origin, brute_force_links(spark, found, 32, 24, 12))
+    assert all(got[i] in (i, o) for i, o in origin.items())
+    for kind in range(1, 6):  # noise, turn, crop, edit, brightness
+        copies = [i for i, o in origin.items() if i - o == kind]
+        assert sum(got[i] == origin[i] for i in copies) >= 0.9 * len(copies), kind
+    assert images.classes(d.limit(0), decode).count() == 0
 
 
 def test_corners_grow_with_the_image():
