@@ -1,7 +1,9 @@
 """Operators of the text pipeline on small fixtures, against brute force, with the awkward cases."""
 
+import math
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -169,9 +171,14 @@ def test_darts_estimate_weighted_jaccard():
     v = np.where(e % 4 == 0, w / 2, w)
     s = darts.signatures(2, np.repeat([0, 1], 400), darts.mix(np.concatenate([e, e]) + np.uint64(9)), np.concatenate([w, v]), 2048)
     assert abs((s[0] == s[1]).mean() - np.minimum(w, v).sum() / np.maximum(w, v).sum()) < 0.04
+    w = np.exp2(np.random.default_rng(3).uniform(-3, 12, 400))  # heavy weights cost their logarithm
+    v = np.where(e % 4 == 0, w / 3, w)
+    s = darts.signatures(2, np.repeat([0, 1], 400), darts.mix(np.concatenate([e, e]) + np.uint64(9)), np.concatenate([w, v]), 2048)
+    assert abs((s[0] == s[1]).mean() - np.minimum(w, v).sum() / np.maximum(w, v).sum()) < 0.04
 
 
 def brute_classes(rows):
+    """Classes by weighted Jaccard similarity of all pairs: a shingle that occurs n times weighs 1 + log2(n)."""
     sets, parent = [], list(range(len(rows)))
 
     def root(i):
@@ -179,11 +186,13 @@ def brute_classes(rows):
 
     for _, t in rows:
         ws = (t or "").encode().split()
-        sets.append({tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set())
+        times = Counter(tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))) if ws else {}
+        sets.append({s: 1 + math.log2(n) for s, n in times.items()})
     for i in range(len(rows)):
         for j in range(i):
-            u = len(sets[i] | sets[j])
-            if u and len(sets[i] & sets[j]) >= 0.8 * u - 1e-9:
+            both = sum(min(w, sets[j][s]) for s, w in sets[i].items() if s in sets[j])
+            u = sum(sets[i].values()) + sum(sets[j].values()) - both
+            if u and both >= 0.8 * u - 1e-9:
                 parent[root(i)] = root(j)
     least = {}
     for i, (d, _) in enumerate(rows):
@@ -201,6 +210,7 @@ def test_near_duplicates(spark, docs, none):
             for i in r.integers(0, 150, int(r.integers(0, 9))):
                 w[i] = "edit" + str(r.integers(1000))
             rows.append((1000 + 100 * c + k, " ".join(w)))
+            rows.append((3000 + 100 * c + k, " ".join(w[:60] * (1 + k) + w[60:])))  # weights decide
     d = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((x.doc_id is None, x.doc_id or 0, x.class_id) for x in near_dups.classes(d).collect())
     assert got == brute_classes(rows)
@@ -346,7 +356,8 @@ def brute_force_links(spark, found, read, max_distance, max_other):
     return sorted((x.query_id, x.image_id) for x in images.consensus(pairs).collect())
 
 
-def test_image_classes_are_those_of_brute_force(spark):
+@pytest.mark.parametrize("crowded", [3, 64])
+def test_image_classes_are_those_of_brute_force(spark, crowded):
     r = np.random.default_rng(8)
     words = lambda: r.integers(-(1 << 63), 1 << 63, 4).tolist()
     pictures, common = [[words() for _ in range(8)] for _ in range(10)], words()
@@ -356,7 +367,7 @@ def test_image_classes_are_those_of_brute_force(spark):
             rows.append((i, images.packed_place(8 * j, 4 * j, 1.0, 0.5), w[0] ^ (7 << i), *w[1:]))
         rows.append((i, images.packed_place(90, 90, 1.0, 0.5), *common))
     found = spark.createDataFrame(rows, images.FEATURES)
-    links, labels = images.links(found)
+    links, labels = images.links(found, crowded=crowded)
     want = brute_force_links(spark, rows, 32, 24, 12)
     assert want == [(0, 4), (0, 9), (1, 7), (4, 9)] and {(x.a, x.b) for x in links.collect()} <= set(want)
     assert {i: 0 for i in (0, 4, 9)} | {1: 1, 7: 1} == {x.node: x.component for x in labels.collect()}
