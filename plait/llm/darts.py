@@ -1,10 +1,11 @@
 """DartMinHash signatures of weighted sets, in numpy.
 
-Every element owns the region [0, weight) x [0, infinity).  Darts hit it as a Poisson process of rate 1: each whole unit
-of weight has its own hashed sequence of arrival times, so two sets throw the same darts wherever their regions
-overlap.  A dart goes to one hashed coordinate, and each coordinate keeps its earliest dart.  The chance that two sets
+Every element owns the region [0, weight) x [0, infinity), cut along the weights at 1, 3, 7, 15 and so on.  Darts hit
+each part as a Poisson process whose rate is its width: a part has its own hashed sequence of arrival times and places, so
+two sets throw the same darts wherever their regions overlap, and an element has as many parts as the logarithm of its
+weight.  A dart goes to one hashed coordinate, and each coordinate keeps its earliest dart.  The chance that two sets
 agree in a coordinate is their weighted Jaccard similarity.  Darts later than a set's horizon are never made: the
-horizon is set for a few more darts than coordinates need, and doubled for sets that left a coordinate empty.
+horizon is set for a few more darts than coordinates need (k log k), and doubled for sets that left a coordinate empty.
 """
 
 from __future__ import annotations
@@ -66,25 +67,26 @@ def shingles(texts: list[str | None], width: int, hasher: SpanHasher) -> tuple[n
 def signatures(n_sets: int, owner: np.ndarray, element: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
     """(n_sets, k) array of 32-bit dart names.  Sets without weight get zeros."""
     out = np.zeros((n_sets, k), "u4")
-    whole = np.maximum(1, np.ceil(weight)).astype("i8")
-    at = np.repeat(np.arange(len(element)), whole)
-    unit = np.arange(len(at)) - np.repeat(np.cumsum(whole) - whole, whole)
-    owner, units = owner[at], mix(element[at] + unit.astype("u8") * _C[0])
-    share = np.minimum(1.0, weight[at] - unit)  # of the unit's width that belongs to the region
-    total = np.bincount(owner, weights=share, minlength=n_sets)
+    parts = np.maximum(1, np.ceil(np.log2(np.maximum(weight, 0) + 1))).astype("i8")
+    at = np.repeat(np.arange(len(element)), parts)
+    part = np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts)
+    width = np.exp2(part)
+    total = np.bincount(owner, weights=weight, minlength=n_sets)
+    owner, units = owner[at], mix(element[at] + part.astype("u8") * _C[0])
+    share = np.minimum(1.0, (weight[at] - (width - 1)) / width)  # of the part's width that belongs to the region
     open_ = np.flatnonzero(total > 0)
     horizon = np.zeros(n_sets)
     horizon[open_] = k * (math.log(k) + 3) / total[open_]
     live = np.isin(owner, open_) if len(open_) < n_sets else np.ones(len(owner), bool)
     while live.any():
-        own, u, s = owner[live], units[live], share[live]
+        own, u, s, wide = owner[live], units[live], share[live], width[live]
         best, names = np.full(n_sets * k, np.inf), np.zeros(n_sets * k, "u4")
         when, i, thrown = np.zeros(len(u)), 0, []
         while len(u):
             r = mix(u + np.uint64((i * int(_C[0])) % (1 << 64)))
-            when = when - np.log(((r >> np.uint64(11)).astype("f8") + 0.5) * 2.0**-53)
+            when = when - np.log(((r >> np.uint64(11)).astype("f8") + 0.5) * 2.0**-53) / wide
             keep = when <= horizon[own]
-            own, u, s, when, r = own[keep], u[keep], s[keep], when[keep], mix(r[keep] + _C[2])
+            own, u, s, wide, when, r = own[keep], u[keep], s[keep], wide[keep], when[keep], mix(r[keep] + _C[2])
             slot = own * k + (r % np.uint64(k)).astype("i8")
             name = mix(r + _C[1])
             inside = ((name & np.uint64(0xFFFFFF)).astype("f8") + 0.5) * 2.0**-24 < s if (s < 1).any() else slice(None)

@@ -1,8 +1,9 @@
 """Near-duplicate classes by DartMinHash (operator 6).
 
-Texts are sets of word shingles.  The graph's nodes are distinct texts (a 64-bit hash of the whole text), so exact copies
+Texts are weighted sets of word shingles: one that occurs n times weighs 1 + log2(n), so that repeated lines count, but not
+in proportion; similarity is the weighted Jaccard one.  The graph's nodes are distinct texts (a 64-bit hash of the whole text), so exact copies
 cost one node.  Each node's signature is cut into bands, equal bands meet in buckets, and pairs of a bucket are verified
-by the exact similarity of their texts.  Within a bucket a leader is compared with all members (never all pairs); what
+by the exact weighted similarity of their texts.  Within a bucket a leader is compared with all members (never all pairs); what
 a leader cannot decide - members outside its component - is compared with the bucket's other components, so no link
 between bucket mates is lost.  Classes are the connected components.
 
@@ -56,6 +57,10 @@ def plausible(k: int, threshold: float, a: str = "x_", b: str = "y_") -> F.Colum
     return differ <= most
 
 
+def weights(times: np.ndarray, weighted: bool) -> np.ndarray:
+    return 1 + np.log2(times) if weighted else np.ones(len(times))
+
+
 def signed(docs: DataFrame, bands: int, rows: int, k: int, width: int, weighted: bool) -> DataFrame:
     """doc_id, node, band hashes and sketch of every document (no bands without words).  The bands take the first of ``k`` coordinates."""
     n_sketch = k // 16
@@ -70,7 +75,7 @@ def signed(docs: DataFrame, bands: int, rows: int, k: int, width: int, weighted:
                     size += len(texts[to] or "")
                     to += 1
                 owner, h, times = darts.shingles(texts[at:to], width, hasher)
-                sig = darts.signatures(to - at, owner, h, times.astype("f8") if weighted else np.ones(len(h)), k)
+                sig = darts.signatures(to - at, owner, h, weights(times, weighted), k)
                 flat = pa.array(darts.band_hashes(sig[:, : bands * rows], bands).reshape(-1))
                 has = np.isin(np.arange(to - at), owner)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(has, bands, 0))]), pa.int32()), flat.filter(pa.array(np.repeat(has, bands))))
@@ -102,22 +107,19 @@ class ShingleSets:
 
 
 def jaccard_at_least(a, b, threshold: float, weighted: bool) -> bool:
-    (ha, wa), (hb, wb) = a, b
-    if not weighted:
-        small, large = sorted((len(ha), len(hb)))
-        if small < threshold * large - 1e-9:
-            return False
-        both = len(np.intersect1d(ha, hb, assume_unique=True))
-        union = len(ha) + len(hb) - both
-    else:
-        _, i, j = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
-        both = int(np.minimum(wa[i], wb[j]).sum())
-        union = int(wa.sum() + wb.sum()) - both
-    return union > 0 and both >= threshold * union - 1e-9
+    (ha, na), (hb, nb) = a, b
+    wa, wb = weights(na, weighted), weights(nb, weighted)
+    small, large = sorted((wa.sum(), wb.sum()))
+    if small < threshold * large - 1e-9:
+        return False
+    _, i, j = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
+    both = np.minimum(wa[i], wb[j]).sum()
+    union = small + large - both
+    return bool(union > 0 and both >= threshold * union - 1e-9)
 
 
 def similar(pairs: DataFrame, texts: DataFrame, width: int, threshold: float, weighted: bool) -> DataFrame:
-    """Those (a, b) whose texts' shingle sets have a Jaccard similarity of ``threshold`` or more."""
+    """Those (a, b) whose texts' shingles have a (weighted) Jaccard similarity of ``threshold`` or more."""
 
     def verified(batches):
         sets = ShingleSets(width)
@@ -218,10 +220,10 @@ def links(nodes: DataFrame, texts_of, k: int, bands: int, width: int, threshold:
     return found, labels
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, bands: int = 32, rows: int = 6, k: int = 384, weighted: bool = False, max_broadcast: int = 2_000_000) -> DataFrame:
+def classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, bands: int = 32, rows: int = 6, k: int = 384, weighted: bool = True, max_broadcast: int = 2_000_000) -> DataFrame:
     """doc_id, node and class_id of every document.
 
-    ``k`` coordinates make the sketch, ``bands * rows`` of them the bands.  ``weighted`` takes shingles as often as they occur, else once.  Texts of candidates are fetched by a broadcast of
+    ``k`` coordinates make the sketch, ``bands * rows`` of them the bands.  Without ``weighted`` every shingle weighs 1.  Texts of candidates are fetched by a broadcast of
     at most ``max_broadcast`` (node, id) pairs; beyond, by a shuffled join.
     """
     k = max(k, bands * rows)
