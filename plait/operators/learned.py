@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,12 +19,16 @@ def clusters(rows: DataFrame, vector: str, k: int, seed: int = 0) -> DataFrame:
     return KMeans(k=k, seed=seed).fit(v).transform(v).select("vec_id", (F.col("prediction") + 1).alias("cluster"))
 
 
-def mlp(rows: DataFrame, features: list[str], label: str, hidden: int = 16, iterations: int = 20, seed: int = 1337) -> DataFrame:
-    """(game, pa, seq, predicted): a perceptron over z-scored features."""
-    indexed = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(rows)
-    flat = VectorAssembler(inputCols=features, outputCol="_raw").transform(indexed.transform(rows))
-    scaled = StandardScaler(withMean=True, inputCol="_raw", outputCol="features").fit(flat).transform(flat)
-    net = MultilayerPerceptronClassifier(labelCol="_y", layers=[len(features), hidden, len(indexed.labels)], maxIter=iterations, seed=seed)
-    names = F.array(*[F.lit(x) for x in indexed.labels])
-    out = net.fit(scaled).transform(scaled)
-    return out.select("game", "pa", "seq", F.get(names, F.col("prediction").cast("int")).alias("predicted"))
+def mlp_model(train: DataFrame, features: list[str], label: str, hidden: int = 16, iterations: int = 20, seed: int = 1337) -> PipelineModel:
+    """A perceptron over z-scored features, fitted on the training rows; labels not seen there are unknown."""
+    indexer = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc", handleInvalid="keep").fit(train)
+    flat = VectorAssembler(inputCols=features, outputCol="_raw", handleInvalid="keep")
+    scaler = StandardScaler(withMean=True, inputCol="_raw", outputCol="features")
+    net = MultilayerPerceptronClassifier(labelCol="_y", layers=[len(features), hidden, len(indexer.labels)], maxIter=iterations, seed=seed)
+    name = IndexToString(inputCol="prediction", outputCol="predicted", labels=indexer.labels)
+    return Pipeline(stages=[indexer, flat, scaler, net, name]).fit(train)
+
+
+def mlp(train: DataFrame, valid: DataFrame, features: list[str], label: str, **options) -> DataFrame:
+    """(game, pa, seq, predicted) of the validation rows."""
+    return mlp_model(train, features, label, **options).transform(valid).select("game", "pa", "seq", "predicted")

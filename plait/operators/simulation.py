@@ -71,3 +71,21 @@ def drift(rows: DataFrame, simulated: DataFrame) -> DataFrame:
     """One row: events, and for each field the share whose simulated value is the actual one."""
     j = rows.join(simulated.select("game", "pa", "seq", *[F.col(f).alias(f"sim_{f}") for f in FIELDS]), ["game", "pa", "seq"])
     return j.agg(F.count("*").alias("n"), *[F.round(F.avg((F.col(f) == F.col(f"sim_{f}")).cast("double")), 6).alias(f"match_{f}") for f in FIELDS])
+
+
+def noise(keys: list[str], seed: int, n: int) -> Column:
+    """An integer below ``n`` from whole-number keys: the same for a row in every run and partitioning."""
+    mixed = F.lit(seed * 1299709).cast("bigint")
+    for k, m in zip(keys, (7919, 104729, 15485863)):
+        mixed = mixed + F.col(k).cast("bigint") * m
+    step = lambda x: x * 48271 % 2147483647
+    return (step(step(mixed % 2147483647)) % n).cast("int")
+
+
+def corrupted(rows: DataFrame, fields: dict[str, tuple[int, int]], keys: list[str], p: float, delta: int) -> DataFrame:
+    """With probability ``p`` a field moves by a whole number up to ``delta`` either way, clipped to 0..hi.  ``fields``: name to (hi, seed)."""
+    new = {}
+    for c, (hi, seed) in fields.items():
+        jump = noise(keys, seed + 1, 2 * delta + 1) - delta
+        new[c] = F.when(noise(keys, seed, 1000) < round(p * 1000), F.least(F.greatest(F.col(c) + jump, F.lit(0)), F.lit(hi))).otherwise(F.col(c)).cast("int")
+    return rows.withColumns(new)

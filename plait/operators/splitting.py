@@ -28,6 +28,11 @@ def split(rows: DataFrame, fraction: float, day: str = "day") -> DataFrame:
     return rows.crossJoin(F.broadcast(cut)).withColumn("split", F.when(F.col(day) < F.col("valid_from"), "train").otherwise("valid")).drop("valid_from")
 
 
+def training(rows: DataFrame, fraction: float, day: str = "day") -> DataFrame:
+    """The training rows.  The boundary, one date, is taken first, so that it filters the scan."""
+    return rows.where(F.col(day) < F.lit(boundary(rows, fraction, day).first()["valid_from"]))
+
+
 def feature_stats(rows: DataFrame, columns: list[str]) -> DataFrame:
     """One row: mean and deviation of each column; a missing or zero deviation is 1."""
     aggs = []

@@ -19,8 +19,8 @@ def profile_rows(spark, sf):
     p = p.withColumn("token_id", _ids("token", TOKENS)).withColumn("outcome_id", _ids("outcome", OUTCOMES[:-1]))
     p = sequences.history(p, ["token_id", "outcome_id"], 4)
     p = p.withColumn("prev_type", sequences.last_nonzero([f"hist_token_id_{i}" for i in range(4)])).withColumn("prev_outcome", sequences.last_nonzero([f"hist_outcome_id_{i}" for i in range(4)]))
-    clusters = table(spark, sf, "embeddings").where("vec_id < 500").select(F.col("vec_id").alias("_v"), F.col("label").cast("int").alias("batter_cluster"))
-    p = p.join(F.broadcast(clusters), p["batter"] % 500 == F.col("_v"), "left").withColumn("y_loc", F.col("y")).withColumn("y", F.col("token_id"))
+    clusters = table(spark, sf, "embeddings").select(F.col("vec_id").alias("_v"), F.col("label").cast("int").alias("batter_cluster"))
+    p = p.join(clusters, p["batter"] % clusters.count() == F.col("_v"), "left").withColumn("y_loc", F.col("y")).withColumn("y", F.col("token_id"))
     counts = p.groupBy("pitcher", "y").agg(F.count("*").alias("n"))
     g = baselines.group_distributions(counts, ["pitcher"], T, 1.0)
     centre = p.groupBy("pitcher").agg(F.avg("x").alias("pred_x"), F.avg("y_loc").alias("pred_y"))
@@ -35,7 +35,7 @@ PROFILED = f"""{BUCKETED}, pi AS (SELECT *, {_case('token', TOKENS)} AS token_id
  ph AS (SELECT *, coalesce({', '.join(f'nullif(lag(token_id, {i}) OVER w, 0)' for i in range(1, 5))}, 0) AS prev_type,
  coalesce({', '.join(f'nullif(lag(outcome_id, {i}) OVER w, 0)' for i in range(1, 5))}, 0) AS prev_outcome FROM pi WINDOW w AS (PARTITION BY game, pa ORDER BY seq)),
  pp AS (SELECT pitcher, count(*) AS tot, avg(x) AS pred_x, avg(y) AS pred_y, {', '.join(f'count(*) FILTER (token_id = {i}) AS n_{i}' for i in range(T))} FROM ph GROUP BY pitcher),
- pr AS (SELECT ph.*, pp.* EXCLUDE (pitcher), CAST(label AS INT) AS batter_cluster FROM ph JOIN pp USING (pitcher) LEFT JOIN (SELECT * FROM embeddings WHERE vec_id < 500) e ON e.vec_id = batter % 500)"""
+ pr AS (SELECT ph.*, pp.* EXCLUDE (pitcher), CAST(label AS INT) AS batter_cluster FROM ph JOIN pp USING (pitcher) LEFT JOIN embeddings e ON e.vec_id = batter % (SELECT count(*) FROM embeddings))"""
 
 
 def _grouped(keys, min_n=25):

@@ -6,13 +6,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plait.functions import columns as X
-from plait.operators import encoding, sequences, splitting
+from plait.operators import encoding, prepare, sequences, splitting
 from plait.plans.registry import query
 from plait.sources.chunks import date_chunks
-from plait.sources.tables import PITCH_SQL, USER_SQL, pitch_log, table, user_log
+from plait.sources.tables import PITCH_SQL, USER_SQL, pitch_log, pitch_rows, table, user_log
 
 LG, EV = f"WITH {PITCH_SQL} ", f"WITH {USER_SQL} "
 KEY = ["game", "pa", "seq"]
+LINE = ["game", "pa", "line"]  # where no sequence number is needed
 
 
 @query("scan_events", "SELECT event_id, user_id, event_type, value FROM events")
@@ -38,27 +39,27 @@ def filter_date_range(spark, sf):
     return user_log(spark, sf).where(d.isNotNull() & d.between("2024-01-05", "2024-01-20")).select("event_id", d.alias("day"))
 
 
-@query("filter_not_null", LG + "SELECT game, pa, seq, token FROM lg WHERE token IS NOT NULL AND stand IS NOT NULL AND throws IS NOT NULL AND on_1 IS NOT NULL")
+@query("filter_not_null", LG + "SELECT game, pa, line, token FROM lg WHERE token IS NOT NULL AND stand IS NOT NULL AND throws IS NOT NULL AND on_1 IS NOT NULL")
 def filter_not_null(spark, sf):
-    return pitch_log(spark, sf).where(" and ".join(f"{x} is not null" for x in ("token", "stand", "throws", "on_1"))).select(*KEY, "token")
+    return pitch_rows(spark, sf).where(" and ".join(f"{x} is not null" for x in ("token", "stand", "throws", "on_1"))).select(*LINE, "token")
 
 
-@query("case_encode", LG + """SELECT game, pa, seq, CASE side WHEN 'Bot' THEN 1 ELSE 0 END AS side_id,
+@query("case_encode", LG + """SELECT game, pa, line, CASE side WHEN 'Bot' THEN 1 ELSE 0 END AS side_id,
  CASE stand WHEN 'R' THEN 1 WHEN 'L' THEN 2 WHEN 'S' THEN 3 ELSE 0 END AS stand_id, CASE throws WHEN 'R' THEN 1 WHEN 'L' THEN 2 ELSE 0 END AS throws_id FROM lg""")
 def case_encode(spark, sf):
     e = lambda x, v: X.coded(x, v).cast("int").alias(f"{x}_id")
-    return pitch_log(spark, sf).select(*KEY, e("side", X.SIDES), e("stand", X.STANDS), e("throws", X.THROWS))
+    return pitch_rows(spark, sf).select(*LINE, e("side", X.SIDES), e("stand", X.STANDS), e("throws", X.THROWS))
 
 
-@query("null_indicator", LG + "SELECT game, pa, seq, CAST(on_1 IS NOT NULL AS INT) AS on_1_occ, CAST(on_2 IS NOT NULL AS INT) AS on_2_occ, CAST(on_3 IS NOT NULL AS INT) AS on_3_occ FROM lg")
+@query("null_indicator", LG + "SELECT game, pa, line, CAST(on_1 IS NOT NULL AS INT) AS on_1_occ, CAST(on_2 IS NOT NULL AS INT) AS on_2_occ, CAST(on_3 IS NOT NULL AS INT) AS on_3_occ FROM lg")
 def null_indicator(spark, sf):
-    return pitch_log(spark, sf).select(*KEY, *[X.occupied(b).cast("int").alias(f"{b}_occ") for b in ("on_1", "on_2", "on_3")])
+    return pitch_rows(spark, sf).select(*LINE, *[X.occupied(b).cast("int").alias(f"{b}_occ") for b in ("on_1", "on_2", "on_3")])
 
 
-@query("derived_features", LG + "SELECT game, pa, seq, score_diff - outs AS lead_diff, coalesce(stand, '<NULL>') AS stand_token, CAST(pitcher AS VARCHAR) AS pitcher_token, CAST(batter AS VARCHAR) AS batter_token FROM lg")
+@query("derived_features", LG + "SELECT game, pa, line, score_diff - outs AS lead_diff, coalesce(stand, '<NULL>') AS stand_token, CAST(pitcher AS VARCHAR) AS pitcher_token, CAST(batter AS VARCHAR) AS batter_token FROM lg")
 def derived_features(spark, sf):
-    p = pitch_log(spark, sf)
-    return p.select(*KEY, (F.col("score_diff") - F.col("outs")).cast("smallint").cast("int").alias("lead_diff"), F.coalesce("stand", F.lit("<NULL>")).alias("stand_token"), *[F.col(x).cast("bigint").cast("string").alias(f"{x}_token") for x in ("pitcher", "batter")])
+    p = pitch_rows(spark, sf)
+    return p.select(*LINE, (F.col("score_diff") - F.col("outs")).cast("smallint").cast("int").alias("lead_diff"), F.coalesce("stand", F.lit("<NULL>")).alias("stand_token"), *[F.col(x).cast("bigint").cast("string").alias(f"{x}_token") for x in ("pitcher", "batter")])
 
 
 _BUCKETS = """CASE WHEN inning <= 3 THEN 0 WHEN inning <= 6 THEN 1 WHEN inning <= 8 THEN 2 ELSE 3 END AS inning_bucket,
@@ -96,11 +97,11 @@ def safe_token(spark, sf):
     return table(spark, sf, "part").select("p_partkey", X.safe_token(F.concat("p_brand", F.lit(" "), "p_type")).alias("name"))
 
 
-@query("pack_unpack_key", LG + "SELECT game, pa, seq, ((CAST(pitcher AS BIGINT) * 4 + balls) * 3 + strikes) * 10 + outs AS packed, pitcher AS k_pitcher, balls AS k_balls, strikes AS k_strikes, outs AS k_outs FROM lg")
+@query("pack_unpack_key", LG + "SELECT game, pa, line, ((CAST(pitcher AS BIGINT) * 4 + balls) * 3 + strikes) * 10 + outs AS packed, pitcher AS k_pitcher, balls AS k_balls, strikes AS k_strikes, outs AS k_outs FROM lg")
 def pack_unpack_key(spark, sf):
-    p = pitch_log(spark, sf).withColumn("packed", X.packed_key([("pitcher", 0), ("balls", 4), ("strikes", 3), ("outs", 10)]))
+    p = pitch_rows(spark, sf).withColumn("packed", X.packed_key([("pitcher", 0), ("balls", 4), ("strikes", 3), ("outs", 10)]))
     names = ("k_pitcher", "k_balls", "k_strikes", "k_outs")
-    return p.select(*KEY, "packed", *[e.cast("bigint").alias(n) for n, e in zip(names, X.unpacked_key("packed", [4, 3, 10]))])
+    return p.select(*LINE, "packed", *[e.cast("bigint").alias(n) for n, e in zip(names, X.unpacked_key("packed", [4, 3, 10]))])
 
 
 @query("html_escape", """SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS escaped FROM pages""")
@@ -116,7 +117,7 @@ def events_json_props(spark, sf):
 
 @query("load_entity", LG + "SELECT game, pa, seq, token, outcome FROM lg WHERE game = 7")
 def load_entity(spark, sf):
-    return pitch_log(spark, sf).where("game = 7").select(*KEY, "token", "outcome")
+    return pitch_log(spark, sf, game=7).select(*KEY, "token", "outcome")
 
 
 @query("distinct_entities", "SELECT DISTINCT l_orderkey // 16 AS game FROM lineitem")
@@ -155,19 +156,26 @@ def time_split(spark, sf):
     return splitting.split(user_log(spark, sf), 0.1).select("event_id", "split")
 
 
+TRAIN = CUT.replace("FROM ev", "FROM lg") + ", tr AS (SELECT lg.* FROM lg, ct WHERE day < valid_from)"
+
+
+def _train(spark, sf):
+    return splitting.training(pitch_rows(spark, sf), 0.1)
+
+
 VOCAB_FIELDS = ["token", "outcome", "pitcher", "batter"]
-COUNTS = """tc AS (SELECT field, token, count(*) AS n FROM (SELECT 'token' AS field, token FROM lg UNION ALL SELECT 'outcome', outcome FROM lg
- UNION ALL SELECT 'pitcher', CAST(pitcher AS VARCHAR) FROM lg UNION ALL SELECT 'batter', CAST(batter AS VARCHAR) FROM lg) WHERE token IS NOT NULL GROUP BY field, token)"""
+COUNTS = TRAIN + """, tc AS (SELECT field, token, count(*) AS n FROM (SELECT 'token' AS field, token FROM tr UNION ALL SELECT 'outcome', outcome FROM tr
+ UNION ALL SELECT 'pitcher', CAST(pitcher AS VARCHAR) FROM tr UNION ALL SELECT 'batter', CAST(batter AS VARCHAR) FROM tr) WHERE token IS NOT NULL GROUP BY field, token)"""
 VOCAB = COUNTS + ", vc AS (SELECT field, token, n, row_number() OVER (PARTITION BY field ORDER BY n DESC, token) AS id FROM tc WHERE n >= 30)"
 
 
 def _vocab(spark, sf):
-    return encoding.vocabulary(encoding.token_counts(pitch_log(spark, sf), VOCAB_FIELDS), 30)
+    return encoding.vocabulary(encoding.token_counts(_train(spark, sf), VOCAB_FIELDS), 30)
 
 
 @query("token_counts", f"{LG}, {COUNTS} SELECT field, token, n FROM tc")
 def token_counts(spark, sf):
-    return encoding.token_counts(pitch_log(spark, sf), VOCAB_FIELDS)
+    return encoding.token_counts(_train(spark, sf), VOCAB_FIELDS)
 
 
 @query("vocab_ids", f"{LG}, {VOCAB} SELECT field, token, n, id FROM vc")
@@ -175,47 +183,47 @@ def vocab_ids(spark, sf):
     return _vocab(spark, sf)
 
 
-@query("dict_encode_join", f"""{LG}, {VOCAB} SELECT game, pa, seq, coalesce(a.id, 0) AS token_id, coalesce(b.id, 0) AS outcome_id, coalesce(c.id, 0) AS pitcher_id, coalesce(d.id, 0) AS batter_id
+@query("dict_encode_join", f"""{LG}, {VOCAB} SELECT game, pa, line, coalesce(a.id, 0) AS token_id, coalesce(b.id, 0) AS outcome_id, coalesce(c.id, 0) AS pitcher_id, coalesce(d.id, 0) AS batter_id
  FROM lg LEFT JOIN vc a ON a.field = 'token' AND a.token = lg.token LEFT JOIN vc b ON b.field = 'outcome' AND b.token = lg.outcome
  LEFT JOIN vc c ON c.field = 'pitcher' AND c.token = CAST(pitcher AS VARCHAR) LEFT JOIN vc d ON d.field = 'batter' AND d.token = CAST(batter AS VARCHAR)""")
 def dict_encode_join(spark, sf):
-    return encoding.encode(pitch_log(spark, sf), _vocab(spark, sf), VOCAB_FIELDS).select(*KEY, *[f"{x}_id" for x in VOCAB_FIELDS])
+    return encoding.encode(pitch_rows(spark, sf), _vocab(spark, sf), VOCAB_FIELDS).select(*LINE, *[f"{x}_id" for x in VOCAB_FIELDS])
 
 
-@query("dict_decode_join", f"{LG}, {VOCAB} SELECT game, pa, seq, strikes * 4 + balls AS code, coalesce(vc.token, '<OOV>') AS decoded FROM lg LEFT JOIN vc ON field = 'token' AND id = strikes * 4 + balls")
+@query("dict_decode_join", f"{LG}, {VOCAB} SELECT game, pa, line, strikes * 4 + balls AS code, coalesce(vc.token, '<OOV>') AS decoded FROM lg LEFT JOIN vc ON field = 'token' AND id = strikes * 4 + balls")
 def dict_decode_join(spark, sf):
-    p = pitch_log(spark, sf).withColumn("code", F.col("strikes") * 4 + F.col("balls"))
-    return encoding.decode(p, _vocab(spark, sf), "token", "code", "decoded").select(*KEY, "code", "decoded")
+    p = pitch_rows(spark, sf).withColumn("code", F.col("strikes") * 4 + F.col("balls"))
+    return encoding.decode(p, _vocab(spark, sf), "token", "code", "decoded").select(*LINE, "code", "decoded")
 
 
-@query("oov_rows_anti", f"{LG}, {VOCAB} SELECT game, pa, seq, batter FROM lg WHERE CAST(batter AS VARCHAR) NOT IN (SELECT token FROM vc WHERE field = 'batter')")
+@query("oov_rows_anti", f"{LG}, {VOCAB} SELECT game, pa, line, batter FROM lg WHERE CAST(batter AS VARCHAR) NOT IN (SELECT token FROM vc WHERE field = 'batter')")
 def oov_rows_anti(spark, sf):
     v = encoding.small(_vocab(spark, sf).where("field = 'batter'").select("token"))
-    p = pitch_log(spark, sf)
-    return p.join(v.withColumnRenamed("token", "_t"), p["batter"].cast("string") == F.col("_t"), "left_anti").select(*KEY, "batter")
+    p = pitch_rows(spark, sf)
+    return p.join(v.withColumnRenamed("token", "_t"), p["batter"].cast("string") == F.col("_t"), "left_anti").select(*LINE, "batter")
 
 
-@query("in_vocab_semi", f"{LG}, {VOCAB} SELECT game, pa, seq, batter FROM lg WHERE CAST(batter AS VARCHAR) IN (SELECT token FROM vc WHERE field = 'batter')")
+@query("in_vocab_semi", f"{LG}, {VOCAB} SELECT game, pa, line, batter FROM lg WHERE CAST(batter AS VARCHAR) IN (SELECT token FROM vc WHERE field = 'batter')")
 def in_vocab_semi(spark, sf):
     v = encoding.small(_vocab(spark, sf).where("field = 'batter'").select("token"))
-    p = pitch_log(spark, sf)
-    return p.join(v.withColumnRenamed("token", "_t"), p["batter"].cast("string") == F.col("_t"), "left_semi").select(*KEY, "batter")
+    p = pitch_rows(spark, sf)
+    return p.join(v.withColumnRenamed("token", "_t"), p["batter"].cast("string") == F.col("_t"), "left_semi").select(*LINE, "batter")
 
 
 STATS = ["balls", "strikes", "outs", "inning", "score_diff"]
 
 
-@query("feature_stats", LG + "SELECT " + ", ".join(f"round(avg({c}), 6) AS {c}_mean, round(coalesce(nullif(stddev_samp({c}), 0), 1), 6) AS {c}_std" for c in STATS) + " FROM lg")
+@query("feature_stats", f"{LG}, {TRAIN} SELECT " + ", ".join(f"round(avg({c}), 6) AS {c}_mean, round(coalesce(nullif(stddev_samp({c}), 0), 1), 6) AS {c}_std" for c in STATS) + " FROM tr")
 def feature_stats(spark, sf):
-    s = splitting.feature_stats(pitch_log(spark, sf), STATS)
+    s = splitting.feature_stats(_train(spark, sf), STATS)
     return s.select(*[F.round(x, 6).alias(x) for x in s.columns])
 
 
-@query("zscore", f"{LG}, st AS (SELECT " + ", ".join(f"avg({c}) AS {c}_m, coalesce(nullif(stddev_samp({c}), 0), 1) AS {c}_s" for c in STATS) + " FROM lg) SELECT game, pa, seq, " + ", ".join(f"round(({c} - {c}_m) / {c}_s, 6) AS {c}_z" for c in STATS) + " FROM lg, st")
+@query("zscore", f"{LG}, {TRAIN}, st AS (SELECT " + ", ".join(f"avg({c}) AS {c}_m, coalesce(nullif(stddev_samp({c}), 0), 1) AS {c}_s" for c in STATS) + " FROM tr) SELECT game, pa, line, " + ", ".join(f"round(({c} - {c}_m) / {c}_s, 6) AS {c}_z" for c in STATS) + " FROM lg, st")
 def zscore(spark, sf):
-    p = pitch_log(spark, sf)
-    z = splitting.standardised(p, splitting.feature_stats(p, STATS), STATS)
-    return z.select(*KEY, *[F.round(f"{x}_z", 6).alias(f"{x}_z") for x in STATS])
+    p = pitch_rows(spark, sf)
+    z = splitting.standardised(p, splitting.feature_stats(_train(spark, sf), STATS), STATS)
+    return z.select(*LINE, *[F.round(f"{x}_z", 6).alias(f"{x}_z") for x in STATS])
 
 
 @query("lag_history", LG + "SELECT game, pa, seq, " + ", ".join(f"coalesce(lag(balls, {4 - i}) OVER w, 0) AS hist_balls_{i}, coalesce(lag(score_diff, {4 - i}) OVER w, 0) AS hist_score_diff_{i}" for i in range(4)) + " FROM lg WINDOW w AS (PARTITION BY game, pa ORDER BY seq)")
@@ -233,7 +241,7 @@ NEXT = """nx AS (SELECT *, CAST(lead(pa) OVER w IS NOT NULL AS INT) AS y_has_nex
  least(greatest(coalesce(lead(inning) OVER w, inning) - inning, 0), 1) AS y_inning_delta,
  least(greatest(coalesce(lead(score_diff) OVER w, score_diff) - score_diff, -4), 4) + 4 AS y_score_delta
  FROM lg WINDOW w AS (PARTITION BY game ORDER BY pa, seq))"""
-TARGETS = ["y_has_next", "y_pa_end", "y_next_balls", "y_next_strikes", "y_next_outs", "y_next_on_1", "y_next_on_2", "y_next_on_3", "y_next_side", "y_inning_delta", "y_score_delta"]
+TARGETS = list(prepare.TARGETS)
 
 
 @query("next_state", f"{LG}, {NEXT} SELECT game, pa, seq, {', '.join(TARGETS)} FROM nx")
@@ -263,7 +271,6 @@ def limit_per_group(spark, sf):
     return pitch_log(spark, sf).where("seq <= 3").select(*KEY, "token")
 
 
-FEATURES = [f"hist_token_id_{i}" for i in range(8)] + [f"hist_outcome_id_{i}" for i in range(8)] + [f"hist_x_{i}" for i in range(8)] + [f"hist_y_{i}" for i in range(8)]
 _HIST = ", ".join(f"coalesce(lag({c}, {8 - i}) OVER w, 0) AS hist_{c}_{i}" for c in ("token_id", "outcome_id", "x", "y") for i in range(8))
 
 
@@ -272,14 +279,12 @@ _HIST = ", ".join(f"coalesce(lag({c}, {8 - i}) OVER w, 0) AS hist_{c}_{i}" for c
  LEFT JOIN vc c ON c.field = 'pitcher' AND c.token = CAST(pitcher AS VARCHAR) LEFT JOIN vc d ON d.field = 'batter' AND d.token = CAST(batter AS VARCHAR))
  SELECT game, pa, seq, pitcher_id, batter_id, token_id, outcome_id, x, y, balls, strikes, outs, inning, score_diff, {', '.join(TARGETS)}, {_HIST} FROM en WINDOW w AS (PARTITION BY game, pa ORDER BY seq)""")
 def feature_matrix(spark, sf):
-    p = encoding.encode(sequences.next_state(pitch_log(spark, sf)), _vocab(spark, sf), VOCAB_FIELDS)
-    h = sequences.history(p, ["token_id", "outcome_id", "x", "y"], 8)
-    return h.select(*KEY, "pitcher_id", "batter_id", "token_id", "outcome_id", "x", "y", "balls", "strikes", "outs", "inning", "score_diff", *TARGETS, *FEATURES)
+    return prepare.assemble(pitch_log(spark, sf), _vocab(spark, sf), 8)
 
 
 @query("range_guard", LG + "SELECT min(balls) AS balls_min, max(balls) AS balls_max, min(strikes) AS strikes_min, max(strikes) AS strikes_max, min(outs) AS outs_min, max(outs) AS outs_max FROM lg")
 def range_guard(spark, sf):
-    return pitch_log(spark, sf).agg(*[f(x).alias(f"{x}_{n}") for x in ("balls", "strikes", "outs") for n, f in (("min", F.min), ("max", F.max))])
+    return pitch_rows(spark, sf).agg(*[f(x).alias(f"{x}_{n}") for x in ("balls", "strikes", "outs") for n, f in (("min", F.min), ("max", F.max))])
 
 
 @query("conversation_history", "SELECT conv_id, turn, role, coalesce(lag(role, 1) OVER w, '') AS prev_role, CAST(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS chars_so_far FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")

@@ -10,7 +10,7 @@ from plait.operators import learned, simulation
 from plait.plans.registry import query
 from plait.plans.relational import LG, bucketed
 from plait.plans.scoring import EMPIRICAL, VS, empirical, scored
-from plait.sources.tables import PITCH_SQL, pitch_log, vector_scores
+from plait.sources.tables import PITCH_SQL, pitch_log, pitch_rows, vector_scores
 
 _B, _E, _S = (", ".join(f"'{x}'" for x in v) for v in (rules.BALLS, rules.ENDS, rules.STRIKES))
 
@@ -77,9 +77,9 @@ def constrained_decode(spark, sf):
     return d.select("game", "pa", "seq", F.col("d.balls").alias("next_balls"), F.col("d.strikes").alias("next_strikes"), F.col("d.pa_end").alias("pa_end"), F.col("d.used").alias("used"))
 
 
-@query("replay_summary", EMPIRICAL + " SELECT count(*) AS n, count(DISTINCT game) AS games, round(avg(hit1), 6) AS acc, round(avg(hit3), 6) AS top3, round(sum(se), 4) AS loc_se, round(sqrt(avg(se / 2)), 6) AS loc_rmse FROM em WHERE game < 50")
+@query("replay_summary", EMPIRICAL + " SELECT count(*) AS n, count(DISTINCT game) AS games, round(avg(hit1), 6) AS acc, round(avg(hit3), 6) AS top3, round(sum(se), 4) AS loc_se, round(sqrt(avg(se / 2)), 6) AS loc_rmse FROM em")
 def replay_summary(spark, sf):
-    e = empirical(pitch_log(spark, sf)).where("game < 50")
+    e = empirical(pitch_log(spark, sf))
     return e.agg(F.count("*").alias("n"), F.count_distinct("game").alias("games"), F.round(F.avg("hit1"), 6).alias("acc"), F.round(F.avg("hit3"), 6).alias("top3"), F.round(F.sum("se"), 4).alias("loc_se"), F.round(F.sqrt(F.avg(F.col("se") / 2)), 6).alias("loc_rmse"))
 
 
@@ -106,6 +106,12 @@ def _count_sql(mode):
         r = _rules_sql("e.outcome", "s.balls", "s.strikes")
         return {f: f"CASE WHEN {r['used']} = 1 THEN {r[f]} ELSE {h[f]} END" for f in h}
     log = lambda top, i: f"CASE WHEN {top} = ({i}) THEN -0.25::DOUBLE ELSE -2.0::DOUBLE - ({i}) / 10.0::DOUBLE END"
+    if mode == "constrained":
+        told = [_rules_sql(f"'{o}'", "s.balls", "s.strikes") for o in _OUT]
+        weigh = lambda o, r: f"round(0.35::DOUBLE * CASE WHEN e.outcome = '{o}' THEN -0.1 ELSE -3.0 END + {log(h['pa_end'], r['pa_end'])} + {log(h['balls'], r['balls'])} + {log(h['strikes'], r['strikes'])}, 9)"
+        scores = ["-0.75::DOUBLE", *(weigh(o, r) for o, r in zip(_OUT, told))]
+        best = f"list_position([{', '.join(scores)}], greatest({', '.join(scores)}))"
+        return {f: f"CASE {best} " + " ".join(f"WHEN {i} THEN {x[f]}" for i, x in enumerate([h, *told], 1)) + " END" for f in h}
     stay = f"({log(h['balls'], 's.balls')} + {log(h['strikes'], 's.strikes')})"
     ball = f"CASE WHEN s.balls < 3 THEN {log(h['balls'], 's.balls + 1')} + {log(h['strikes'], 's.strikes')} ELSE -99 END"
     strike = f"CASE WHEN s.strikes < 2 THEN {log(h['balls'], 's.balls')} + {log(h['strikes'], 's.strikes + 1')} ELSE -99 END"
@@ -127,7 +133,7 @@ def rollout_sql(mode):
 
 for _mode in ("heads", "clamp", "rules", "constrained"):
 
-    @query(f"rollout_{_mode}", None if _mode == "constrained" else rollout_sql(_mode) + f" SELECT game, pa, seq, {', '.join(simulation.FIELDS)} FROM ro")
+    @query(f"rollout_{_mode}", rollout_sql(_mode) + f" SELECT game, pa, seq, {', '.join(simulation.FIELDS)} FROM ro")
     def rollout(spark, sf, mode=_mode):
         return simulation.rollout(coded_rows(pitch_log(spark, sf)), mode).select("game", "pa", "seq", *simulation.FIELDS)
 
@@ -138,24 +144,24 @@ def rollout_drift(spark, sf):
     return simulation.drift(rows, simulation.rollout(rows, "rules"))
 
 
-@query("trace_json", f"{LG} SELECT game, pa, seq, '{{\"pitch_number\":' || seq || ',\"state\":{{\"inning\":' || inning || ',\"balls\":' || balls || ',\"strikes\":' || strikes || '}},\"y\":{{\"token\":\"' || token || '\",\"outcome\":\"' || outcome || '\"}}}}' AS event FROM lg WHERE game < 5")
+@query("trace_json", f"{LG} SELECT game, pa, seq, '{{\"pitch_number\":' || seq || ',\"state\":{{\"inning\":' || inning || ',\"balls\":' || balls || ',\"strikes\":' || strikes || '}},\"y\":{{\"token\":\"' || token || '\",\"outcome\":\"' || outcome || '\"}}}}' AS event FROM lg")
 def trace_json(spark, sf):
     state = F.struct(F.col("inning").cast("int").alias("inning"), F.col("balls").cast("int").alias("balls"), F.col("strikes").cast("int").alias("strikes"))
-    return pitch_log(spark, sf).where("game < 5").select("game", "pa", "seq", F.to_json(F.struct(F.col("seq").alias("pitch_number"), state.alias("state"), F.struct("token", "outcome").alias("y"))).alias("event"))
+    return pitch_log(spark, sf).select("game", "pa", "seq", F.to_json(F.struct(F.col("seq").alias("pitch_number"), state.alias("state"), F.struct("token", "outcome").alias("y"))).alias("event"))
 
 
 @query("trace_at_bat", f"{LG} SELECT game, pa, seq, token, outcome, balls, strikes FROM lg WHERE game = 7 AND pa = (SELECT min(pa) FROM lg WHERE game = 7) ORDER BY seq")
 def trace_at_bat(spark, sf):
-    g = pitch_log(spark, sf).where("game = 7")
+    g = pitch_log(spark, sf, game=7)
     first = g.agg(F.min("pa").alias("_first"))
     return g.join(F.broadcast(first), F.col("pa") == F.col("_first")).select("game", "pa", "seq", "token", "outcome", "balls", "strikes").orderBy("seq")
 
 
-@query("predict_requests", VS + "SELECT vec_id, max(CASE WHEN r = 1 THEN c END) AS type_1, round(max(CASE WHEN r = 1 THEN p END), 6) AS prob_1, max(CASE WHEN r = 5 THEN c END) AS type_5, round(max(CASE WHEN r = 5 THEN p END), 6) AS prob_5 FROM rk WHERE vec_id % 10 = 0 GROUP BY vec_id")
+@query("predict_requests", VS + "SELECT vec_id, max(CASE WHEN r = 1 THEN c END) AS type_1, round(max(CASE WHEN r = 1 THEN p END), 6) AS prob_1, max(CASE WHEN r = 5 THEN c END) AS type_5, round(max(CASE WHEN r = 5 THEN p END), 6) AS prob_5 FROM rk GROUP BY vec_id")
 def predict_requests(spark, sf):
     from plait.functions.vectors import ranked
 
-    s = scored(spark, sf).where("vec_id % 10 = 0").withColumn("r", ranked("p"))
+    s = scored(spark, sf).withColumn("r", ranked("p"))
     at = lambda i: F.get("r", F.lit(i - 1))
     return s.select("vec_id", *[x for i in (1, 5) for x in (at(i)["class"].cast("bigint").alias(f"type_{i}"), F.round(at(i)["p"], 6).alias(f"prob_{i}"))])
 
@@ -167,22 +173,26 @@ def kmeans_clusters(spark, sf):
 
 @query("cluster_profile")
 def cluster_profile(spark, sf):
-    c = learned.clusters(vector_scores(spark, sf), "v", 8).select(F.col("vec_id").alias("_v"), "cluster")
-    p = pitch_log(spark, sf)
-    return p.join(c, p["batter"] % 500 == F.col("_v"), "left").groupBy("pitcher", F.coalesce("cluster", F.lit(0)).alias("batter_cluster")).agg(F.count("*").alias("n"), F.avg("x").alias("mean_x"))
+    v = vector_scores(spark, sf)
+    c = learned.clusters(v, "v", 8).select(F.col("vec_id").alias("_v"), "cluster")
+    p = pitch_rows(spark, sf)
+    return p.join(c, p["batter"] % v.count() == F.col("_v"), "left").groupBy("pitcher", F.coalesce("cluster", F.lit(0)).alias("batter_cluster")).agg(F.count("*").alias("n"), F.avg("x").alias("mean_x"))
 
 
 @query("mlp_predict")
 def mlp_predict(spark, sf):
-    p = bucketed(pitch_log(spark, sf))
-    return learned.mlp(p, ["balls", "strikes", "outs", "inning", "score_diff", "runners_state", "stand_id"], "token")
+    p = bucketed(pitch_log(spark, sf)).withColumn("split", F.when(F.col("day") < "1998-01-01", "train").otherwise("valid"))
+    return learned.mlp(p.where("split = 'train'"), p.where("split = 'valid'"), ["balls", "strikes", "outs", "inning", "score_diff", "runners_state", "stand_id"], "token")
 
 
-@query("state_corruption")
-def state_corruption(spark, sf):
-    p = pitch_log(spark, sf)
-    j = lambda seed: F.floor(F.rand(seed) * 3).cast("int") - 1
-    put = lambda x, hi, seed: F.when(F.rand(seed) < 0.2, X.clip(F.col(x) + j(seed + 1), 0, hi)).otherwise(F.col(x))
-    return p.select("game", "pa", "seq", put("balls", 3, 11).alias("balls"), put("strikes", 2, 21).alias("strikes"))
+def _noise_sql(seed, n):
+    return f"((pa * 7919 + line * 104729 + {seed} * 1299709) % 2147483647 * 48271 % 2147483647 * 48271 % 2147483647 % {n})"
+
 
+_PUT_SQL = "CASE WHEN {hit} < 200 THEN least(greatest({c} + {jump} - 1, 0), {hi}) ELSE {c} END AS {c}"
+CORRUPTED = {"balls": (3, 11), "strikes": (2, 21)}
 
+
+@query("state_corruption", f"{LG} SELECT game, pa, line, " + ", ".join("CAST(" + _PUT_SQL.format(c=c, hi=hi, hit=_noise_sql(seed, 1000), jump=_noise_sql(seed + 1, 3)).replace(f" AS {c}", f" AS INT) AS {c}") for c, (hi, seed) in CORRUPTED.items()) + " FROM lg")
+def state_corruption(spark, sf):
+    return simulation.corrupted(pitch_rows(spark, sf), CORRUPTED, ["pa", "line"], 0.2, 1).select("game", "pa", "line", *CORRUPTED)

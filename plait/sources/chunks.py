@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import datetime as dt
 import json
-import os
+import time
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from plait.sources import artifacts
+
 
 def date_chunks(spark: SparkSession, start: str, end: str, days: int) -> DataFrame:
     """(chunk_start, chunk_end): inclusive windows of ``days`` days, the last one clipped."""
@@ -21,31 +25,38 @@ def date_chunks(spark: SparkSession, start: str, end: str, days: int) -> DataFra
     return one.select("chunk_start", F.least(F.date_add("chunk_start", days - 1), F.lit(end).cast("date")).alias("chunk_end"))
 
 
-def scan_chunks(spark: SparkSession, paths: list[str], schema: StructType, report: str | None = None) -> DataFrame:
+def _schema_of(spark: SparkSession, path: str, attempts: int, wait: float) -> StructType | str:
+    """A file's schema, or why it cannot be read after so many attempts, each after twice the wait."""
+    for i in range(attempts):
+        try:
+            return spark.read.parquet(path).schema
+        except Exception as e:  # an unreadable footer or a store that is away, whatever the reader says of it
+            reason = f"unreadable: {type(e).__name__}"
+            if i + 1 < attempts:
+                time.sleep(wait * 2**i)
+    return reason
+
+
+def scan_chunks(spark: SparkSession, paths: list[str], schema: StructType, report: str | None = None, attempts: int = 1, wait: float = 1.0, at_once: int = 16) -> DataFrame:
     """One DataFrame over the readable files that have all columns of ``schema``; the others go to the ``report``.
 
-    Each file is cast to the schema, so chunks written empty (with other types) fit too.  No readable file is an error."""
-    good, skipped = [], []
-    for path in paths:
-        try:
-            found = spark.read.parquet(path)
-        except Exception as e:  # an unreadable footer, whatever the reader says of it
-            skipped.append({"path": path, "reason": f"unreadable: {type(e).__name__}"})
-            continue
-        missing = [f.name for f in schema if f.name not in found.columns]
-        if missing:
-            skipped.append({"path": path, "reason": f"missing columns: {', '.join(missing)}"})
+    Footers are read ``at_once`` at a time; files of one schema are one scan, cast to ``schema``, so chunks written empty
+    (with other types) fit too.  No readable file is an error."""
+    with ThreadPoolExecutor(at_once) as pool:
+        found = list(pool.map(lambda p: _schema_of(spark, p, attempts, wait), paths))
+    groups, skipped = {}, []
+    for path, has in zip(paths, found):
+        missing = [] if isinstance(has, str) else [f.name for f in schema if f.name not in has.names]
+        if isinstance(has, str) or missing:
+            skipped.append({"path": path, "reason": has if isinstance(has, str) else f"missing columns: {', '.join(missing)}"})
         else:
-            good.append(found.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema]))
+            groups.setdefault(has.json(), []).append(path)
     if report:
-        with open(report, "w") as out:
-            json.dump(skipped, out, indent=1, sort_keys=True)
-    if not good:
+        artifacts.write_json(spark, report, skipped, overwrite=True)
+    if not groups:
         raise ValueError("no readable file")
-    out = good[0]
-    for x in good[1:]:
-        out = out.unionByName(x)
-    return out
+    scans = [spark.read.schema(StructType.fromJson(json.loads(k))).parquet(*g).select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema]) for k, g in groups.items()]
+    return reduce(DataFrame.unionByName, scans)
 
 
 def write_empty(spark: SparkSession, schema: StructType, path: str) -> None:
@@ -61,7 +72,6 @@ def write_split(rows: DataFrame, path: str, overwrite: bool = False, rows_per_fi
 
 def missing_chunks(spark: SparkSession, chunks: DataFrame, folder: str) -> DataFrame:
     """Chunks that have no file ``events_<start>_<end>`` in the folder yet: a resumed download."""
-    have = [x for x in os.listdir(folder)] if os.path.isdir(folder) else []
-    names = spark.createDataFrame([(x,) for x in have], "name string")
+    have = spark.createDataFrame([(x,) for x in artifacts.names(spark, folder)], "name string")
     name = F.concat(F.lit("events_"), F.col("chunk_start").cast("string"), F.lit("_"), F.col("chunk_end").cast("string"), F.lit(".parquet"))
-    return chunks.withColumn("name", name).join(names, "name", "left_anti")
+    return chunks.withColumn("name", name).join(have, "name", "left_anti")

@@ -18,15 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 OUTCOMES = ("ball", "blocked_ball", "pitchout", "hit_by_pitch", "hit_into_play", "called_strike", "swinging_strike", "swinging_strike_blocked", "foul_tip", "missed_bunt", "foul", "foul_bunt", "other")
 
 
-def pitch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem with orders as a play-by-play log: one exchange on ``game`` serves the sequence number and all later windows."""
+PER_GAME = 16
+_ORDER = ("line", "l_partkey", "l_suppkey", "l_extendedprice")
+
+
+def _pitches(spark: SparkSession, sf_dir: str, game: int | None = None) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    if game is not None:  # as a range of the key, so that the filter reaches both scans
+        li, orders = (x.where(F.col(k).between(game * PER_GAME, game * PER_GAME + PER_GAME - 1)) for x, k in ((li, "l_orderkey"), (orders, "o_orderkey")))
     n = lambda c: F.round(F.col(c) * 100).cast("int")
     q = F.col("l_quantity").cast("int")
-    rows = li.join(orders, li["l_orderkey"] == orders["o_orderkey"]).select(
-        F.expr("l_orderkey div 16").alias("game"), F.col("l_orderkey").alias("pa"),
-        "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
+    return li.join(orders, li["l_orderkey"] == orders["o_orderkey"]).select(
+        F.expr(f"l_orderkey div {PER_GAME}").alias("game"), F.col("l_orderkey").alias("pa"),
+        F.col("l_linenumber").alias("line"), "l_partkey", "l_suppkey", "l_extendedprice",
         F.col("o_orderdate").cast("date").alias("day"),
         F.concat("l_returnflag", "l_linestatus").alias("token"),
         F.element_at(F.array(*[F.lit(x) for x in OUTCOMES]), q % 13 + 1).alias("outcome"),
@@ -42,13 +47,22 @@ def pitch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("CASE WHEN l_partkey % 5 = 0 THEN l_partkey END").alias("on_3"),
         ((F.col("l_partkey") % 200 - 100) / F.lit(50.0)).alias("x"),
         ((F.col("l_suppkey") % 40) / F.lit(10.0) + F.lit(0.5)).alias("y"),
-    ).repartition("game")
-    order = Window.partitionBy("game", "pa").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    return rows.withColumn("seq", F.row_number().over(order)).drop("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    )
+
+
+def pitch_rows(spark: SparkSession, sf_dir: str, game: int | None = None) -> DataFrame:
+    """lineitem with orders as a play-by-play log, without the sequence number: no exchange beyond the join's."""
+    return _pitches(spark, sf_dir, game).drop(*_ORDER[1:])
+
+
+def pitch_log(spark: SparkSession, sf_dir: str, game: int | None = None) -> DataFrame:
+    """``pitch_rows`` with ``seq``, the place in its session: one exchange on ``game`` serves it and all later windows."""
+    order = Window.partitionBy("game", "pa").orderBy(*_ORDER)
+    return _pitches(spark, sf_dir, game).repartition("game").withColumn("seq", F.row_number().over(order)).drop(*_ORDER[1:])
 
 
 _CASES = " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(OUTCOMES))
-PITCH_SQL = f"""lg AS (SELECT l_orderkey // 16 AS game, l_orderkey AS pa,
+PITCH_SQL = f"""lg AS (SELECT l_orderkey // 16 AS game, l_orderkey AS pa, l_linenumber AS line,
  CAST(o_orderdate AS DATE) AS day, l_returnflag || l_linestatus AS token,
  CASE CAST(floor(l_quantity) AS INT) % 13 {_CASES} END AS outcome,
  l_suppkey AS pitcher, o_custkey AS batter, (l_linenumber - 1) % 4 AS balls,
