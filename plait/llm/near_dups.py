@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from plait.llm import darts
 from plait.llm.shared import written
 
-CHUNK = 1 << 20  # characters that are signed together
+CHUNK = 1 << 18  # characters that are signed together
 
 
 def node_key(text) -> F.Column:
@@ -92,7 +92,7 @@ def signed(docs: DataFrame, bands: int, rows: int, k: int, width: int, weighted:
 class ShingleSets:
     """The shingle sets of a task's latest texts, by node; emptied beyond ``limit`` shingles."""
 
-    def __init__(self, width: int, limit: int = 4_000_000):
+    def __init__(self, width: int, limit: int = 1_000_000):
         self.width, self.limit, self.known, self.size, self.hasher = width, limit, {}, 0, darts.SpanHasher()
 
     def get(self, node: int, text: str) -> tuple[np.ndarray, np.ndarray]:

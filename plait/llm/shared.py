@@ -16,10 +16,15 @@ REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 SPACE = r"\x20\x09-\x0D"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
+#: Large arrays are mapped one by one, so that a worker that is kept between tasks does not keep their memory too.
+WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "8388608", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The Parquet table ``name``; also lets the Python workers import this package."""
+    """The Parquet table ``name``; also lets the Python workers import this package, and give freed memory back."""
     env = spark.sparkContext.environment
+    for k, v in WORKER_MEMORY.items():
+        env.setdefault(k, v)
     if REPO not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), REPO) if x)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

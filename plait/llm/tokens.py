@@ -33,7 +33,7 @@ def default_path() -> str:
 class ChunkTokenizer:
     """Encodes texts to little-endian unsigned 32-bit ids.  ``limit`` bounds each cache, which is emptied beyond it."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 150_000):
         self.whole = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             kind = json.load(f)
