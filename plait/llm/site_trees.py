@@ -9,6 +9,9 @@ noise word in a name (``id="related-work"``), and texts on every page go in spit
 whole name (``<nav>``, ``class="ad"``) always goes: such texts are often unique to a page.  Roles decide alone for hosts
 with too few pages to compare.
 
+Importance is carried up the tree one level a round, by joins on (host, parent), so that no task gets a whole host.  Nodes below
+``MAX_DEPTH`` levels are merged with their ancestor on that level; their texts count, and stay or go, with it.
+
 * null or empty html, and pages without an important block, give an empty text with 0 characters.
 * null urls share the empty host; null ids are kept; repeated rows are extracted one by one.
 * cut-off tags, comments and scripts run to the end of the page; an empty table gives no rows; extra columns are ignored.
@@ -17,16 +20,16 @@ with too few pages to compare.
 from __future__ import annotations
 
 import html as entities
-import math
 import re
 import zlib
+from functools import reduce
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plait.llm.shared import written
+from plait.llm.urls import host_and_path
 
 #: HTML's element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -48,30 +51,31 @@ NO_PARENT = -1
 #: Roles of a node: noise by its tag or a whole class or id (-2), by a word within one (-1), content (1), unknown (0); what a
 #: role multiplies importance by.  At the threshold of 0.3 entropy can overrule all but -2.
 WEIGHTS = {-2: 0.25, -1: 0.5, 0: 1.0, 1: 1.5}
-EMITTED = "host string, node long, parent long, kind int, role int, feature long"
-
-
-def host_of(url):
-    """After the first ``://`` up to ``/ ? #`` or the end, A-Z lower-cased; null or none: empty."""
-    return F.coalesce(F.translate(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?s).*?://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
+MAX_DEPTH = 48
+EMITTED = "host string, node long, parent long, depth int, kind int, role int, feature long"
 
 
 class _Node:
-    __slots__ = ("tag", "key", "parent", "role", "children")
+    __slots__ = ("tag", "key", "up", "depth", "parent", "role", "children", "kept")
 
-    def __init__(self, tag: str, names: frozenset[str], parent: _Node | None, whole: frozenset[str] = frozenset()):
+    def __init__(self, tag: str, names: frozenset[str], parent: _Node | None, whole: frozenset[str] = frozenset(), gone: frozenset[int] = frozenset()):
         self.tag, self.parent, self.children = tag, parent, []
-        up = parent.role if parent else 0
+        role = parent.role if parent else 0
         named = tag not in CONTENT_TAGS and tag != "body" and tag != "html"
-        noise = tag in NOISE_TAGS or (tag == "header" and up <= 0) or (named and not whole.isdisjoint(NOISE_NAMES))
-        self.role = -2 if up < -1 or noise else -1 if up < 0 or (named and not names.isdisjoint(NOISE_NAMES)) else 1 if up > 0 or tag in CONTENT_TAGS else 0
-        step = f"{tag}.{'.'.join(sorted(names))}{'!' * noise}".encode()
-        self.key = zlib.crc32(step, parent.key & 0xFFFFFFFF if parent else 0) | (zlib.adler32(step, parent.key >> 32 & 0x7FFFFFFF if parent else 1) & 0x7FFFFFFF) << 32
-
-
-def blocks(page: str | None) -> tuple[list[tuple[_Node, str]], list[_Node]]:
-    """The blocks of a page in order, each with its node, and all its presentation nodes."""
-    root = _Node("#", frozenset(), None)
+        noise = tag in NOISE_TAGS or (tag == "header" and role <= 0) or (named and not whole.isdisjoint(NOISE_NAMES))
+        self.role = -2 if role < -1 or noise else -1 if role < 0 or (named and not names.isdisjoint(NOISE_NAMES)) else 1 if role > 0 or tag in CONTENT_TAGS else 0
+        if parent and parent.depth >= MAX_DEPTH:
+            self.key, self.up, self.depth = parent.key, parent.up, parent.depth
+        else:
+            step = f"{tag}.{'.'.join(sorted(names))}{'!' * noise}".encode()
+            self.key = zlib.crc32(step, parent.key & 0xFFFFFFFF if parent else 0) | (zlib.adler32(step, parent.key >> 32 & 0x7FFFFFFF if parent else 1) & 0x7FFFFFFF) << 32
+            self.up, self.depth = (parent.key, parent.depth + 1) if parent else (NO_PARENT, 0)
+        self.kept = (parent is None or parent.kept) and self.key not in gone
+
+
+def blocks(page: str | None, gone: frozenset[int] = frozenset()) -> tuple[list[tuple[_Node, str]], list[_Node]]:
+    """The blocks of a page in order, each with its node, and all its presentation nodes; those at or below a node in ``gone`` are not kept."""
+    root = _Node("#", frozenset(), None, gone=gone)
     stack, nodes, out, text = [root], [root], [], []
     raw = None  # the element whose raw text is being skipped
 
@@ -142,7 +146,7 @@ def blocks(page: str | None) -> tuple[list[tuple[_Node, str]], list[_Node]]:
                     break
         elif stack[-1].tag == "p":
             del stack[-1]
-        node = _Node(tag, names, stack[-1], whole)
+        node = _Node(tag, names, stack[-1], whole, gone)
         stack[-1].children.append(tag)
         stack.append(node)
         nodes.append(node)
@@ -160,84 +164,68 @@ def merged_trees(pages: DataFrame) -> DataFrame:
 
     def emitted(batches):
         for b in batches:
-            cols = [[] for _ in range(6)]
+            cols = [[] for _ in range(7)]
             for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 found, nodes = blocks(page)
                 rows = set()
                 for n in nodes:
-                    p = n.parent.key if n.parent else NO_PARENT
-                    rows.add((host, n.key, p, 0, n.role, 0))  # the page has the node
+                    at = (host, n.key, n.up, n.depth)
+                    rows.add((*at, 0, n.role, 0))  # the page has the node
                     if n.children:
-                        rows.add((host, n.key, p, 1, n.role, _hash(" ".join(n.children))))
-                rows |= {(host, n.key, n.parent.key if n.parent else NO_PARENT, 2, n.role, _hash(s)) for n, s in found}
+                        rows.add((*at, 1, n.role, _hash(" ".join(n.children))))
+                rows |= {(host, n.key, n.up, n.depth, 2, n.role, _hash(s)) for n, s in found}
                 for c, x in zip(cols, zip(*rows)):
                     c += x
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["host", "node", "parent", "kind", "role", "feature"])
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["host", "node", "parent", "depth", "kind", "role", "feature"])
 
-    rows = pages.select(host_of(F.col("url").cast("string")).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(emitted, EMITTED)
-    counted = rows.groupBy("host", "node", "parent", "kind", "feature").agg(F.count("*").alias("k"), F.max("role").alias("role"))
+    rows = pages.select(host_and_path(F.col("url").cast("string"))[0].alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(emitted, EMITTED)
+    at = ("host", "node", "parent", "depth")
+    counted = rows.groupBy(*at, "kind", "feature").agg(F.count("*").alias("k"), F.max("role").alias("role"))
     one = lambda kind, x: F.coalesce(F.sum(F.when(F.col("kind") == kind, x)), F.lit(0.0))
     k = F.col("k").cast("double")
-    return counted.groupBy("host", "node", "parent").agg(
+    return counted.groupBy(*at).agg(
         F.max("role").alias("role"), one(0, k).alias("m"),
         one(1, F.lit(1.0)).alias("n_styles"), one(1, k).alias("style_k"), one(1, k * F.log(k)).alias("style_klogk"),
         one(2, F.lit(1.0)).alias("n_texts"), one(2, F.log(k)).alias("text_logk"),
     )
 
 
-def importance(nodes: pd.DataFrame, gamma: float = 0.9) -> dict[int, float]:
-    """Composite importance of each node of one host's merged tree."""
-    children, rows = {}, {r.node: r for r in nodes.itertuples()}
-    for r in rows.values():
-        children.setdefault(r.parent, []).append(r.node)
-    out: dict[int, float] = {}
-
-    def of(node: int, seen: tuple = ()) -> float:
-        if node in out or node in seen:
-            return out.get(node, 1.0)
-        r = rows[node]
-        log_m = math.log(r.m) if r.m > 1 else 0.0
-        parts = [1 - r.text_logk / r.n_texts / log_m if log_m else 1.0] if r.n_texts else []  # 1 - mean entropy of its texts over pages
-        below = [of(c, (*seen, node)) for c in children.get(node, ())]
-        if below:
-            spread = (math.log(r.style_k) - r.style_klogk / r.style_k) / log_m if log_m and r.style_k else 1.0
-            fade = gamma ** max(1.0, r.n_styles)
-            parts.append((1 - fade) * min(1.0, spread) + fade * sum(below) / len(below))
-        out[node] = max(0.0, min(1.0, max(parts))) if parts else 0.0
-        return out[node]
-
-    for node in rows:
-        of(node)
-    return out
+def importance(trees: DataFrame, min_pages: int = 3, gamma: float = 0.9) -> DataFrame:
+    """(host, node, n_texts, importance, leaf) of the merged trees.
+
+    ``importance`` is the composite one: 1 less the mean entropy of a node's texts over pages, or the spread of its styles with its children's
+    mean importance.  ``leaf`` is that of the most important block at or below a node: its texts' entropy times the weight of
+    its role; on hosts of under ``min_pages`` pages the role decides alone.  The deepest level comes first; each is a written table."""
+    trees = written(trees, "site-trees")
+    pages = trees.where("depth = 0").groupBy("host").agg(F.max("m").alias("pages"))
+    log_m = F.log(F.greatest("m", F.lit(1.0)))
+    told = F.try_divide(F.col("text_logk"), F.col("n_texts"))
+    weight = F.element_at(F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv]), F.col("role"))
+    block = F.when(F.col("pages") >= min_pages, (1 - told / F.log(F.greatest("m", F.lit(float(max(min_pages, 2)))))) * weight).otherwise((F.col("role") >= 0).cast("double"))
+    texts = F.when(F.col("n_texts") > 0, F.when(log_m > 0, 1 - told / log_m).otherwise(1.0))
+    spread = F.when((log_m > 0) & (F.col("style_k") > 0), (F.log("style_k") - F.col("style_klogk") / F.col("style_k")) / log_m).otherwise(1.0)
+    fade = F.pow(F.lit(gamma), F.greatest("n_styles", F.lit(1.0)))
+    rows = trees.join(pages, "host").select("host", "node", "parent", "depth", "n_texts", texts.alias("texts"), F.when(F.col("n_texts") > 0, block).alias("block"), fade.alias("fade"), F.least(F.lit(1.0), spread).alias("spread"))
+    rows, levels, below = written(rows, "site-nodes"), [], None
+    for depth in range(trees.agg(F.max("depth")).first()[0] or 0, -1, -1):
+        level = rows.where(F.col("depth") == depth)
+        if below is None:
+            level = level.withColumns({"kids": F.lit(None).cast("double"), "kids_leaf": F.lit(None).cast("double")})
+        else:
+            kids = below.groupBy(F.col("host").alias("_h"), F.col("parent").alias("_p")).agg(F.avg("importance").alias("kids"), F.max("leaf").alias("kids_leaf"))
+            level = level.join(kids, (F.col("host") == F.col("_h")) & (F.col("node") == F.col("_p")), "left")
+        styles = (1 - F.col("fade")) * F.col("spread") + F.col("fade") * F.col("kids")
+        value = F.least(F.lit(1.0), F.greatest(F.coalesce(F.greatest("texts", styles), F.lit(0.0)), F.lit(0.0)))
+        below = written(level.select("host", "node", "parent", "n_texts", value.alias("importance"), F.coalesce(F.greatest("block", "kids_leaf"), F.lit(0.0)).alias("leaf")), "site-level")
+        levels.append(below)
+    return reduce(DataFrame.union, levels).drop("parent")
 
 
 def removed_nodes(trees: DataFrame, threshold: float = 0.3, min_pages: int = 3) -> DataFrame:
-    """(host, node) of branches to remove: low importance with no important leaf below.
-
-    A block's importance is that of its texts' entropy over pages, times the weight of its role.  On hosts of under
-    ``min_pages`` pages the role decides alone.
-
-    The groups hold one host's distinct nodes, not its pages.
-    """
-
-    def low(table: pa.Table) -> pa.Table:
-        nodes = table.to_pandas()
-        imp = importance(nodes)
-        leaf = {}  # the most important leaf at or below
-        rows = {r.node: r for r in nodes.itertuples()}
-        comparable = nodes.m.max() >= min_pages  # every page has the root
-        for r in rows.values():
-            if r.n_texts:
-                own = (1 - r.text_logk / r.n_texts / math.log(max(r.m, min_pages, 2))) * WEIGHTS[r.role] if comparable else float(r.role >= 0)
-                at, steps = r.node, 0
-                while at in rows and steps < 1000:
-                    leaf[at] = max(leaf.get(at, 0.0), own)
-                    at, steps = rows[at].parent, steps + 1
-        gone = [n for n, r in rows.items() if (leaf.get(n, 0.0) < threshold and imp[n] < threshold) or (r.n_texts and leaf.get(n, 0.0) < threshold)]
-        return pa.table({"host": pa.array([nodes.host.iloc[0]] * len(gone), pa.string()), "node": pa.array(gone, pa.int64())})
-
-    return trees.groupBy("host").applyInArrow(low, "host string, node long")
+    """(host, node) of branches to remove: without an important block at or below them, and, unless they hold blocks, of low importance themselves."""
+    low = (F.col("leaf") < threshold) & ((F.col("importance") < threshold) | (F.col("n_texts") > 0))
+    return importance(trees, min_pages).where(low).select("host", "node")
 
 
 def extract(pages: DataFrame, threshold: float = 0.3, max_broadcast: int = 500_000) -> DataFrame:
@@ -245,7 +233,7 @@ def extract(pages: DataFrame, threshold: float = 0.3, max_broadcast: int = 500_0
     each host's list is joined to its pages with salts, so that a hot host is dealt over many tasks."""
     spark = pages.sparkSession
     gone = written(removed_nodes(merged_trees(pages), threshold), "removed-nodes")
-    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host_of(F.col("url").cast("string")).alias("host"))
+    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host_and_path(F.col("url").cast("string"))[0].alias("host"))
     few = gone.count() <= max_broadcast
     if few:
         by_host: dict[str, set[int]] = {}
@@ -263,14 +251,8 @@ def extract(pages: DataFrame, threshold: float = 0.3, max_broadcast: int = 500_0
             host, page, lists = (b.column(i).to_pylist() for i in (2, 3, 4))
             out = []
             for h, p, more in zip(host, page, lists):
-                drop = known.value.get(h, frozenset()) if known else frozenset(more or ())
-                kept = []
-                for n, s in blocks(p)[0]:
-                    at = n
-                    while at is not None and at.key not in drop:
-                        at = at.parent
-                    if at is None:
-                        kept.append(s)
+                gone = known.value.get(h, frozenset()) if known else frozenset(more or ())
+                kept = [s for n, s in blocks(p, gone)[0] if n.kept]
                 out.append("\n\n".join(kept))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array([len(s) for s in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

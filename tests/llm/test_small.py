@@ -295,6 +295,57 @@ def test_entropy_overrules_roles_in_both_directions(spark):
     assert all(got[90 + i] == f"Body {i}\n\nRead this in our app" for i in range(2))
 
 
+def test_importance_is_that_of_the_recursive_definition(spark):
+    r = np.random.default_rng(4)
+    tags = ["div", "section", "p", "ul", "article", "nav"]
+
+    def tree(depth):
+        if depth == 0 or r.random() < 0.2:
+            return f"<p>{WORDS[r.integers(4)] if r.random() < 0.5 else r.integers(10**6)}</p>"
+        t = tags[r.integers(len(tags))]
+        return f"<{t} class='{'abc'[r.integers(3)]}'>" + "".join(tree(depth - 1) for _ in range(r.integers(1, 4))) + f"</{t}>"
+
+    rows = [(f"http://h{i % 3}.example/{i}", tree(5)) for i in range(40)] + [("http://one.example/", tree(4))]
+    trees = site_trees.merged_trees(spark.createDataFrame(rows, "url string, html string"))
+    nodes = {(x.host, x.node): x for x in trees.collect()}
+    kids, pages = {}, {}
+    for (h, _), x in nodes.items():
+        kids.setdefault((h, x.parent), []).append((h, x.node))
+        pages[h] = max(pages.get(h, 0), x.m)
+
+    def value(k):
+        x, log_m = nodes[k], math.log(max(1, nodes[k].m))
+        below = [value(c) for c in kids.get(k, ())]
+        parts = [1 - x.text_logk / x.n_texts / log_m if log_m else 1.0] if x.n_texts else []
+        own = (1 - x.text_logk / x.n_texts / math.log(max(x.m, 3))) * site_trees.WEIGHTS[x.role] if x.n_texts and pages[k[0]] >= 3 else float(x.role >= 0) if x.n_texts else None
+        if below:
+            spread = (math.log(x.style_k) - x.style_klogk / x.style_k) / log_m if log_m and x.style_k else 1.0
+            fade = 0.9 ** max(1.0, x.n_styles)
+            parts.append((1 - fade) * min(1.0, spread) + fade * sum(b[0] for b in below) / len(below))
+        leaves = [v for v in [own, *(b[1] for b in below)] if v is not None]
+        return max(0.0, min(1.0, max(parts, default=0.0))), max(leaves, default=0.0)
+
+    got = {(x.host, x.node): (x.importance, x.leaf) for x in site_trees.importance(trees).collect()}
+    assert got.keys() == nodes.keys() and all(np.allclose(got[k], value(k)) for k in nodes)
+
+
+def test_main_text_of_awkward_tables(spark):
+    deep = "<div>" * 20_000 + "<p>at the bottom</p>" + "</div>" * 20_000
+    rows = [(1, "http://deep.example/", deep, "a", 1), (None, "http://deep.example/", None, "a", 1), (2, None, "<p>no host</p>", "a", 1), (2, None, "<p>no host</p>", "a", 1), (3, "x", "<p>" + "long " * 200_000, "a", 1)]
+    kind = "page_id long, url string, html string, host string, gone int"
+    got = sorted(((r.page_id, r.text, r.n_chars) for r in site_trees.extract(spark.createDataFrame(rows, kind)).collect()), key=str)
+    long = ("long " * 200_000).strip()
+    assert got == sorted([(1, "at the bottom", 13), (None, "", 0), (2, "no host", 7), (2, "no host", 7), (3, long, len(long))], key=str)
+    assert site_trees.extract(spark.createDataFrame([], kind)).count() == 0
+
+
+def test_unnamed_boilerplate_goes_and_named_content_stays(spark):
+    page = "<body><div id=x1>Join two million happy readers</div><div class='sidebar-story'><p>Case {i} of the court</p></div></body>"
+    rows = [(i, f"http://court.example/{i}", page.replace("{i}", str(i))) for i in range(30)]
+    got = {r.page_id: r.text for r in site_trees.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Case {i} of the court" for i in range(30))
+
+
 def test_scripts_end_at_their_own_end_tag():
     for script in ("for(i=0;i<n;i++){f()}", "if(a<b){s=\"don't\"}", "x = a<b ? 'it' : \"'\";", "s='</p>'"):
         page = f"<SCRIPT>{script}</Script ><article><p>It's all here</p></article><svg><style>a<b{{}}</style></svg><p>End</p>"
