@@ -5,7 +5,7 @@ source's target) and a ceiling on repeats.  The convex dual has one multiplier a
 document exponentially, ``rate = min(ceiling, exp(multiplier * size / scale))``.  Newton's method solves it: each
 iteration is one distributed pass over (source, size, documents) that returns one row a source.  Rates become
 whole copies by systematic rounding along the sizes, exact over all documents, so a source's error stays below
-one document.
+one document; single copies given or taken then bring each source's words nearer to its target.
 
 * a null text has 0 words, and takes nothing; documents of 0 words keep rate 1.
 * null is a source of its own, last in order; a null ``doc_id`` is kept; repeated rows are mixed one by one.
@@ -110,7 +110,24 @@ def solve(sizes: DataFrame, sources: list[Source], iterations: int = 60, toleran
             s.multiplier = step if b[0] < step < b[1] else (b[0] + b[1]) / 2
 
 
-def mix(docs: DataFrame, pattern: tuple[float, ...] = (5, 2, 1), max_sources: int = 100_000, deal: int = 64, offsets: int = 32) -> DataFrame:
+def nearer(chosen: DataFrame, rounds: int) -> DataFrame:
+    """Each round gives or takes one copy in each source: of the size that brings its taken words nearest to the target, if any does."""
+    for _ in range(rounds):
+        gap = chosen.groupBy("source").agg((F.max("target") - F.sum(F.col("size") * (F.col("n") * F.col("whole") + F.col("extra")))).alias("gap"))
+        gap = gap.select(F.col("source").alias("_source"), "gap")
+        room = F.when(F.col("gap") > 0, (F.col("extra") < F.col("n")) & (F.col("whole") < CEILING)).otherwise(F.col("extra") > 0)
+        left = F.abs(F.abs("gap") - F.col("size"))
+        can = chosen.join(gap, F.col("source").eqNullSafe(F.col("_source"))).where((F.col("size") > 0) & room & (left < F.abs("gap")))
+        best = can.groupBy("_source").agg(F.min(F.struct(left.alias("left"), F.col("size").alias("at"), F.signum("gap").alias("sign"))).alias("b")).select("_source", F.col("b.at").alias("_size"), F.col("b.sign").alias("_sign"))
+        if best.isEmpty():
+            return chosen
+        same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size"))
+        moved = chosen.join(best, same, "left").withColumn("extra", F.col("extra") + F.coalesce(F.col("_sign"), F.lit(0)).cast("long")).drop("_source", "_size", "_sign")
+        chosen = written(moved, "mix-chosen")
+    return chosen
+
+
+def mix(docs: DataFrame, pattern: tuple[float, ...] = (5, 2, 1), max_sources: int = 100_000, deal: int = 64, offsets: int = 32, rounds: int = 5) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies and rate of every document.
 
     Only (doc_id, source, size) is shuffled.  ``deal`` splits each (source, size), so a hot one is no single task.
@@ -134,7 +151,9 @@ def mix(docs: DataFrame, pattern: tuple[float, ...] = (5, 2, 1), max_sources: in
     tried = rated.withColumn("u", F.explode(F.array(*[F.lit((i + 0.5) / offsets) for i in range(offsets)])))
     error = tried.groupBy("source", "u").agg(F.abs(F.sum(F.col("size") * (F.col("n") * F.col("whole") + extra(F.col("u")))) - F.max("target")).alias("error"))
     best = error.groupBy("source").agg(F.min(F.struct("error", "u")).getField("u").alias("u")).withColumnRenamed("source", "_source")
-    chosen = rated.join(best, rated["source"].eqNullSafe(F.col("_source"))).withColumn("extra", extra(F.col("u")))
+    chosen = rated.join(best, rated["source"].eqNullSafe(F.col("_source"))).withColumn("extra", extra(F.col("u"))).drop("_source", "u")
+
+    chosen = nearer(written(chosen, "mix-chosen"), rounds)
 
     # which documents of a (source, size) get the extra copy: the first by hash, ranked in dealt parts
     keys = ["size", "part"]
@@ -157,7 +176,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("doc_id").cast("long").alias("_d"), F.col("source").cast("string").alias("_s"), n_words(F.col("text").cast("string")).alias("_z"))
     on = packed["_d"].eqNullSafe(plan["_d"]) & packed["_s"].eqNullSafe(plan["_s"]) & (packed["_z"] == plan["_z"])
     full = packed.join(plan, on).select("_row", packed["_d"], packed["_s"], packed["_z"], "_total", "_n")
-    rank = F.row_number().over(Window.partitionBy("_d", "_s", "_z").orderBy(F.lit(0)))  # over 1 only for repeated rows
+    rank = F.row_number().over(Window.partitionBy("_d", "_s", "_z").orderBy(F.xxhash64(F.col("_row.text"))))  # over 1 only for repeated ids
     times = F.floor(F.col("_total") / F.col("_n")) + F.when(rank <= F.col("_total") % F.col("_n"), 1).otherwise(0)
     out = full.withColumn("_times", times.cast("int")).where("_times > 0")
     return out.select("_row", F.explode(F.array_repeat(F.lit(1), F.col("_times")))).select("_row.*")

@@ -54,8 +54,8 @@ def test_mixing_targets_and_sums(spark, con):
         s = source[r.doc_id]
         assert r.source_size == sizes[s] and np.isclose(r.target, target[s]) and 0 <= r.taken <= 3 * r.size
         taken[s] += r.taken
-    largest = dict(con.execute(f"select source, max(len({WORDS})) from documents group by source").fetchall())
-    assert all(abs(taken[s] - target[s]) <= max(0.01 * target[s], largest[s]) for s in names)
+    median = dict(con.execute(f"select source, median(len({WORDS})) from documents group by source").fetchall())  # some sources hold few documents
+    assert all(abs(taken[s] - target[s]) <= max(0.01 * target[s], median[s]) for s in names)
 
 
 def test_url_rules(spark, con):
