@@ -40,11 +40,46 @@ def count_of(mode: str, s: Column, e: Column, p: Column) -> Column:
     return F.struct(r["balls"].alias("balls"), r["strikes"].alias("strikes"), r["pa_end"].alias("pa_end"))
 
 
-def rollout(rows: DataFrame, mode: str) -> DataFrame:
+#: Heads of a state predictor: the target of each, and its classes.
+HEADS = {
+    "pa_end": ("y_pa_end", 2), "balls": ("y_next_balls", 4), "strikes": ("y_next_strikes", 3), "outs": ("y_next_outs", 3), "on_1": ("y_next_on_1", 2),
+    "on_2": ("y_next_on_2", 2), "on_3": ("y_next_on_3", 2), "side": ("y_next_side", 2), "inning_delta": ("y_inning_delta", 2), "score_delta": ("y_score_delta", 9),
+}
+
+
+def fitted_heads(train: DataFrame) -> DataFrame:
+    """(at_balls, at_strikes, heads): the most frequent next state by count, the lower class of equals.  ``train``: rows with targets; those without a next event are left out."""
+    rows = train.where("y_has_next = 1").groupBy(F.col("balls").alias("at_balls"), F.col("strikes").alias("at_strikes"))
+    seen = {h: F.array(*[F.sum((F.col(y) == i).cast("long")) for i in range(n)]) for h, (y, n) in HEADS.items()}
+    return rows.agg(*[(F.array_position(c, F.array_max(c)) - 1).cast("int").alias(h) for h, c in seen.items()])
+
+
+def table_predictor(heads: DataFrame):
+    """A predictor for :func:`rollout` from ``fitted_heads``: at most one row a count, as literals.  Counts never seen keep their state."""
+    rows = heads.collect()
+    if not rows:
+        raise ValueError("no training rows")
+    known = F.create_map(*[x for r in rows for x in (F.lit(r.at_balls * 3 + r.at_strikes), F.struct(*[F.lit(r[h]).alias(h) for h in HEADS]))])
+
+    def predict(s: Column, e: Column) -> Column:
+        same = F.struct(*[(F.lit({"score_delta": 4}.get(h, 0)) if h in ("pa_end", "inning_delta", "score_delta") else s[h]).cast("int").alias(h) for h in HEADS])
+        return F.coalesce(F.try_element_at(known, s["balls"] * 3 + s["strikes"]), same)
+
+    return predict
+
+
+def state_accuracy(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """One row: with the actual state given, the share of next states that each head foresees, over events that have a next one."""
+    told = heads.select("at_balls", "at_strikes", *[F.col(h).alias(f"p_{h}") for h in HEADS])  # at most one row a count
+    j = rows.where("y_has_next = 1").join(F.broadcast(told), (F.col("balls") == F.col("at_balls")) & (F.col("strikes") == F.col("at_strikes")))
+    return j.agg(F.count("*").alias("n"), *[F.round(F.avg((F.col(f"p_{h}") == F.col(y)).cast("double")), 6).alias(f"{h}_acc") for h, (y, _) in HEADS.items()])
+
+
+def rollout(rows: DataFrame, mode: str, predict=head_prediction) -> DataFrame:
     """The simulated state before each event of each game: a fold over the game's ordered events.
 
     ``rows``: game, pa, seq, code, outcome and the actual state; the first event's state starts a game.  A game is one
-    sequence by nature; games run in parallel."""
+    sequence by nature; games run in parallel.  ``predict(state, event)`` gives the heads."""
     event = F.struct("pa", "seq", "code", "outcome", *FIELDS)
     games = rows.groupBy("game").agg(F.array_sort(F.collect_list(event)).alias("events"))
     kinds = ", ".join(f"{f}: int" for f in FIELDS)
@@ -53,7 +88,7 @@ def rollout(rows: DataFrame, mode: str) -> DataFrame:
 
     def advance(acc, e):
         s = acc["state"]
-        p = head_prediction(s, e)
+        p = predict(s, e)
         n = count_of(mode, s, e, p)
         new = {
             "inning": s["inning"] + p["inning_delta"], "outs": p["outs"], "balls": n["balls"], "strikes": n["strikes"],

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from plait.functions import columns as X
 from plait.functions import rules
-from plait.operators import learned, simulation
+from plait.operators import learned, sequences, simulation, splitting
 from plait.plans.registry import query
-from plait.plans.relational import LG, bucketed
+from plait.plans.relational import LG, NEXT, TRAIN, bucketed
 from plait.plans.scoring import EMPIRICAL, VS, empirical, scored
 from plait.sources.tables import PITCH_SQL, pitch_log, pitch_rows, vector_scores
 
@@ -138,6 +138,28 @@ for _mode in ("heads", "clamp", "rules", "constrained"):
         return simulation.rollout(coded_rows(pitch_log(spark, sf)), mode).select("game", "pa", "seq", *simulation.FIELDS)
 
 
+_MODES = ", ".join(f"CAST(list_position([{', '.join(f'count(*) FILTER ({y} = {i})' for i in range(n))}], greatest({', '.join(f'count(*) FILTER ({y} = {i})' for i in range(n))})) - 1 AS INT) AS {h}" for h, (y, n) in simulation.HEADS.items())
+_FIT = f"{TRAIN}, {NEXT}, hd AS (SELECT nx.balls AS at_balls, nx.strikes AS at_strikes, {_MODES} FROM nx, ct WHERE day < valid_from AND y_has_next = 1 GROUP BY nx.balls, nx.strikes)"
+
+
+def _heads_of(spark, sf):
+    return simulation.fitted_heads(splitting.training(sequences.next_state(pitch_log(spark, sf)), 0.1))
+
+
+@query("rollout_empirical", f"""{_ROLL}, {_FIT}, ro AS (SELECT game, i, pa, seq, {', '.join(simulation.FIELDS)} FROM cr WHERE i = 1
+ UNION ALL SELECT n.game, n.i, n.pa, n.seq, s.inning + h.inning_delta, h.outs, h.balls, h.strikes, CASE WHEN h.pa_end = 1 THEN 1 ELSE s.pitch_number + 1 END, s.score_diff + h.score_delta - 4, h.on_1, h.on_2, h.on_3, h.side
+ FROM ro s JOIN hd h ON h.at_balls = s.balls AND h.at_strikes = s.strikes JOIN cr n ON n.game = s.game AND n.i = s.i + 1)
+ SELECT game, pa, seq, {', '.join(simulation.FIELDS)} FROM ro""")
+def rollout_empirical(spark, sf):
+    predict = simulation.table_predictor(_heads_of(spark, sf))
+    return simulation.rollout(coded_rows(pitch_log(spark, sf)), "heads", predict).select("game", "pa", "seq", *simulation.FIELDS)
+
+
+@query("replay_state_accuracy", f"{LG}, {_FIT} SELECT count(*) AS n, " + ", ".join(f"round(avg(CASE WHEN hd.{h} = nx.{y} THEN 1.0::DOUBLE ELSE 0 END), 6) AS {h}_acc" for h, (y, _) in simulation.HEADS.items()) + " FROM nx JOIN hd ON at_balls = nx.balls AND at_strikes = nx.strikes WHERE y_has_next = 1")
+def replay_state_accuracy(spark, sf):
+    return simulation.state_accuracy(sequences.next_state(pitch_log(spark, sf)), _heads_of(spark, sf))
+
+
 @query("rollout_drift", rollout_sql("rules") + " SELECT count(*) AS n, " + ", ".join(f"round(avg(CASE WHEN ro.{f} = cr.{f} THEN 1.0::DOUBLE ELSE 0 END), 6) AS match_{f}" for f in simulation.FIELDS) + " FROM ro JOIN cr USING (game, i)")
 def rollout_drift(spark, sf):
     rows = coded_rows(pitch_log(spark, sf))
