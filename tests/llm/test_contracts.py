@@ -4,7 +4,8 @@ import duckdb
 import numpy as np
 import pytest
 
-from plait.llm import registry, urls
+from plait.llm import quality, registry, shared, urls
+from tests.llm.test_small import prose
 
 SF = "/root/testdata/sf0.001"
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -99,3 +100,45 @@ def test_url_model_on_folds():
         model = urls.train(tuple(x for i, x in enumerate(urls.LABELLED) if i % 5 != fold))
         hits += sum((urls.probability(*urls._cut(u), model) >= 0.5) == bool(y) for i, (u, y) in enumerate(urls.LABELLED) if i % 5 == fold)
     assert hits >= 0.75 * len(urls.LABELLED)
+
+
+def test_quality_ratio_against_plain_counts(spark):
+    def buckets(text, n=4, size=1 << 15):
+        b, out = (text or "").encode(), []
+        for i in range(len(b) - n + 1):
+            h = 0
+            for x in b[i : i + n]:
+                h = ((h * 0x01000193 & 0xFFFFFFFF) ^ x) * 0x9E3779B1 & 0xFFFFFFFF
+            out.append((h >> 7) % size)
+        return out
+
+    rows = [(i, prose(70, i)) for i in range(30)] + [(100 + i, " ".join(w[::-1] + "%%" for w in prose(70, 50 + i).split())) for i in range(20)] + [(7, prose(70, 7)), (None, prose(60, 99)), (200, None), (201, ""), (202, "abc"), (203, "tail " * 9000 + prose(100, 98))]
+    d = spark.createDataFrame([(*r, 1.0, True, 3, "b") for r in rows], "doc_id long, text string, score double, kept boolean, n_words int, bucket string")
+    good = spark.createDataFrame([(i, "x") for i in [*range(0, 20, 2), 7, 7, None]], "doc_id long, text string")
+    trusted, raw, target = {*range(0, 20, 2), 7}, np.zeros(1 << 15), np.zeros(1 << 15)
+    for i, t in rows:
+        for x in buckets(t):
+            raw[x] += 1
+            target[x] += i in trusted
+    ratio = np.log((target + 0.5) / (target.sum() + 0.5 * len(raw))) - np.log((raw + 0.5) / (raw.sum() + 0.5 * len(raw)))
+    want = sorted((i, round(float(np.mean([ratio[x] for x in buckets(t)])) if buckets(t) else 0.0, 6)) for i, t in rows if i is not None)
+    out = quality.judge(d, good).collect()
+    assert sorted((r.doc_id, round(r.score, 6)) for r in out if r.doc_id is not None) == want and len(out) == len(rows)
+    assert all(r.kept == (not r.base_failed and r.score >= quality.THRESHOLD) for r in out)
+    kept = quality.kept(d, good)
+    assert kept.columns == d.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in out if r.kept)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        get = staticmethod(lambda *_: None)
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = staticmethod(lambda: Conf)
+
+    class Session:
+        conf, sparkContext = Conf, Context
+
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        shared.shared_dir(Session)
