@@ -9,7 +9,7 @@ from plait.functions import rules
 from plait.operators import learned, sequences, simulation, splitting
 from plait.plans.registry import query
 from plait.plans.relational import LG, NEXT, TRAIN, bucketed
-from plait.plans.scoring import EMPIRICAL, VS, empirical, scored
+from plait.plans.scoring import EMPIRICAL, TOKENS, VS, empirical, scored
 from plait.sources.tables import PITCH_SQL, pitch_log, pitch_rows, vector_scores
 
 _B, _E, _S = (", ".join(f"'{x}'" for x in v) for v in (rules.BALLS, rules.ENDS, rules.STRIKES))
@@ -172,6 +172,19 @@ def trace_json(spark, sf):
     return pitch_log(spark, sf).select("game", "pa", "seq", F.to_json(F.struct(F.col("seq").alias("pitch_number"), state.alias("state"), F.struct("token", "outcome").alias("y"))).alias("event"))
 
 
+_NAMES = ("OOV", *TOKENS)
+
+
+@query("trace_predictions", EMPIRICAL + f""", tp AS (SELECT pitcher, balls, strikes, string_agg('"' || [{', '.join(f"'{x}'" for x in _NAMES)}][cls + 1] || '"', ',' ORDER BY r) AS top, max(CASE WHEN r = 1 THEN [{', '.join(f"'{x}'" for x in _NAMES)}][cls + 1] END) AS best FROM gc WHERE r <= 3 GROUP BY pitcher, balls, strikes)
+ SELECT game, pa, seq, '{{"pitch_number":' || seq || ',"y":{{"token":"' || token || '","outcome":"' || outcome || '"}},"pred":{{"token":"' || best || '","topk":[' || top || ']}},"metrics":{{"top1":' || CAST(hit1 AS INT) || ',"top3":' || CAST(hit3 AS INT) || '}}}}' AS event FROM em JOIN tp USING (pitcher, balls, strikes)""")
+def trace_predictions(spark, sf):
+    names = F.array(*[F.lit(x) for x in _NAMES])
+    top = F.transform("top3", lambda i: F.get(names, i))
+    hits = F.struct(F.col("hit1").cast("int").alias("top1"), F.col("hit3").cast("int").alias("top3"))
+    record = F.struct(F.col("seq").alias("pitch_number"), F.struct("token", "outcome").alias("y"), F.struct(top[0].alias("token"), top.alias("topk")).alias("pred"), hits.alias("metrics"))
+    return empirical(pitch_log(spark, sf)).select("game", "pa", "seq", F.to_json(record).alias("event"))
+
+
 @query("trace_at_bat", f"{LG} SELECT game, pa, seq, token, outcome, balls, strikes FROM lg WHERE game = 7 AND pa = (SELECT min(pa) FROM lg WHERE game = 7) ORDER BY seq")
 def trace_at_bat(spark, sf):
     g = pitch_log(spark, sf, game=7)
