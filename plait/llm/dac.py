@@ -148,7 +148,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str | None = None, end_id:
             yield flush()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = rows.repartitionByRange(min(partitions(spark), MAX_PARTS), F.col("doc_id").asc_nulls_first())
+    dealt = rows.repartitionByRange(min(partitions(spark), MAX_PARTS), F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))  # one id's rows may part
     dealt = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     dealt.mapInArrow(shards, SHARDS).write.option("compression", "uncompressed").parquet(f"{path}/shards")
     sums = spark.read.schema(SHARDS).parquet(f"{path}/shards").groupBy("part").agg(F.sum("n_tokens").alias("n"))
@@ -179,6 +179,28 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     return placed.select(F.col("first_token") + F.col("part_first"), "shard").mapInArrow(documents, DECODED + ", ids binary" * with_ids)
 
 
+def lookup(positions: DataFrame, path: str, block: int = 1_000_000) -> DataFrame:
+    """(position, token) for places counted over all files, null where there is none.  Each shard with a place asked for is read once, and
+    only the asked tokens' chunks are visited: no block is decoded."""
+    spark = positions.sparkSession
+    shards = spark.read.schema(SHARDS).parquet(f"{path}/shards")
+    start = F.col("first_token") + F.col("part_first")
+    spans = shards.join(F.broadcast(spark.read.schema("part int, first_token long").parquet(f"{path}/manifest")), "part").select("part", "part_first", start.alias("start"), (start + F.col("n_tokens")).alias("end"))
+    spans = spans.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block))))
+    asked = positions.select(F.col("position").cast("long").alias("position")).where("position is not null").distinct()
+    at = asked.join(spans, (F.floor(F.col("position") / block) == F.col("block")) & F.col("position").between(F.col("start"), F.col("end") - 1))
+    wanted = at.groupBy("part", "part_first").agg(F.collect_list(F.col("position") - F.col("start")).alias("places"), F.first("start").alias("start"))
+
+    def picked(batches):
+        for b in batches:
+            found = [(start + i, shard.token(i)) for start, places, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)) for shard in [Shard(blob.as_py())] for i in places]
+            cols = list(zip(*found)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array([int(x) for x in cols[1]], pa.int64())], names=["position", "token"])
+
+    got = wanted.join(shards.select("part", "part_first", "shard"), ["part", "part_first"]).select("start", "places", "shard").mapInArrow(picked, "position long, token long")
+    return asked.join(got, "position", "left")
+
+
 def round_trip(docs: DataFrame, **options) -> DataFrame:
     """Writes ``docs`` to a new place in the shared folder and reads it back."""
     path = new_path(docs.sparkSession, "dac")

@@ -53,6 +53,16 @@ def test_codes_give_any_token():
     assert s.doc_ids == [1, None]
 
 
+def test_lookup_in_the_files(spark, docs, whole, tmp_path):
+    rows = sorted(docs.select("doc_id", "text").collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0))
+    dac.write(docs, str(tmp_path), shard_tokens=500)
+    ids = [x for r in dac.read(spark, str(tmp_path), with_ids=True).orderBy("start").collect() for x in np.frombuffer(r.ids, "<u4").tolist()]
+    assert len(ids) == sum(len(whole.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in rows)
+    ask = spark.createDataFrame([(p,) for p in [*range(0, len(ids), 37), len(ids) - 1, 0, len(ids), -1, None]], "position long")
+    got = {r.position: r.token for r in dac.lookup(ask, str(tmp_path), block=500).collect()}
+    assert got == {p: ids[p] for p in [*range(0, len(ids), 37), len(ids) - 1]} | {len(ids): None, -1: None}
+
+
 def test_round_trip(docs, none, whole):
     got = dac.round_trip(docs).orderBy("start").collect()
     rows = sorted(docs.select("doc_id", "text").collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0))
