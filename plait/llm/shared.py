@@ -30,14 +30,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The folder of each application whose session names none.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset, a new folder under /tmp on one machine, an error on a cluster."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder in ``spark.checkpoint.dir``; where that is unset, a new folder under /tmp on one machine (one for each application), an error on a cluster."""
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not path:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", path)
+        path = _OWN.get(context.applicationId) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        _OWN[context.applicationId] = path
     return path.rstrip("/")
 
 
@@ -57,5 +62,5 @@ def partitions(spark: SparkSession) -> int:
 
 
 def n_words(text) -> F.Column:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of a text, null as 0, JVM-side: word starts are counted, no array of words is built."""
+    """Words ``[^\\x20\\x09-\\x0D]+`` of a text, null as 0, JVM-side; Spark rewrites it to the size of an array of the words."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
