@@ -1,111 +1,128 @@
-"""Replay and open-loop rollout of event sequences."""
+"""Replay and open-loop rollout of event sequences, their scores and traces; corruption of states."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plait.functions import rules
+from plait.operators import heads, sequences
+from plait.operators.heads import Predictor
+from plait.session import importable
 
 FIELDS = ["inning", "outs", "balls", "strikes", "pitch_number", "score_diff", "on_1", "on_2", "on_3", "side"]
+MODES = ("heads", "clamp", "rules", "constrained")
+#: What a rollout adds to each event: the simulated state, the history it predicts from, and its prediction.
+SIMULATED = {**{f"sim_{f}": "int" for f in FIELDS}, "prev_type": "int", "prev_outcome": "int", "p_type": "int", "p_outcome": "int", "p_top": "array<int>", "p_x": "double", "p_y": "double", "p_pa_end": "int", "p_balls": "int", "p_strikes": "int", "used": "int", "overridden": "int"}
+
+
+def last_known(values: list[int]) -> int:
+    return next((x for x in reversed(values) if x), 0)
+
+
+def fold(predictor: Predictor, mode: str, history: int, keep: list[str], schema: pa.Schema):
+    """A function over sorted Arrow batches.  It holds one game's state and last ``history`` predictions, whatever the game's length."""
+    given = [k for k in predictor.keys if k not in FIELDS and k not in ("prev_type", "prev_outcome")]
+
+    def run(batches):
+        game, state, types, outcomes = None, {}, [], []
+        started = False
+        for b in batches:
+            games = b.column("game").to_pylist()
+            actual = {f: b.column(f).to_pylist() for f in FIELDS}
+            known = {k: b.column(k).to_pylist() for k in given}
+            out: dict[str, list] = {c: [] for c in SIMULATED}
+            put = [(out[f"sim_{f}"], f) for f in FIELDS]
+            for i, g in enumerate(games):
+                if not started or g != game:
+                    started, game, types, outcomes = True, g, [], []
+                    state = {f: actual[f][i] or 0 for f in FIELDS}
+                for values, f in put:
+                    values.append(state[f])
+                prev = last_known(types), last_known(outcomes)
+                context = {**state, "prev_type": prev[0], "prev_outcome": prev[1], **{k: known[k][i] for k in given}}
+                s = predictor.step(mode, min(3, max(0, state["balls"])), min(2, max(0, state["strikes"])), context)
+                for c, v in zip(("prev_type", "prev_outcome", "p_type", "p_outcome", "p_top", "p_x", "p_y", "p_pa_end", "p_balls", "p_strikes", "used", "overridden"), (*prev, s.type, s.outcome, s.top, s.x, s.y, s.pa_end, s.balls, s.strikes, s.used, s.overridden)):
+                    out[c].append(v)
+                if s.pa_end:
+                    types, outcomes = [], []
+                else:
+                    types, outcomes = [*types, s.type][-history:], [*outcomes, s.outcome][-history:]
+                r = s.rest
+                state = {
+                    "inning": state["inning"] + r["inning_delta"], "outs": r["outs"], "balls": s.balls, "strikes": s.strikes, "pitch_number": 1 if s.pa_end else state["pitch_number"] + 1,
+                    "score_diff": state["score_diff"] + r["score_delta"] - 4, "on_1": r["on_1"], "on_2": r["on_2"], "on_3": r["on_3"], "side": r["side"],
+                }
+            cols = [b.column(c) for c in keep] + [pa.array(v, schema.field(c).type) for c, v in out.items()]
+            yield pa.RecordBatch.from_arrays(cols, schema=schema)
+
+    return run
+
+
+def rollout(rows: DataFrame, predictor: Predictor, mode: str = "heads", history: int = 4) -> DataFrame:
+    """Each event with its actual columns, the simulated state before it, and the prediction from that state and the predicted history.
+
+    ``rows``: game, pa, seq and the actual state (``FIELDS``); the first event's state starts a game, nulls as 0.  What is predicted
+    becomes the history of the events after it, until a session's predicted end.  Games run in parallel, each as a stream in
+    event order through one task; extra columns are kept, but for those that a rollout adds."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    importable(rows.sparkSession)
+    rows = rows.drop(*SIMULATED)
+    schema = StructType([*rows.schema.fields, *StructType.fromDDL(", ".join(f"{c} {t}" for c, t in SIMULATED.items())).fields])
+    in_order = rows.repartition("game").sortWithinPartitions("game", "pa", "seq")
+    return in_order.mapInArrow(fold(predictor, mode, history, rows.columns, to_arrow_schema(schema)), schema)
+
+
+def actual_history(rows: DataFrame, history: int = 4) -> DataFrame:
+    """Adds ``prev_type`` and ``prev_outcome``: the last known token and outcome of the session's last ``history`` events."""
+    h = sequences.history(rows, ["token_id", "outcome_id"], history)
+    names = {p: [f"hist_{f}_{i}" for i in range(history)] for p, f in (("prev_type", "token_id"), ("prev_outcome", "outcome_id"))}
+    return h.withColumns({p: sequences.last_nonzero(c) for p, c in names.items()}).drop(*names["prev_type"], *names["prev_outcome"])
+
+
+def replay(rows: DataFrame, table: DataFrame, levels=heads.LEVELS, alpha: float = 1.0) -> DataFrame:
+    """Each event with its prediction from the actual state and history: the heads' probabilities ``p_<head>``, ``p_x`` and ``p_y``.  ``rows`` carry the keys of ``levels``."""
+    return heads.attach(rows, table, levels, alpha)
+
+
+def state_accuracy(replayed: DataFrame) -> DataFrame:
+    """One row: with the actual state given, the share of next states that each head foresees, over events that have a next one."""
+    j = replayed.where("y_has_next = 1")
+    return j.agg(F.count("*").alias("n"), *[F.round(F.avg((heads.best(f"p_{h}") == F.col(y)).cast("double")), 6).alias(f"{h}_acc") for h, (y, _) in heads.STATE.items()])
 
 
-def head_prediction(s: Column, e: Column) -> Column:
-    """A table-driven predictor of the next state: it depends on the simulated state and the event's own code."""
-    k = e["code"]
-    end = ((s["balls"] + s["strikes"] * 2 + k) % 5 == 0).cast("int")
-    return F.struct(
-        end.alias("pa_end"), ((s["balls"] + k) % 4).cast("int").alias("balls"), ((s["strikes"] + k) % 3).cast("int").alias("strikes"),
-        ((s["outs"] + k) % 3).cast("int").alias("outs"), (k % 2).cast("int").alias("on_1"), ((k + s["outs"]) % 2).cast("int").alias("on_2"),
-        ((k + s["balls"]) % 2).cast("int").alias("on_3"), ((s["side"] + k) % 2).cast("int").alias("side"),
-        (k % 4 == 0).cast("int").alias("inning_delta"), (k % 9).cast("int").alias("score_delta"),
-    )
-
-
-def count_of(mode: str, s: Column, e: Column, p: Column) -> Column:
-    """(balls, strikes, pa_end) by mode: the heads' own, clamped to one step, by the outcome's rule, or rule and heads weighed."""
-    if mode == "heads":
-        return F.struct(p["balls"].alias("balls"), p["strikes"].alias("strikes"), p["pa_end"].alias("pa_end"))
-    log = lambda top, n: F.array(*[F.when(top == i, F.lit(-0.25)).otherwise(F.lit(-2.0) - F.lit(i / 10)) for i in range(n)])
-    lb, ls, le = log(p["balls"], 4), log(p["strikes"], 3), log(p["pa_end"], 2)
-    if mode == "clamp":
-        d = rules.clamped(s["balls"], s["strikes"], lb, ls)
-        zero = lambda x: F.when(p["pa_end"] == 1, 0).otherwise(x).cast("int")
-        return F.struct(zero(d["balls"]).alias("balls"), zero(d["strikes"]).alias("strikes"), p["pa_end"].alias("pa_end"))
-    if mode == "rules":
-        r = rules.count_rules(e["outcome"], s["balls"], s["strikes"])
-        return F.when(r["used"] == 1, F.struct(r["balls"].alias("balls"), r["strikes"].alias("strikes"), r["pa_end"].alias("pa_end"))).otherwise(F.struct(p["balls"].alias("balls"), p["strikes"].alias("strikes"), p["pa_end"].alias("pa_end")))
-    outcomes = {o: F.when(e["outcome"] == o, F.lit(-0.1)).otherwise(F.lit(-3.0)) for o in ("ball", "called_strike", "foul", "hit_into_play")}
-    r = rules.constrained(s["balls"], s["strikes"], le, lb, ls, outcomes)
-    return F.struct(r["balls"].alias("balls"), r["strikes"].alias("strikes"), r["pa_end"].alias("pa_end"))
-
-
-#: Heads of a state predictor: the target of each, and its classes.
-HEADS = {
-    "pa_end": ("y_pa_end", 2), "balls": ("y_next_balls", 4), "strikes": ("y_next_strikes", 3), "outs": ("y_next_outs", 3), "on_1": ("y_next_on_1", 2),
-    "on_2": ("y_next_on_2", 2), "on_3": ("y_next_on_3", 2), "side": ("y_next_side", 2), "inning_delta": ("y_inning_delta", 2), "score_delta": ("y_score_delta", 9),
-}
-
-
-def fitted_heads(train: DataFrame) -> DataFrame:
-    """(at_balls, at_strikes, heads): the most frequent next state by count, the lower class of equals.  ``train``: rows with targets; those without a next event are left out."""
-    rows = train.where("y_has_next = 1").groupBy(F.col("balls").alias("at_balls"), F.col("strikes").alias("at_strikes"))
-    seen = {h: F.array(*[F.sum((F.col(y) == i).cast("long")) for i in range(n)]) for h, (y, n) in HEADS.items()}
-    return rows.agg(*[(F.array_position(c, F.array_max(c)) - 1).cast("int").alias(h) for h, c in seen.items()])
-
-
-def table_predictor(heads: DataFrame):
-    """A predictor for :func:`rollout` from ``fitted_heads``: at most one row a count, as literals.  Counts never seen keep their state."""
-    rows = heads.collect()
-    if not rows:
-        raise ValueError("no training rows")
-    known = F.create_map(*[x for r in rows for x in (F.lit(r.at_balls * 3 + r.at_strikes), F.struct(*[F.lit(r[h]).alias(h) for h in HEADS]))])
+def drift(rolled: DataFrame) -> DataFrame:
+    """One row: events, and for each field the share whose simulated value is the actual one."""
+    return rolled.agg(F.count("*").alias("n"), *[F.round(F.avg((F.col(f) == F.col(f"sim_{f}")).cast("double")), 6).alias(f"match_{f}") for f in FIELDS])
 
-    def predict(s: Column, e: Column) -> Column:
-        same = F.struct(*[(F.lit({"score_delta": 4}.get(h, 0)) if h in ("pa_end", "inning_delta", "score_delta") else s[h]).cast("int").alias(h) for h in HEADS])
-        return F.coalesce(F.try_element_at(known, s["balls"] * 3 + s["strikes"]), same)
 
-    return predict
+def summary(rolled: DataFrame) -> DataFrame:
+    """One row: games, events, accuracy of tokens and outcomes, place error, and how often rules gave the count or changed the outcome."""
+    share = lambda ok: F.round(F.avg(ok.cast("double")), 6)
+    se = F.pow(F.col("x") - F.col("p_x"), 2) + F.pow(F.col("y") - F.col("p_y"), 2)
+    return rolled.agg(
+        F.count_distinct("game").alias("games"), F.count("*").alias("n"), share(F.col("p_type") == F.col("token_id")).alias("acc"), share(F.array_contains("p_top", F.col("token_id"))).alias("top3"),
+        share(F.col("p_outcome") == F.col("outcome_id")).alias("outcome_acc"), F.round(F.sqrt(F.avg(se / 2)), 6).alias("loc_rmse"), F.coalesce(F.sum("used"), F.lit(0)).alias("rules_used"), F.coalesce(F.sum("overridden"), F.lit(0)).alias("outcomes_overridden"),
+    )
 
 
-def state_accuracy(rows: DataFrame, heads: DataFrame) -> DataFrame:
-    """One row: with the actual state given, the share of next states that each head foresees, over events that have a next one."""
-    told = heads.select("at_balls", "at_strikes", *[F.col(h).alias(f"p_{h}") for h in HEADS])  # at most one row a count
-    j = rows.where("y_has_next = 1").join(F.broadcast(told), (F.col("balls") == F.col("at_balls")) & (F.col("strikes") == F.col("at_strikes")))
-    return j.agg(F.count("*").alias("n"), *[F.round(F.avg((F.col(f"p_{h}") == F.col(y)).cast("double")), 6).alias(f"{h}_acc") for h, (y, _) in HEADS.items()])
-
-
-def rollout(rows: DataFrame, mode: str, predict=head_prediction) -> DataFrame:
-    """The simulated state before each event of each game: a fold over the game's ordered events.
-
-    ``rows``: game, pa, seq, code, outcome and the actual state; the first event's state starts a game.  A game is one
-    sequence by nature; games run in parallel.  ``predict(state, event)`` gives the heads."""
-    event = F.struct("pa", "seq", "code", "outcome", *FIELDS)
-    games = rows.groupBy("game").agg(F.array_sort(F.collect_list(event)).alias("events"))
-    kinds = ", ".join(f"{f}: int" for f in FIELDS)
-    first = F.struct(*[F.get("events", F.lit(0))[f].cast("int").alias(f) for f in FIELDS])
-    empty = F.array().cast(f"array<struct<pa: bigint, seq: int, {kinds}>>")
-
-    def advance(acc, e):
-        s = acc["state"]
-        p = predict(s, e)
-        n = count_of(mode, s, e, p)
-        new = {
-            "inning": s["inning"] + p["inning_delta"], "outs": p["outs"], "balls": n["balls"], "strikes": n["strikes"],
-            "pitch_number": F.when(n["pa_end"] == 1, 1).otherwise(s["pitch_number"] + 1), "score_diff": s["score_diff"] + p["score_delta"] - 4,
-            "on_1": p["on_1"], "on_2": p["on_2"], "on_3": p["on_3"], "side": p["side"],
-        }
-        here = F.struct(e["pa"].cast("bigint").alias("pa"), e["seq"].cast("int").alias("seq"), *[s[f].alias(f) for f in FIELDS])
-        return F.struct(F.struct(*[new[f].cast("int").alias(f) for f in FIELDS]).alias("state"), F.concat(acc["out"], F.array(here)).alias("out"))
-
-    done = F.aggregate("events", F.struct(first.alias("state"), empty.alias("out")), advance, lambda acc: acc["out"])
-    return games.select("game", F.inline(done))
-
-
-def drift(rows: DataFrame, simulated: DataFrame) -> DataFrame:
-    """One row: events, and for each field the share whose simulated value is the actual one."""
-    j = rows.join(simulated.select("game", "pa", "seq", *[F.col(f).alias(f"sim_{f}") for f in FIELDS]), ["game", "pa", "seq"])
-    return j.agg(F.count("*").alias("n"), *[F.round(F.avg((F.col(f) == F.col(f"sim_{f}")).cast("double")), 6).alias(f"match_{f}") for f in FIELDS])
+def trace(rolled: DataFrame, types: list[str], outcomes: list[str], loss) -> DataFrame:
+    """(game, pa, seq, event): a JSON record of each event of a rollout, with the simulated and the actual state and where they agree, the
+    actual event, the predicted one with its place and the loss of the actual place (the column ``loss``), and its scores."""
+    name = lambda c, names: F.get(F.array(*[F.lit(x) for x in names]), F.col(c) if isinstance(c, str) else c)
+    state = F.struct(*[F.col(f"sim_{f}").alias(f) for f in FIELDS])
+    match = F.struct(*[(F.col(f"sim_{f}") == F.col(f)).cast("int").alias(f) for f in FIELDS])
+    se = F.pow(F.col("x") - F.col("p_x"), 2) + F.pow(F.col("y") - F.col("p_y"), 2)
+    pred = F.struct(
+        name("p_type", types).alias("token"), F.transform("p_top", lambda i: name(i, types)).alias("topk"), name("p_outcome", outcomes).alias("outcome"), F.round("p_x", 6).alias("x"), F.round("p_y", 6).alias("y"),
+        F.round(loss, 6).alias("loc_nll"), F.col("p_pa_end").alias("pa_end"), F.col("p_balls").alias("next_balls"), F.col("p_strikes").alias("next_strikes"),
+    )
+    metrics = F.struct((F.col("p_type") == F.col("token_id")).cast("int").alias("top1"), F.array_contains("p_top", F.col("token_id")).cast("int").alias("top3"), F.round(se, 6).alias("loc_se"))
+    y = F.struct(name("token_id", types).alias("token"), name("outcome_id", outcomes).alias("outcome"), "x", "y")
+    record = F.struct("game", "pa", F.col("seq").alias("pitch_number"), state.alias("state"), F.struct(*FIELDS).alias("actual_state"), match.alias("state_match"), y.alias("y"), pred.alias("pred"), metrics.alias("metrics"))
+    return rolled.select("game", "pa", "seq", F.to_json(record, {"ignoreNullFields": "false"}).alias("event"))
 
 
 def noise(keys: list[str], seed: int, n: int) -> Column:

@@ -33,6 +33,11 @@ def training(rows: DataFrame, fraction: float, day: str = "day") -> DataFrame:
     return rows.where(F.col(day) < F.lit(boundary(rows, fraction, day).first()["valid_from"]))
 
 
+def validation(rows: DataFrame, fraction: float, day: str = "day") -> DataFrame:
+    """The rows that :func:`training` leaves out, but for those without a day."""
+    return rows.where(F.col(day) >= F.lit(boundary(rows, fraction, day).first()["valid_from"]))
+
+
 def feature_stats(rows: DataFrame, columns: list[str]) -> DataFrame:
     """One row: mean and deviation of each column; a missing or zero deviation is 1."""
     aggs = []

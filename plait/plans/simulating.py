@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from plait.functions import columns as X
 from plait.functions import rules
-from plait.operators import learned, sequences, simulation, splitting
+from plait.operators import heads, learned, sequences, simulation, splitting
 from plait.plans.registry import query
 from plait.plans.relational import LG, NEXT, TRAIN, bucketed
-from plait.plans.scoring import EMPIRICAL, TOKENS, VS, empirical, scored
-from plait.sources.tables import PITCH_SQL, pitch_log, pitch_rows, vector_scores
+from plait.plans.scoring import EMPIRICAL, TOKENS, VS, T, _case, _ids, empirical, scored
+from plait.sources.tables import OUTCOMES, pitch_log, pitch_rows, vector_scores
 
 _B, _E, _S = (", ".join(f"'{x}'" for x in v) for v in (rules.BALLS, rules.ENDS, rules.STRIKES))
 
@@ -83,87 +83,142 @@ def replay_summary(spark, sf):
     return e.agg(F.count("*").alias("n"), F.count_distinct("game").alias("games"), F.round(F.avg("hit1"), 6).alias("acc"), F.round(F.avg("hit3"), 6).alias("top3"), F.round(F.sum("se"), 4).alias("loc_se"), F.round(F.sqrt(F.avg(F.col("se") / 2)), 6).alias("loc_rmse"))
 
 
-def coded_rows(p):
-    """Events with their actual state as integers, and a code for the table-driven predictor."""
-    occ = lambda x: X.occupied(x).cast("int").alias(x)
-    return p.select("game", "pa", "seq", "outcome", (F.col("pitcher") % 11).cast("int").alias("code"), "inning", "outs", "balls", "strikes", F.col("seq").alias("pitch_number"), "score_diff", occ("on_1"), occ("on_2"), occ("on_3"), F.when(F.col("side") == "Bot", 1).otherwise(0).alias("side"))
+OUTCOME_NAMES = ("other", *OUTCOMES[:-1])
+NO = len(OUTCOME_NAMES)
 
 
-_ROLL = f"""WITH RECURSIVE {PITCH_SQL}, cr AS (SELECT game, pa, seq, outcome, CAST(pitcher % 11 AS INT) AS code, CAST(inning AS INT) AS inning, CAST(outs AS INT) AS outs, CAST(balls AS INT) AS balls, CAST(strikes AS INT) AS strikes,
- CAST(seq AS INT) AS pitch_number, CAST(score_diff AS INT) AS score_diff, CAST(on_1 IS NOT NULL AS INT) AS on_1, CAST(on_2 IS NOT NULL AS INT) AS on_2, CAST(on_3 IS NOT NULL AS INT) AS on_3,
- CASE WHEN side = 'Bot' THEN 1 ELSE 0 END AS side, row_number() OVER (PARTITION BY game ORDER BY pa, seq) AS i FROM lg)"""
+def state_rows(spark, sf):
+    """Events with ids, the actual state as integers, the targets of the next state, and the actual history's last known token and outcome."""
+    p = sequences.next_state(pitch_log(spark, sf)).withColumns({"token_id": _ids("token", TOKENS), "outcome_id": _ids("outcome", OUTCOMES[:-1])})
+    occ = {x: X.occupied(x).cast("int") for x in ("on_1", "on_2", "on_3")}
+    p = p.withColumns({**occ, "pitch_number": F.col("seq"), "side": F.when(F.col("side") == "Bot", 1).otherwise(0)})
+    p = p.withColumns({f: F.col(f).cast("int") for f in simulation.FIELDS})
+    return simulation.actual_history(p)
 
 
-def _heads(f):
-    return {"pa_end": "CAST((s.balls + s.strikes * 2 + e.code) % 5 = 0 AS INT)", "balls": "(s.balls + e.code) % 4", "strikes": "(s.strikes + e.code) % 3"}[f]
+def heads_table(spark, sf, levels=heads.LEVELS):
+    return heads.fit(splitting.training(state_rows(spark, sf), 0.1), T, NO, levels)
 
 
-def _count_sql(mode):
-    h = {f: _heads(f) for f in ("balls", "strikes", "pa_end")}
+def predictor(spark, sf, levels=heads.LEVELS):
+    return heads.Predictor.of(heads_table(spark, sf, levels), OUTCOME_NAMES, levels)
+
+
+PLAYED = ["game", "pa", "seq", "day", "token_id", "outcome_id", "x", "y", *simulation.FIELDS]
+
+_LAST = lambda c: f"coalesce({', '.join(f'nullif(lag({c}, {i}) OVER w, 0)' for i in range(1, 5))}, 0)"
+STATES = f"""{LG}, {TRAIN}, {NEXT}, si AS (SELECT *, {_case('token', TOKENS)} AS token_id, {_case('outcome', OUTCOMES[:-1])} AS outcome_id FROM nx),
+ sh AS (SELECT *, {_LAST('token_id')} AS prev_type, {_LAST('outcome_id')} AS prev_outcome FROM si WINDOW w AS (PARTITION BY game, pa ORDER BY seq)),
+ ft AS (SELECT sh.* FROM sh, ct WHERE day < valid_from), va AS (SELECT sh.* FROM sh, ct WHERE day >= valid_from)"""
+
+
+def _counts_sql(y, n, also=""):
+    return "[" + ", ".join(f"count(*) FILTER ({y} = {i}{also})" for i in range(n)) + "]"
+
+
+_AGGS = ", ".join(["count(*) AS n", "sum(y_has_next) AS n_next", "avg(x) AS mean_x", "avg(y) AS mean_y", f"{_counts_sql('token_id', T)} AS c_type", f"{_counts_sql('outcome_id', NO)} AS c_outcome", *[f"{_counts_sql(y, n, ' AND y_has_next = 1')} AS c_{h}" for h, (y, n) in heads.STATE.items()]])
+_GOT = ["n", "n_next", "mean_x", "mean_y", "c_type", "c_outcome", *[f"c_{h}" for h in heads.STATE]]
+_KEYS = ("balls", "strikes", "prev_type", "prev_outcome")
+
+
+def contexts_sql(levels=heads.LEVELS):
+    """``tx0``: every context with the counts of its finest known level, and each head's best."""
+    parts = [f"l{i} AS (SELECT {''.join(k + ', ' for k in level)}{_AGGS} FROM ft {'GROUP BY ' + ', '.join(level) if level else ''} HAVING sum(y_has_next) >= 1)" for i, level in enumerate(levels)]
+    joins = " ".join(f"LEFT JOIN l{i} ON {' AND '.join(f'l{i}.{k} = cx.{k}' for k in level) or 'TRUE'}" for i, level in enumerate(levels))
+    pick = ", ".join("coalesce(" + ", ".join(f"l{i}.{c}" for i in range(len(levels))) + f") AS {c}" for c in _GOT)
+    top = ", ".join(f"list_position(c_{h}, list_max(c_{h})) - 1 AS h_{h}" for h in ("type", "outcome", *heads.STATE))
+    grid = ", ".join(f"(SELECT unnest(generate_series(0, {n - 1})) AS {k})" for k, n in zip(_KEYS, (4, 3, T, NO)))
+    return f"{', '.join(parts)}, cx AS (SELECT * FROM {grid}), tx1 AS (SELECT cx.*, {pick} FROM cx {joins}), tx0 AS (SELECT *, {top} FROM tx1)"
+
+
+def _log_of(head, i, n, total="n_next"):
+    return f"ln((c_{head}[CAST({i} AS INT) + 1] + 1.0::DOUBLE) / ({total} + {n}))"
+
+
+def transitions_sql(mode):
+    """``tx``: the next count of each context by mode: nb, ns, pe, the outcome oc, and whether a rule gave them."""
+    lb, ls, le = (lambda i: _log_of("balls", i, 4)), (lambda i: _log_of("strikes", i, 3)), (lambda i: _log_of("pa_end", i, 2))
     if mode == "heads":
-        return h
+        return "tx AS (SELECT *, h_balls AS nb, h_strikes AS ns, h_pa_end AS pe, h_outcome AS oc, 0 AS used FROM tx0)"
+    if mode == "clamp":
+        score = lambda b, s: f"round({lb(b)} + {ls(s)}, 9)"
+        stay, ball, strike = score("balls", "strikes"), score("least(balls + 1, 3)", "strikes"), score("balls", "least(strikes + 1, 2)")
+        move = f"CASE WHEN {stay} >= {ball} AND {stay} >= {strike} THEN 0 WHEN {ball} >= {strike} THEN 1 ELSE 2 END"
+        return f"""tm AS (SELECT *, {move} AS mv FROM tx0), tx AS (SELECT *, CASE WHEN h_pa_end = 1 THEN 0 WHEN mv = 1 THEN least(balls + 1, 3) ELSE balls END AS nb,
+ CASE WHEN h_pa_end = 1 THEN 0 WHEN mv = 2 THEN least(strikes + 1, 2) ELSE strikes END AS ns, h_pa_end AS pe, h_outcome AS oc, 0 AS used FROM tm)"""
     if mode == "rules":
-        r = _rules_sql("e.outcome", "s.balls", "s.strikes")
-        return {f: f"CASE WHEN {r['used']} = 1 THEN {r[f]} ELSE {h[f]} END" for f in h}
-    log = lambda top, i: f"CASE WHEN {top} = ({i}) THEN -0.25::DOUBLE ELSE -2.0::DOUBLE - ({i}) / 10.0::DOUBLE END"
-    if mode == "constrained":
-        told = [_rules_sql(f"'{o}'", "s.balls", "s.strikes") for o in _OUT]
-        weigh = lambda o, r: f"round(0.35::DOUBLE * CASE WHEN e.outcome = '{o}' THEN -0.1 ELSE -3.0 END + {log(h['pa_end'], r['pa_end'])} + {log(h['balls'], r['balls'])} + {log(h['strikes'], r['strikes'])}, 9)"
-        scores = ["-0.75::DOUBLE", *(weigh(o, r) for o, r in zip(_OUT, told))]
-        best = f"list_position([{', '.join(scores)}], greatest({', '.join(scores)}))"
-        return {f: f"CASE {best} " + " ".join(f"WHEN {i} THEN {x[f]}" for i, x in enumerate([h, *told], 1)) + " END" for f in h}
-    stay = f"({log(h['balls'], 's.balls')} + {log(h['strikes'], 's.strikes')})"
-    ball = f"CASE WHEN s.balls < 3 THEN {log(h['balls'], 's.balls + 1')} + {log(h['strikes'], 's.strikes')} ELSE -99 END"
-    strike = f"CASE WHEN s.strikes < 2 THEN {log(h['balls'], 's.balls')} + {log(h['strikes'], 's.strikes + 1')} ELSE -99 END"
-    best = f"CASE WHEN round({stay}, 9) >= round({ball}, 9) AND round({stay}, 9) >= round({strike}, 9) THEN 0 WHEN round({ball}, 9) >= round({strike}, 9) THEN 1 ELSE 2 END"
-    return {
-        "balls": f"CASE WHEN {h['pa_end']} = 1 THEN 0 ELSE s.balls + CASE WHEN ({best}) = 1 THEN 1 ELSE 0 END END",
-        "strikes": f"CASE WHEN {h['pa_end']} = 1 THEN 0 ELSE s.strikes + CASE WHEN ({best}) = 2 THEN 1 ELSE 0 END END",
-        "pa_end": h["pa_end"],
-    }
+        names = ", ".join(f"'{x}'" for x in OUTCOME_NAMES)
+        r = _rules_sql("told", "balls", "strikes")
+        pick = lambda k, h: f"CASE WHEN {r['used']} = 1 THEN {r[k]} ELSE {h} END"
+        return f"tn AS (SELECT *, [{names}][CAST(h_outcome AS INT) + 1] AS told FROM tx0), tx AS (SELECT *, {pick('balls', 'h_balls')} AS nb, {pick('strikes', 'h_strikes')} AS ns, {pick('pa_end', 'h_pa_end')} AS pe, h_outcome AS oc, {r['used']} AS used FROM tn)"
+    cand = [f"SELECT *, -1 AS r, h_balls AS nb, h_strikes AS ns, h_pa_end AS pe, h_outcome AS oc, 0 AS used, round({le('h_pa_end')} + {lb('h_balls')} + {ls('h_strikes')}, 9) AS sc FROM tx0"]
+    for i, o in enumerate(OUTCOME_NAMES[1:], 1):
+        r = _rules_sql(f"'{o}'", "balls", "strikes")
+        cand.append(f"SELECT *, round(0.35::DOUBLE * {_log_of('outcome', i, NO, 'n')} + {le('pe')} + {lb('nb')} + {ls('ns')}, 9) AS sc FROM (SELECT *, {i} AS r, {r['balls']} AS nb, {r['strikes']} AS ns, {r['pa_end']} AS pe, {i} AS oc, 1 AS used FROM tx0)")
+    return f"tx AS (SELECT * FROM ({' UNION ALL '.join(cand)}) QUALIFY row_number() OVER (PARTITION BY {', '.join(_KEYS)} ORDER BY sc DESC, r) = 1)"
+
+
+_KNOWN = lambda h: f"coalesce(list_filter({h}, lambda z: z <> 0)[-1], 0)"
+_NOW = "CAST(inning AS INT) AS inning, CAST(outs AS INT) AS outs, CAST(balls AS INT) AS balls, CAST(strikes AS INT) AS strikes, CAST(seq AS INT) AS pitch_number, CAST(score_diff AS INT) AS score_diff, CAST(on_1 IS NOT NULL AS INT) AS on_1, CAST(on_2 IS NOT NULL AS INT) AS on_2, CAST(on_3 IS NOT NULL AS INT) AS on_3, CASE WHEN side = 'Bot' THEN 1 ELSE 0 END AS side"
+
+
+def rollout_sql(mode, source="sh", levels=heads.LEVELS):
+    """``cr``: the events in order; ``ro``: their simulated states with the predicted history; ``rp``: with the prediction beside."""
+    keep = lambda h, x: f"CASE WHEN x.pe = 1 THEN CAST([] AS INT[]) ELSE list_append(s.{h}, CAST({x} AS INT))[-4:] END"
+    return f"""{STATES.replace('WITH', 'WITH RECURSIVE', 1)}, {contexts_sql(levels)}, {transitions_sql(mode)},
+ cr AS (SELECT game, pa, seq, token_id, outcome_id, x, y, {_NOW}, row_number() OVER (PARTITION BY game ORDER BY pa, seq) AS i FROM {source}),
+ ro AS (SELECT game, i, pa, seq, {', '.join(simulation.FIELDS)}, CAST([] AS INT[]) AS ht, CAST([] AS INT[]) AS ho FROM cr WHERE i = 1
+ UNION ALL SELECT n.game, n.i, n.pa, n.seq, CAST(s.inning + x.h_inning_delta AS INT), CAST(x.h_outs AS INT), CAST(x.nb AS INT), CAST(x.ns AS INT), CASE WHEN x.pe = 1 THEN 1 ELSE s.pitch_number + 1 END,
+ CAST(s.score_diff + x.h_score_delta - 4 AS INT), CAST(x.h_on_1 AS INT), CAST(x.h_on_2 AS INT), CAST(x.h_on_3 AS INT), CAST(x.h_side AS INT), {keep('ht', 'x.h_type')}, {keep('ho', 'x.oc')}
+ FROM ro s JOIN tx x ON x.balls = s.balls AND x.strikes = s.strikes AND x.prev_type = {_KNOWN('s.ht')} AND x.prev_outcome = {_KNOWN('s.ho')} JOIN cr n ON n.game = s.game AND n.i = s.i + 1),
+ rp AS (SELECT ro.*, x.* EXCLUDE (balls, strikes) FROM ro JOIN tx x ON x.balls = ro.balls AND x.strikes = ro.strikes AND x.prev_type = {_KNOWN('ro.ht')} AND x.prev_outcome = {_KNOWN('ro.ho')})"""
+
 
+def played(spark, sf, mode, levels=heads.LEVELS, held_out=False):
+    rows = state_rows(spark, sf).select(*PLAYED)
+    return simulation.rollout(splitting.validation(rows, 0.1) if held_out else rows, predictor(spark, sf, levels), mode)
 
-def rollout_sql(mode):
-    c = _count_sql(mode)
-    return f"""{_ROLL}, ro AS (SELECT game, i, pa, seq, inning, outs, balls, strikes, pitch_number, score_diff, on_1, on_2, on_3, side, code, outcome FROM cr WHERE i = 1
- UNION ALL SELECT n.game, n.i, n.pa, n.seq, s.inning + CAST(e.code % 4 = 0 AS INT), (s.outs + e.code) % 3, {c['balls']}, {c['strikes']}, CASE WHEN ({c['pa_end']}) = 1 THEN 1 ELSE s.pitch_number + 1 END,
- s.score_diff + e.code % 9 - 4, e.code % 2, (e.code + s.outs) % 2, (e.code + s.balls) % 2, (s.side + e.code) % 2, n.code, n.outcome
- FROM ro s JOIN cr e ON e.game = s.game AND e.i = s.i JOIN cr n ON n.game = s.game AND n.i = s.i + 1)"""
 
+def simulated(rolled):
+    return rolled.select("game", "pa", "seq", *[F.col(f"sim_{f}").alias(f) for f in simulation.FIELDS])
 
-for _mode in ("heads", "clamp", "rules", "constrained"):
+
+for _mode in simulation.MODES:
 
     @query(f"rollout_{_mode}", rollout_sql(_mode) + f" SELECT game, pa, seq, {', '.join(simulation.FIELDS)} FROM ro")
     def rollout(spark, sf, mode=_mode):
-        return simulation.rollout(coded_rows(pitch_log(spark, sf)), mode).select("game", "pa", "seq", *simulation.FIELDS)
+        return simulated(played(spark, sf, mode))
+
+    @query(f"rollout_summary_{_mode}", rollout_sql(_mode, "va") + """ SELECT count(DISTINCT game) AS games, count(*) AS n, round(avg(CASE WHEN h_type = token_id THEN 1.0::DOUBLE ELSE 0 END), 6) AS acc,
+ round(avg(CASE WHEN len(list_filter(generate_series(0, 6), lambda t: c_type[t + 1] > c_type[token_id + 1] OR (c_type[t + 1] = c_type[token_id + 1] AND t < token_id))) < 3 THEN 1.0::DOUBLE ELSE 0 END), 6) AS top3,
+ round(avg(CASE WHEN oc = outcome_id THEN 1.0::DOUBLE ELSE 0 END), 6) AS outcome_acc, round(sqrt(avg(((x - mean_x) ** 2 + (y - mean_y) ** 2) / 2)), 6) AS loc_rmse,
+ CAST(sum(used) AS BIGINT) AS rules_used, CAST(sum(CASE WHEN oc <> h_outcome THEN 1 ELSE 0 END) AS BIGINT) AS outcomes_overridden FROM rp JOIN (SELECT game, i, token_id, outcome_id, x, y FROM cr) USING (game, i)""")
+    def rollout_summary(spark, sf, mode=_mode):
+        return simulation.summary(played(spark, sf, mode, held_out=True))
 
 
-_MODES = ", ".join(f"CAST(list_position([{', '.join(f'count(*) FILTER ({y} = {i})' for i in range(n))}], greatest({', '.join(f'count(*) FILTER ({y} = {i})' for i in range(n))})) - 1 AS INT) AS {h}" for h, (y, n) in simulation.HEADS.items())
-_FIT = f"{TRAIN}, {NEXT}, hd AS (SELECT nx.balls AS at_balls, nx.strikes AS at_strikes, {_MODES} FROM nx, ct WHERE day < valid_from AND y_has_next = 1 GROUP BY nx.balls, nx.strikes)"
+@query("rollout_predicted", rollout_sql("constrained") + " SELECT game, pa, seq, CAST(prev_type AS INT) AS prev_type, CAST(prev_outcome AS INT) AS prev_outcome, CAST(h_type AS INT) AS p_type, CAST(oc AS INT) AS p_outcome, round(mean_x, 9) AS p_x, round(mean_y, 9) AS p_y, CAST(pe AS INT) AS p_pa_end, CAST(used AS INT) AS used FROM rp")
+def rollout_predicted(spark, sf):
+    r = played(spark, sf, "constrained")
+    return r.select("game", "pa", "seq", "prev_type", "prev_outcome", "p_type", "p_outcome", F.round("p_x", 9).alias("p_x"), F.round("p_y", 9).alias("p_y"), "p_pa_end", "used")
 
 
-def _heads_of(spark, sf):
-    return simulation.fitted_heads(splitting.training(sequences.next_state(pitch_log(spark, sf)), 0.1))
+BY_COUNT = (("balls", "strikes"), ())
 
 
-@query("rollout_empirical", f"""{_ROLL}, {_FIT}, ro AS (SELECT game, i, pa, seq, {', '.join(simulation.FIELDS)} FROM cr WHERE i = 1
- UNION ALL SELECT n.game, n.i, n.pa, n.seq, s.inning + h.inning_delta, h.outs, h.balls, h.strikes, CASE WHEN h.pa_end = 1 THEN 1 ELSE s.pitch_number + 1 END, s.score_diff + h.score_delta - 4, h.on_1, h.on_2, h.on_3, h.side
- FROM ro s JOIN hd h ON h.at_balls = s.balls AND h.at_strikes = s.strikes JOIN cr n ON n.game = s.game AND n.i = s.i + 1)
- SELECT game, pa, seq, {', '.join(simulation.FIELDS)} FROM ro""")
+@query("rollout_empirical", rollout_sql("heads", levels=BY_COUNT) + f" SELECT game, pa, seq, {', '.join(simulation.FIELDS)} FROM ro")
 def rollout_empirical(spark, sf):
-    predict = simulation.table_predictor(_heads_of(spark, sf))
-    return simulation.rollout(coded_rows(pitch_log(spark, sf)), "heads", predict).select("game", "pa", "seq", *simulation.FIELDS)
+    return simulated(played(spark, sf, "heads", BY_COUNT))
 
 
-@query("replay_state_accuracy", f"{LG}, {_FIT} SELECT count(*) AS n, " + ", ".join(f"round(avg(CASE WHEN hd.{h} = nx.{y} THEN 1.0::DOUBLE ELSE 0 END), 6) AS {h}_acc" for h, (y, _) in simulation.HEADS.items()) + " FROM nx JOIN hd ON at_balls = nx.balls AND at_strikes = nx.strikes WHERE y_has_next = 1")
-def replay_state_accuracy(spark, sf):
-    return simulation.state_accuracy(sequences.next_state(pitch_log(spark, sf)), _heads_of(spark, sf))
+@query("rollout_drift", rollout_sql("rules", "va") + " SELECT count(*) AS n, " + ", ".join(f"round(avg(CASE WHEN ro.{f} = cr.{f} THEN 1.0::DOUBLE ELSE 0 END), 6) AS match_{f}" for f in simulation.FIELDS) + " FROM ro JOIN cr USING (game, i)")
+def rollout_drift(spark, sf):
+    return simulation.drift(played(spark, sf, "rules", held_out=True))
 
 
-@query("rollout_drift", rollout_sql("rules") + " SELECT count(*) AS n, " + ", ".join(f"round(avg(CASE WHEN ro.{f} = cr.{f} THEN 1.0::DOUBLE ELSE 0 END), 6) AS match_{f}" for f in simulation.FIELDS) + " FROM ro JOIN cr USING (game, i)")
-def rollout_drift(spark, sf):
-    rows = coded_rows(pitch_log(spark, sf))
-    return simulation.drift(rows, simulation.rollout(rows, "rules"))
+@query("replay_state_accuracy", f"{STATES}, {contexts_sql()} SELECT count(*) AS n, " + ", ".join(f"round(avg(CASE WHEN tx0.h_{h} = va.{y} THEN 1.0::DOUBLE ELSE 0 END), 6) AS {h}_acc" for h, (y, _) in heads.STATE.items()) + f" FROM va JOIN tx0 USING ({', '.join(_KEYS)}) WHERE y_has_next = 1")
+def replay_state_accuracy(spark, sf):
+    return simulation.state_accuracy(simulation.replay(splitting.validation(state_rows(spark, sf), 0.1), heads_table(spark, sf)))
 
 
 @query("trace_json", f"{LG} SELECT game, pa, seq, '{{\"pitch_number\":' || seq || ',\"state\":{{\"inning\":' || inning || ',\"balls\":' || balls || ',\"strikes\":' || strikes || '}},\"y\":{{\"token\":\"' || token || '\",\"outcome\":\"' || outcome || '\"}}}}' AS event FROM lg")

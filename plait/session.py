@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
 
 def get_spark(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """UTC, adaptive execution; ``conf`` names use ``__`` for dots."""
@@ -12,3 +16,10 @@ def get_spark(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
     return b.getOrCreate()
+
+
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers that start from now on import this package from where it lies; a cluster needs it there or installed."""
+    env = spark.sparkContext.environment
+    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), ROOT) if x)
