@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from plait.operators import heads, sequences
 from plait.operators.heads import Predictor
 from plait.session import importable
+from plait.sources import artifacts
 
 FIELDS = ["inning", "outs", "balls", "strikes", "pitch_number", "score_diff", "on_1", "on_2", "on_3", "side"]
 MODES = ("heads", "clamp", "rules", "constrained")
@@ -141,3 +142,14 @@ def corrupted(rows: DataFrame, fields: dict[str, tuple[int, int]], keys: list[st
         jump = noise(keys, seed + 1, 2 * delta + 1) - delta
         new[c] = F.when(noise(keys, seed, 1000) < round(p * 1000), F.least(F.greatest(F.col(c) + jump, F.lit(0)), F.lit(hi))).otherwise(F.col(c)).cast("int")
     return rows.withColumns(new)
+
+
+def simulate(rolled: DataFrame, path: str, overwrite: bool = False, **about) -> dict:
+    """Writes the summary of a rollout, with the share of each field that the simulated state hits and what ``about`` says of the run, as one JSON file; returns it."""
+    kept = rolled.persist()
+    try:
+        got = {**summary(kept).first().asDict(), **drift(kept).first().asDict(), **about}
+    finally:
+        kept.unpersist()
+    artifacts.write_json(rolled.sparkSession, path, got, overwrite)
+    return got

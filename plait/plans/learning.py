@@ -1,12 +1,14 @@
-"""Fitted models: mixtures of places, and traces that carry their loss."""
+"""Fitted models: mixtures of places, traces that carry their loss, prediction from nested histories, a network of several heads."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plait.operators import mixtures, simulation, splitting
+from plait.operators import features, heads, mixtures, network, sequences, simulation, splitting
 from plait.plans.registry import query
-from plait.plans.simulating import STATES, played, rollout_sql, state_rows
+from plait.plans.scoring import TOKENS
+from plait.plans.simulating import OUTCOME_NAMES, STATES, contexts_sql, heads_table, played, rollout_sql, state_rows
+from plait.sources.tables import pitch_log
 
 K, ROUNDS = 2, 3
 
@@ -72,3 +74,46 @@ def trace_records(spark, sf):
     se = F.pow(F.col("x") - F.col("p_x"), 2) + F.pow(F.col("y") - F.col("p_y"), 2)
     both = [c for f in _F for c in (F.col(f"sim_{f}"), (F.col(f"sim_{f}") == F.col(f)).cast("int").alias(f"match_{f}"))]
     return t.select("game", "pa", "seq", *both, "p_type", "p_outcome", F.round("p_x", 6).alias("p_x"), F.round("p_y", 6).alias("p_y"), F.round("loc_nll", 6).alias("loc_nll"), "p_pa_end", "p_balls", "p_strikes", (F.col("p_type") == F.col("token_id")).cast("int").alias("top1"), F.round(se, 6).alias("loc_se"))
+
+
+L = 4
+
+
+def requests(spark, sf):
+    """The held-out events as prediction requests: raw context and the nested history of the session so far, no id encoded."""
+    log = features.nested_history(pitch_log(spark, sf), L)
+    return splitting.validation(log, 0.1).select("game", "pa", "seq", "day", "inning", "outs", "balls", "strikes", "score_diff", "on_1", "on_2", "on_3", "side", "pitcher", "batter", "history")
+
+
+@query("predict_from_history", f"""{STATES}, {contexts_sql()} SELECT game, pa, seq, CAST(h_type AS INT) AS type_1, round((c_type[CAST(h_type AS INT) + 1] + 1.0::DOUBLE) / (n + 7), 6) AS prob_1, CAST(h_outcome AS INT) AS outcome_1,
+ CAST(h_balls AS INT) AS next_balls, CAST(h_strikes AS INT) AS next_strikes, round((c_pa_end[2] + 1.0::DOUBLE) / (n_next + 2), 6) AS pa_end_prob, round(mean_x, 6) AS p_x, round(mean_y, 6) AS p_y FROM va JOIN tx0 USING (balls, strikes, prev_type, prev_outcome)""")
+def predict_from_history(spark, sf):
+    ids = [{x: i for i, x in enumerate(names, 1)} for names in (TOKENS, OUTCOME_NAMES[1:])]
+    flat = dict.fromkeys([*features.CONTEXT, "x", "y"], (0.0, 1.0))
+    r = features.encoded(features.context(requests(spark, sf)), features.Encoding(*ids, flat, L))
+    p = heads.attach(r, heads_table(spark, sf))
+    return p.select("game", "pa", "seq", heads.best("p_type").alias("type_1"), F.round(F.array_max("p_type"), 6).alias("prob_1"), heads.best("p_outcome").alias("outcome_1"), heads.best("p_balls").alias("next_balls"), heads.best("p_strikes").alias("next_strikes"), F.round(F.get("p_pa_end", F.lit(1)), 6).alias("pa_end_prob"), F.round("p_x", 6).alias("p_x"), F.round("p_y", 6).alias("p_y"))
+
+
+def learning_rows(spark, sf):
+    """Both parts of the log as a network's input with labels, and their encoding, which sees the training part alone."""
+    log = features.context(features.nested_history(sequences.next_state(pitch_log(spark, sf)), L))
+    cut = splitting.boundary(pitch_log(spark, sf), 0.1).first()["valid_from"]
+    parts = [log.where(F.col("day") < F.lit(cut)), log.where(F.col("day") >= F.lit(cut))]
+    e = features.fitted(parts[0], L)
+    return e, [features.labelled(features.encoded(p, e), e) for p in parts]
+
+
+def shape_of(e):
+    return network.Shape(*e.sizes, e.history, len(features.CONTEXT))
+
+
+@query("joint_training")
+def joint_training(spark, sf):
+    """Losses of each epoch."""
+    e, (train, valid) = learning_rows(spark, sf)
+    _, history = network.train(train, valid, shape_of(e), ["game", "pa", "seq"], epochs=3, batches=2)
+    return spark.createDataFrame([tuple(float(h[c]) for c in _EPOCH) for h in history], ", ".join(f"{c} double" for c in _EPOCH))
+
+
+_EPOCH = ["epoch", "train_loss", "valid_loss", "valid_ce", "valid_outcome_ce", "valid_loc_nll", "valid_state_loss", "valid_acc"]

@@ -90,13 +90,13 @@ def read_trace(spark: SparkSession, path: str, schema: StructType, game: int | N
     return rows
 
 
-def save_if_better(spark: SparkSession, run: str, model: PipelineModel, loss: float, **fields) -> bool:
-    """Keeps the model of the least loss under ``checkpoints/best``, and logs every loss."""
+def save_if_better(spark: SparkSession, run: str, model, loss: float, **fields) -> bool:
+    """Keeps the model of the least loss under ``checkpoints/best``, and logs every loss.  ``model``: a PipelineModel, or one with ``save(spark, path, overwrite)``."""
     log, best = f"{run}/metrics", f"{run}/checkpoints/best"
     before = spark.read.json(log).where("event = 'valid'").agg(F.min("loss")).first()[0] if names(spark, log) else None
     better = before is None or loss < before
     if better:
-        model.write().overwrite().save(best)
+        model.write().overwrite().save(best) if hasattr(model, "write") else model.save(spark, best, overwrite=True)
     log_event(spark, log, "valid", loss=loss, best=better, **fields)
     return better
 
@@ -113,7 +113,12 @@ def export_run(spark: SparkSession, run: str, prepared: str, out: str) -> None:
     """Model, metrics, meta data and vocabularies in one new folder."""
     if names(spark, out):
         raise FileExistsError(out)
-    PipelineModel.load(f"{run}/checkpoints/best").save(f"{out}/model")
+    best = f"{run}/checkpoints/best"
+    if "weights" in names(spark, best):
+        spark.read.parquet(f"{best}/weights").coalesce(1).write.parquet(f"{out}/model/weights")
+        write_json(spark, f"{out}/model/shape.json", read_json(spark, f"{best}/shape.json"))
+    else:
+        PipelineModel.load(best).save(f"{out}/model")
     spark.read.text(f"{run}/metrics").coalesce(1).write.text(f"{out}/metrics")
     write_json(spark, f"{out}/meta.json", read_json(spark, f"{prepared}/meta.json"))
     spark.read.parquet(f"{prepared}/vocabs").write.parquet(f"{out}/vocabs")

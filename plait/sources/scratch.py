@@ -23,8 +23,9 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet and read back: it cuts the lineage, and a lost executor costs nothing."""
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """``df`` written once as Parquet (a folder for each value of ``by``) and read back: it cuts the lineage, and a lost executor costs nothing."""
     path = f"{shared_dir(df.sparkSession)}/plait-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    out = df.write.option("compression", "zstd")
+    (out.partitionBy(by) if by else out).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
