@@ -78,11 +78,11 @@ def packed_key(parts: list[tuple[str, int]]) -> Column:
 
 
 def unpacked_key(key, radices: list[int]) -> list[Column]:
-    """Inverse of :func:`packed_key`; the first has no radix."""
+    """Inverse of :func:`packed_key`, in whole numbers throughout; the first has no radix."""
     out, rest = [], c(key)
     for r in reversed(radices):
         out.append(rest % r)
-        rest = ((rest - rest % r) / r).cast("bigint")
+        rest = F.call_function("div", rest, F.lit(r))
     return [rest, *reversed(out)]
 
 

@@ -41,29 +41,44 @@ def group_distributions(counts: DataFrame, keys: list[str], n_classes: int, alph
     return g.withColumn("top3", top).withColumn("denominator", F.col("group_n") + F.lit(alpha * n_classes))
 
 
-def evaluate(train: DataFrame, valid: DataFrame, keys: list[str], n_classes: int, alpha: float = 1.0) -> DataFrame:
-    """One row: n, fallbacks, top-1 and top-3 accuracy, cross-entropy and place error of the predictor on ``valid``."""
-    everywhere = group_distributions(fit(train, []), [], n_classes, alpha).select(*[F.col(x).alias(f"g_{x}") for x in ("c", "top3", "denominator")])
-    place = train.agg(F.avg("x").alias("g_x"), F.avg("y_loc").alias("g_y"))
-    rows = valid.crossJoin(F.broadcast(everywhere)).crossJoin(F.broadcast(place))
+def centred(counts: DataFrame, keys: list[str], n_classes: int, alpha: float) -> DataFrame:
+    """:func:`group_distributions` with the group's mean place, from the same counts in one aggregation."""
+    arr = F.array(*[F.coalesce(F.sum(F.when(F.col("y") == i, F.col("n"))), F.lit(0)) for i in range(n_classes)])
+    g = counts.groupBy(*keys).agg(F.sum("n").alias("group_n"), arr.alias("c"), (F.sum("sum_x") / F.sum("n")).alias("m_x"), (F.sum("sum_y") / F.sum("n")).alias("m_y"))
+    order = F.array_sort(F.transform("c", lambda x, i: F.struct((-x).alias("neg"), i.alias("i"))))
+    return g.withColumn("top3", F.transform(F.slice(order, 1, 3), lambda s: s["i"])).withColumn("denominator", F.col("group_n") + F.lit(alpha * n_classes))
+
+
+#: Groups up to this many are broadcast to the rows.
+MOST = 200_000
+PREDICTED = ["c", "top3", "denominator", "m_x", "m_y"]
+
+
+def predicted(train: DataFrame, valid: DataFrame, keys: list[str], n_classes: int, alpha: float = 1.0) -> DataFrame:
+    """``valid`` with the counts ``c`` of its group in ``train``, their ``top3`` and ``denominator``, and the mean place; the global ones where
+    the group was never seen (``fallback`` 1).  Both carry the keys, ``y``, ``x`` and ``y_loc``."""
+    counts = fit(train, keys)
+    everywhere = centred(counts, [], n_classes, alpha).select(*[F.col(x).alias(f"g_{x}") for x in PREDICTED])
+    rows = valid.crossJoin(F.broadcast(everywhere))
     if keys:
-        counts = fit(train, keys)
-        group = group_distributions(counts, keys, n_classes, alpha).drop("group_n")
-        centre = counts.groupBy(*keys).agg((F.sum("sum_x") / F.sum("n")).alias("m_x"), (F.sum("sum_y") / F.sum("n")).alias("m_y"))
-        side = group.join(centre, keys).select(*[F.col(k).alias(f"k_{k}") for k in keys], "c", "top3", "denominator", "m_x", "m_y")
-        on = reduce(lambda a, b: a & b, [rows[k] == F.col(f"k_{k}") for k in keys])
-        rows = rows.join(side, on, "left")
+        side = centred(counts, keys, n_classes, alpha).select(*[F.col(k).alias(f"k_{k}") for k in keys], *PREDICTED)
+        side = F.broadcast(side) if side.count() <= MOST else side
+        rows = rows.join(side, reduce(lambda a, b: a & b, [F.col(k) == F.col(f"k_{k}") for k in keys]), "left").drop(*[f"k_{k}" for k in keys])
     else:
-        rows = rows.withColumns({"c": F.col("g_c"), "top3": F.col("g_top3"), "denominator": F.col("g_denominator"), "m_x": F.col("g_x"), "m_y": F.col("g_y")})
-    pick = lambda a: F.coalesce(F.col(a), F.col(f"g_{a}"))
-    c, top, den = pick("c"), pick("top3"), pick("denominator")
-    mx, my = F.coalesce("m_x", "g_x"), F.coalesce("m_y", "g_y")
-    p = (F.get(c, F.col("y")) + F.lit(alpha)) / den
-    err = (F.pow(F.col("x") - mx, 2) + F.pow(F.col("y_loc") - my, 2)) / 2
+        rows = rows.withColumns({x: F.col(f"g_{x}") for x in PREDICTED})
+    rows = rows.withColumn("fallback", F.col("denominator").isNull().cast("int"))
+    return rows.withColumns({x: F.coalesce(x, f"g_{x}") for x in PREDICTED}).drop(*[f"g_{x}" for x in PREDICTED])
+
+
+def evaluate(train: DataFrame, valid: DataFrame, keys: list[str], n_classes: int, alpha: float = 1.0) -> DataFrame:
+    """One row: n, fallbacks, top-1 and top-3 accuracy, cross-entropy and place error of the predictor on ``valid``."""
+    rows = predicted(train, valid, keys, n_classes, alpha)
+    p = (F.get("c", F.col("y")) + F.lit(alpha)) / F.col("denominator")
+    err = (F.pow(F.col("x") - F.col("m_x"), 2) + F.pow(F.col("y_loc") - F.col("m_y"), 2)) / 2
     return rows.agg(
-        F.count("*").alias("n"), F.sum(F.col("c").isNull().cast("int")).alias("fallback_n"),
-        F.round(F.avg((top[0] == F.col("y")).cast("double")), 6).alias("acc"),
-        F.round(F.avg(F.array_contains(top, F.col("y")).cast("double")), 6).alias("top3"),
+        F.count("*").alias("n"), F.sum("fallback").alias("fallback_n"),
+        F.round(F.avg((F.col("top3")[0] == F.col("y")).cast("double")), 6).alias("acc"),
+        F.round(F.avg(F.array_contains("top3", F.col("y")).cast("double")), 6).alias("top3"),
         F.round(F.avg(-F.log(p)), 6).alias("ce"), F.round(F.sqrt(F.avg(err)), 6).alias("loc_rmse"),
     )
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plait.functions import vectors as V
-from plait.operators import baselines, metrics, sequences
+from plait.operators import baselines, metrics, sequences, splitting
 from plait.plans.registry import query
-from plait.plans.relational import BUCKETED, LG, bucketed
+from plait.plans.relational import BUCKETED, CUT, LG, bucketed
 from plait.sources.tables import OUTCOMES, PITCH_SQL, SCORES_SQL, pitch_log, vector_scores
 
 #: Class ids of tokens and outcomes.
@@ -24,22 +24,24 @@ def _ids(col, values):
 
 
 def labelled(p):
-    """y: the token's class; prev_type and prev_outcome: last non-zero of the session's history; split by day."""
+    """y: the token's class; prev_type and prev_outcome: last non-zero of the session's history; split at the boundary day."""
+    cut = splitting.boundary(p, 0.1).first()["valid_from"]
     p = p.withColumn("token_id", _ids("token", TOKENS)).withColumn("outcome_id", _ids("outcome", OUTCOMES[:-1]))
     h = sequences.history(p, ["token_id", "outcome_id"], 4)
     h = h.withColumn("prev_type", sequences.last_nonzero([f"hist_token_id_{i}" for i in range(4)])).withColumn("prev_outcome", sequences.last_nonzero([f"hist_outcome_id_{i}" for i in range(4)]))
-    return h.select("game", "pa", "seq", "day", "pitcher", "balls", "strikes", "prev_type", "prev_outcome", F.col("token_id").alias("y"), "outcome_id", "x", F.col("y").alias("y_loc")).withColumn("split", F.when(F.col("day") < "1998-01-01", "train").otherwise("valid"))
+    return h.select("game", "pa", "seq", "day", "pitcher", "balls", "strikes", "prev_type", "prev_outcome", F.col("token_id").alias("y"), "outcome_id", "x", F.col("y").alias("y_loc")).withColumn("split", F.when(F.col("day") < F.lit(cut), "train").otherwise("valid"))
 
 
 def _case(col, values):
     return f"CASE {col} " + " ".join(f"WHEN '{v}' THEN {i}" for i, v in enumerate(values, 1)) + " ELSE 0 END"
 
 
-LABELLED = f"""WITH {PITCH_SQL}, li AS (SELECT *, {_case('token', TOKENS)} AS token_id, {_case('outcome', OUTCOMES[:-1])} AS outcome_id FROM lg),
+CUT_LOG = CUT.replace("FROM ev", "FROM lg")
+LABELLED = f"""WITH {PITCH_SQL}, {CUT_LOG}, li AS (SELECT *, {_case('token', TOKENS)} AS token_id, {_case('outcome', OUTCOMES[:-1])} AS outcome_id FROM lg),
  lb AS (SELECT game, pa, seq, day, pitcher, balls, strikes,
  coalesce({', '.join(f'nullif(lag(token_id, {i}) OVER w, 0)' for i in range(1, 5))}, 0) AS prev_type,
  coalesce({', '.join(f'nullif(lag(outcome_id, {i}) OVER w, 0)' for i in range(1, 5))}, 0) AS prev_outcome,
- token_id AS y, outcome_id, x, y AS y_loc, CASE WHEN day < DATE '1998-01-01' THEN 'train' ELSE 'valid' END AS split FROM li WINDOW w AS (PARTITION BY game, pa ORDER BY seq))"""
+ token_id AS y, outcome_id, x, y AS y_loc, CASE WHEN day < valid_from THEN 'train' ELSE 'valid' END AS split FROM li, ct WINDOW w AS (PARTITION BY game, pa ORDER BY seq))"""
 
 for _name, _keys in baselines.GRAINS.items():
 
@@ -75,9 +77,9 @@ def baseline_fit_rollup(spark, sf):
     return baselines.fit_all(labelled(pitch_log(spark, sf)).where("split = 'train'"))
 
 
-@query("top3_classes", f"{LABELLED} SELECT pitcher, y, n, rank FROM (SELECT pitcher, y, count(*) AS n, row_number() OVER (PARTITION BY pitcher ORDER BY count(*) DESC, y) AS rank FROM lb GROUP BY pitcher, y) WHERE rank <= 3")
+@query("top3_classes", f"{LABELLED} SELECT pitcher, y, n, rank FROM (SELECT pitcher, y, count(*) AS n, row_number() OVER (PARTITION BY pitcher ORDER BY count(*) DESC, y) AS rank FROM lb WHERE split = 'train' GROUP BY pitcher, y) WHERE rank <= 3")
 def top3_classes(spark, sf):
-    return baselines.top_classes(labelled(pitch_log(spark, sf)).groupBy("pitcher", "y").agg(F.count("*").alias("n")), ["pitcher"], 3)
+    return baselines.top_classes(labelled(pitch_log(spark, sf)).where("split = 'train'").groupBy("pitcher", "y").agg(F.count("*").alias("n")), ["pitcher"], 3)
 
 
 def scored(spark, sf):
@@ -136,26 +138,31 @@ def eval_summary(spark, sf):
     return _vector_places(scored(spark, sf)).agg(F.count("*").alias("n"), F.round(F.avg("hit1"), 6).alias("acc"), F.round(F.avg("hit3"), 6).alias("acc_top3"), F.round(F.avg("nll"), 6).alias("ce"), F.round(F.sqrt(F.avg("se") / 2), 6).alias("loc_rmse"))
 
 
+EMPIRICAL_KEYS = ["pitcher", "balls", "strikes"]
+
+
 def empirical(p):
-    """The entity-and-count predictor's columns beside each row, from shares over all rows (alpha 1)."""
-    p = bucketed(p).withColumn("y_id", _ids("token", TOKENS))
-    keys = ["pitcher", "balls", "strikes"]
-    counts = p.groupBy(*keys, F.col("y_id").alias("y")).agg(F.count("*").alias("n"))
-    g = baselines.group_distributions(counts, keys, T, 1.0)
-    c = p.groupBy(*keys).agg(F.avg("x").alias("m_x"), F.avg("y").alias("m_y"))
-    j = p.join(g, keys).join(c, keys)
+    """The held-out rows with the entity-and-count predictor's columns beside each, from shares of the training rows (alpha 1); unseen groups take the global shares.
+
+    ``y`` becomes the token's class, ``y_loc`` the place."""
+    p = bucketed(p).withColumn("y_loc", F.col("y")).withColumn("y", _ids("token", TOKENS))
+    cut = F.lit(splitting.boundary(p, 0.1).first()["valid_from"])
+    j = baselines.predicted(p.where(F.col("day") < cut), p.where(F.col("day") >= cut), EMPIRICAL_KEYS, T)
     return j.withColumns({
-        "hit1": (F.col("top3")[0] == F.col("y_id")).cast("double"), "hit3": F.array_contains("top3", F.col("y_id")).cast("double"),
-        "nll": -F.log((F.get("c", F.col("y_id")) + 1.0) / F.col("denominator")), "se": F.pow(F.col("x") - F.col("m_x"), 2) + F.pow(F.col("y") - F.col("m_y"), 2),
+        "hit1": (F.col("top3")[0] == F.col("y")).cast("double"), "hit3": F.array_contains("top3", F.col("y")).cast("double"),
+        "nll": -F.log((F.get("c", F.col("y")) + 1.0) / F.col("denominator")), "se": F.pow(F.col("x") - F.col("m_x"), 2) + F.pow(F.col("y_loc") - F.col("m_y"), 2),
     })
 
 
-EMPIRICAL = f"""{BUCKETED}, yb AS (SELECT *, {_case('token', TOKENS)} AS y_id FROM bk), cl AS (SELECT unnest(generate_series(0, {T - 1})) AS cls),
- gr AS (SELECT pitcher, balls, strikes, count(*) AS tot, avg(x) AS m_x, avg(y) AS m_y FROM yb GROUP BY ALL),
+EMPIRICAL = f"""{BUCKETED}, {CUT_LOG}, yb AS (SELECT bk.*, {_case('token', TOKENS)} AS y_id, day < valid_from AS is_train FROM bk, ct), cl AS (SELECT unnest(generate_series(0, {T - 1})) AS cls),
+ ft AS (SELECT * FROM yb WHERE is_train), va AS (SELECT * FROM yb WHERE NOT is_train),
+ gr AS (SELECT pitcher, balls, strikes, count(*) AS tot, avg(x) AS m_x, avg(y) AS m_y FROM ft GROUP BY ALL), ga AS (SELECT count(*) AS a_tot, avg(x) AS a_x, avg(y) AS a_y FROM ft),
  gc AS (SELECT gr.pitcher, gr.balls, gr.strikes, cls, coalesce(n, 0) AS n, row_number() OVER (PARTITION BY gr.pitcher, gr.balls, gr.strikes ORDER BY coalesce(n, 0) DESC, cls) AS r FROM gr CROSS JOIN cl
-  LEFT JOIN (SELECT pitcher, balls, strikes, y_id, count(*) AS n FROM yb GROUP BY ALL) k ON k.pitcher = gr.pitcher AND k.balls = gr.balls AND k.strikes = gr.strikes AND k.y_id = cls),
- em AS (SELECT yb.*, CASE WHEN r = 1 THEN 1.0::DOUBLE ELSE 0 END AS hit1, CASE WHEN r <= 3 THEN 1.0::DOUBLE ELSE 0 END AS hit3, -ln((n + 1.0::DOUBLE) / (tot + {T})) AS nll, (x - m_x) ** 2 + (y - m_y) ** 2 AS se
-  FROM yb JOIN gr USING (pitcher, balls, strikes) JOIN gc ON gc.pitcher = yb.pitcher AND gc.balls = yb.balls AND gc.strikes = yb.strikes AND gc.cls = yb.y_id)"""
+  LEFT JOIN (SELECT pitcher, balls, strikes, y_id, count(*) AS n FROM ft GROUP BY ALL) k ON k.pitcher = gr.pitcher AND k.balls = gr.balls AND k.strikes = gr.strikes AND k.y_id = cls),
+ gt AS (SELECT cls, coalesce(n, 0) AS n, row_number() OVER (ORDER BY coalesce(n, 0) DESC, cls) AS r FROM cl LEFT JOIN (SELECT y_id, count(*) AS n FROM ft GROUP BY y_id) k ON k.y_id = cls),
+ em AS (SELECT va.*, CASE WHEN coalesce(gc.r, gt.r) = 1 THEN 1.0::DOUBLE ELSE 0 END AS hit1, CASE WHEN coalesce(gc.r, gt.r) <= 3 THEN 1.0::DOUBLE ELSE 0 END AS hit3,
+  -ln((coalesce(gc.n, gt.n) + 1.0::DOUBLE) / (coalesce(tot, a_tot) + {T})) AS nll, (x - coalesce(m_x, a_x)) ** 2 + (y - coalesce(m_y, a_y)) ** 2 AS se
+  FROM va LEFT JOIN gr USING (pitcher, balls, strikes) LEFT JOIN gc ON gc.pitcher = va.pitcher AND gc.balls = va.balls AND gc.strikes = va.strikes AND gc.cls = va.y_id JOIN gt ON gt.cls = va.y_id, ga)"""
 SLICES = ["count_id", "pitch_bucket", "inning_bucket", "runners_state", "score_bucket", "stand_id", "throws_id"]
 
 
@@ -166,11 +173,11 @@ def slice_metrics(spark, sf):
     return s.select("slice", "value", "n", *[F.round(x, 6).alias(x) for x in ("acc", "top3", "ce", "loc_rmse")]).orderBy(F.desc("n"), "slice", "value")
 
 
-@query("outcome_metrics", f"""{LABELLED}, gc AS (SELECT outcome_id, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, outcome_id) AS r FROM lb GROUP BY outcome_id)
- SELECT count(*) AS n, round(avg(CASE WHEN r = 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS acc, round(avg(CASE WHEN r <= 3 THEN 1.0::DOUBLE ELSE 0 END), 6) AS top3, round(avg(-ln((gc.n + 1.0::DOUBLE) / ((SELECT count(*) FROM lb) + 13))), 6) AS ce FROM lb JOIN gc USING (outcome_id)""")
+@query("outcome_metrics", f"""{LABELLED}, cl AS (SELECT unnest(generate_series(0, 12)) AS cls), gc AS (SELECT cls, coalesce(n, 0) AS n, row_number() OVER (ORDER BY coalesce(n, 0) DESC, cls) AS r FROM cl LEFT JOIN (SELECT outcome_id, count(*) AS n FROM lb WHERE split = 'train' GROUP BY outcome_id) ON outcome_id = cls)
+ SELECT count(*) AS n, round(avg(CASE WHEN r = 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS acc, round(avg(CASE WHEN r <= 3 THEN 1.0::DOUBLE ELSE 0 END), 6) AS top3, round(avg(-ln((gc.n + 1.0::DOUBLE) / ((SELECT count(*) FROM lb WHERE split = 'train') + 13))), 6) AS ce FROM lb JOIN gc ON cls = outcome_id WHERE split = 'valid'""")
 def outcome_metrics(spark, sf):
-    p = labelled(pitch_log(spark, sf)).select("x", "y_loc", F.col("outcome_id").alias("y"))
-    return baselines.evaluate(p, p, [], 13).select("n", "acc", "top3", "ce")
+    p = labelled(pitch_log(spark, sf)).select("x", "y_loc", F.col("outcome_id").alias("y"), "split")
+    return baselines.evaluate(p.where("split = 'train'"), p.where("split = 'valid'"), [], 13).select("n", "acc", "top3", "ce")
 
 
 @query("masked_state_accuracy", f"""{LG}, nx AS (SELECT *, CAST(lead(pa) OVER w IS NOT NULL AS INT) AS has, coalesce(lead(balls) OVER w, 0) AS nb, coalesce(lead(strikes) OVER w, 0) AS ns FROM lg WINDOW w AS (PARTITION BY game ORDER BY pa, seq))

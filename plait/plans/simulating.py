@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plait.functions import columns as X
 from plait.functions import rules
 from plait.operators import heads, learned, sequences, simulation, splitting
+from plait.plans.profiling import CLUSTERS_SQL, fitted_clusters, with_cluster
 from plait.plans.registry import query
 from plait.plans.relational import LG, NEXT, TRAIN, bucketed
 from plait.plans.scoring import EMPIRICAL, TOKENS, VS, T, _case, _ids, empirical, scored
@@ -230,8 +231,11 @@ def trace_json(spark, sf):
 _NAMES = ("OOV", *TOKENS)
 
 
-@query("trace_predictions", EMPIRICAL + f""", tp AS (SELECT pitcher, balls, strikes, string_agg('"' || [{', '.join(f"'{x}'" for x in _NAMES)}][cls + 1] || '"', ',' ORDER BY r) AS top, max(CASE WHEN r = 1 THEN [{', '.join(f"'{x}'" for x in _NAMES)}][cls + 1] END) AS best FROM gc WHERE r <= 3 GROUP BY pitcher, balls, strikes)
- SELECT game, pa, seq, '{{"pitch_number":' || seq || ',"y":{{"token":"' || token || '","outcome":"' || outcome || '"}},"pred":{{"token":"' || best || '","topk":[' || top || ']}},"metrics":{{"top1":' || CAST(hit1 AS INT) || ',"top3":' || CAST(hit3 AS INT) || '}}}}' AS event FROM em JOIN tp USING (pitcher, balls, strikes)""")
+_TOPS = f"string_agg('\"' || [{', '.join(f"'{x}'" for x in _NAMES)}][cls + 1] || '\"', ',' ORDER BY r) AS top, max(CASE WHEN r = 1 THEN [{', '.join(f"'{x}'" for x in _NAMES)}][cls + 1] END) AS best"
+
+
+@query("trace_predictions", EMPIRICAL + f""", tp AS (SELECT pitcher, balls, strikes, {_TOPS} FROM gc WHERE r <= 3 GROUP BY pitcher, balls, strikes), tg AS (SELECT {_TOPS} FROM gt WHERE r <= 3)
+ SELECT game, pa, seq, '{{"pitch_number":' || seq || ',"y":{{"token":"' || token || '","outcome":"' || outcome || '"}},"pred":{{"token":"' || coalesce(tp.best, tg.best) || '","topk":[' || coalesce(tp.top, tg.top) || ']}},"metrics":{{"top1":' || CAST(hit1 AS INT) || ',"top3":' || CAST(hit3 AS INT) || '}}}}' AS event FROM em LEFT JOIN tp USING (pitcher, balls, strikes), tg""")
 def trace_predictions(spark, sf):
     names = F.array(*[F.lit(x) for x in _NAMES])
     top = F.transform("top3", lambda i: F.get(names, i))
@@ -261,18 +265,21 @@ def kmeans_clusters(spark, sf):
     return learned.clusters(vector_scores(spark, sf), "v", 8)
 
 
-@query("cluster_profile")
+@query("cluster_assign", f"WITH {CLUSTERS_SQL} SELECT vec_id, cluster FROM cluster_of")
+def cluster_assign(spark, sf):
+    return fitted_clusters(spark, sf)
+
+
+@query("cluster_profile", f"{LG}, {CLUSTERS_SQL} SELECT pitcher, coalesce(cluster, 0) AS batter_cluster, count(*) AS n, round(avg(x), 9) AS mean_x FROM lg LEFT JOIN cluster_of ON vec_id = batter % (SELECT count(*) FROM embeddings) GROUP BY 1, 2")
 def cluster_profile(spark, sf):
-    v = vector_scores(spark, sf)
-    c = learned.clusters(v, "v", 8).select(F.col("vec_id").alias("_v"), "cluster")
-    p = pitch_rows(spark, sf)
-    return p.join(c, p["batter"] % v.count() == F.col("_v"), "left").groupBy("pitcher", F.coalesce("cluster", F.lit(0)).alias("batter_cluster")).agg(F.count("*").alias("n"), F.avg("x").alias("mean_x"))
+    p = with_cluster(pitch_rows(spark, sf), fitted_clusters(spark, sf))
+    return p.groupBy("pitcher", "batter_cluster").agg(F.count("*").alias("n"), F.round(F.avg("x"), 9).alias("mean_x"))
 
 
 @query("mlp_predict")
 def mlp_predict(spark, sf):
-    p = bucketed(pitch_log(spark, sf)).withColumn("split", F.when(F.col("day") < "1998-01-01", "train").otherwise("valid"))
-    return learned.mlp(p.where("split = 'train'"), p.where("split = 'valid'"), ["balls", "strikes", "outs", "inning", "score_diff", "runners_state", "stand_id"], "token")
+    p = bucketed(pitch_log(spark, sf))
+    return learned.mlp(splitting.training(p, 0.1), splitting.validation(p, 0.1), ["balls", "strikes", "outs", "inning", "score_diff", "runners_state", "stand_id"], "token")
 
 
 def _noise_sql(seed, n):
