@@ -49,6 +49,12 @@ def pitch_number_bucket(x) -> Column:
     return F.when(c(x) <= 1, 0).when(c(x) == 2, 1).when(c(x) == 3, 2).otherwise(3)
 
 
+def truncated(x) -> Column:
+    """A number as a long, cut towards zero; null and not-a-number as 0, beyond the range its end."""
+    d = c(x).cast("double")
+    return F.when(d.isNull() | F.isnan(d), 0).when(d >= 2.0**63, 2**63 - 1).when(d <= -(2.0**63), -(2**63)).otherwise(F.when(d < 0, F.ceil(d)).otherwise(F.floor(d))).cast("bigint")
+
+
 def runners(b1, b2, b3) -> Column:
     """A bit for each base."""
     bit = lambda x: F.when(c(x) > 0, 1).otherwise(0)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plait.sources.scratch import written
+
 OOV = "<OOV>"
 #: A dictionary up to this many rows is broadcast; larger ones are joined by a shuffle.
 MAX_BROADCAST = 1_000_000
@@ -30,14 +32,14 @@ def vocabulary(counts: DataFrame, min_count: int = 1, prefix: int = 2) -> DataFr
 
 
 def small(vocab: DataFrame) -> DataFrame:
-    """The dictionary, kept, and hinted for broadcast only if its counted size allows."""
-    vocab = vocab.persist()
+    """The dictionary, written once, and hinted for broadcast only if its counted size allows."""
+    vocab = written(vocab, "vocabulary")
     return F.broadcast(vocab) if vocab.count() <= MAX_BROADCAST else vocab
 
 
 def encode(rows: DataFrame, vocab: DataFrame, fields: list[str]) -> DataFrame:
-    """Adds ``<field>_id``; unknown and null tokens get 0.  The vocabulary is made once, kept, and counted once for all fields."""
-    vocab = vocab.persist()
+    """Adds ``<field>_id``; unknown and null tokens get 0.  The vocabulary is written once, and counted once for all fields."""
+    vocab = written(vocab, "vocabulary")
     sizes = {r["field"]: r["count"] for r in vocab.groupBy("field").count().collect()}
     for f in fields:
         side = vocab.where(F.col("field") == f).select(F.col("token").alias("_t"), F.col("id").alias("_i"))

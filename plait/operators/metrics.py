@@ -26,6 +26,18 @@ def calibration(rows: DataFrame, bins: int = 15, confidence: str = "conf", hit:
     return every.join(got, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"), "acc", "conf")
 
 
+def calibration_edges(rows: DataFrame, bins: int = 15, confidence: str = "conf", hit: str = "hit1") -> DataFrame:
+    """(bin, lo, hi, n, acc, conf): right-open bins between the edges i / bins, compared as such, the last one closed; confidences outside 0..1 are in none."""
+    edges = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.struct(i.alias("bin"), (i / F.lit(float(bins))).alias("lo"), ((i + 1) / F.lit(float(bins))).alias("hi")))
+    every = rows.sparkSession.range(1).select(F.inline(edges))
+    x = F.col(confidence)
+    guess = F.greatest(F.least(F.floor(x * bins), F.lit(bins - 1)), F.lit(0))
+    # the product may round over an edge; the edges themselves decide
+    at = F.when(x < guess / F.lit(float(bins)), guess - 1).when((x >= (guess + 1) / F.lit(float(bins))) & (guess < bins - 1), guess + 1).otherwise(guess).cast("int")
+    got = rows.where(x.between(0, 1)).groupBy(at.alias("_b")).agg(F.count("*").alias("n"), F.avg(hit).alias("acc"), F.avg(confidence).alias("conf"))
+    return every.join(got, F.col("bin") == F.col("_b"), "left").select("bin", "lo", "hi", F.coalesce("n", F.lit(0)).alias("n"), "acc", "conf")
+
+
 def calibration_error(bins: DataFrame) -> DataFrame:
     gap = F.abs(F.col("acc") - F.col("conf")) * F.col("n")
     return bins.agg((F.sum(gap) / F.sum("n")).alias("ece"))

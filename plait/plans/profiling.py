@@ -40,15 +40,16 @@ CLUSTERS_SQL = f"""v AS (SELECT vec_id, [CAST(e AS DOUBLE) FOR e IN embedding] A
  cluster_of AS (SELECT v.vec_id, cluster FROM v, ce{ROUNDS} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(list_distance(v.v, ce{ROUNDS}.c) ** 2, 9), cluster) = 1)"""
 
 
-def profile_rows(spark, sf):
-    """The held-out events with their bucketed context, the last type and outcome, a fitted batter cluster, and as prediction the entity's smoothed shares and mean place of the training events."""
+def profile_rows(spark, sf, clustered=False):
+    """The held-out events with their bucketed context, the last type and outcome, a fitted batter cluster if ``clustered``, and as prediction the entity's smoothed shares and mean place of the training events."""
     p = bucketed(pitch_log(spark, sf))
     p = p.withColumn("token_id", _ids("token", TOKENS)).withColumn("outcome_id", _ids("outcome", OUTCOMES[:-1]))
     p = sequences.history(p, ["token_id", "outcome_id"], 4)
     p = p.withColumn("prev_type", sequences.last_nonzero([f"hist_token_id_{i}" for i in range(4)])).withColumn("prev_outcome", sequences.last_nonzero([f"hist_outcome_id_{i}" for i in range(4)]))
     p = p.withColumn("y_loc", F.col("y")).withColumn("y", F.col("token_id"))
     cut = F.lit(splitting.boundary(p, 0.1).first()["valid_from"])
-    j = baselines.predicted(p.where(F.col("day") < cut), with_cluster(p.where(F.col("day") >= cut), fitted_clusters(spark, sf)), ["pitcher"], T)
+    valid = p.where(F.col("day") >= cut)
+    j = baselines.predicted(p.where(F.col("day") < cut), with_cluster(valid, fitted_clusters(spark, sf)) if clustered else valid, ["pitcher"], T)
     return j.withColumn("probs", F.transform("c", lambda x: (x + 1.0) / F.col("denominator"))).withColumn("pred_x", F.col("m_x")).withColumn("pred_y", F.col("m_y"))
 
 
@@ -78,7 +79,7 @@ for _by, _keys in profiles.GRAINS.items():
 
     @query(f"profile_{_by}", f"{PROFILED}, pq AS ({_grouped(_keys, _min_n(_by))}) SELECT {', '.join(_keys)}, n, {_ROUND}, round(pred_plate_x, 9) AS pred_plate_x, round(pred_plate_y, 9) AS pred_plate_y, round(emp_plate_x, 9) AS emp_plate_x, round(emp_plate_y, 9) AS emp_plate_y, round(0 {_CE}, 9) AS type_ce_group FROM pq")
     def profile(spark, sf, by=_by, keys=tuple(_keys)):
-        out = profiles.profile(profile_rows(spark, sf), by, list(TOKENS), _min_n(by))
+        out = profiles.profile(profile_rows(spark, sf, "batter_cluster" in keys), by, list(TOKENS), _min_n(by))
         return out.select(*keys, "n", *[F.round(c, 9).alias(c) for c in out.columns if c not in (*keys, "n")]).orderBy(*keys)
 
 

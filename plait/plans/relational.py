@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plait.functions import columns as X
 from plait.operators import encoding, prepare, sequences, splitting
 from plait.plans.registry import query
+from plait.sources import feed
 from plait.sources.chunks import date_chunks
-from plait.sources.tables import PITCH_SQL, USER_SQL, pitch_log, pitch_rows, table, user_log
+from plait.sources.tables import PITCH_SQL, USER_SQL, optional, pitch_log, pitch_rows, table, user_log
 
 LG, EV = f"WITH {PITCH_SQL} ", f"WITH {USER_SQL} "
 KEY = ["game", "pa", "seq"]
@@ -210,6 +212,24 @@ def in_vocab_semi(spark, sf):
     return p.join(v.withColumnRenamed("token", "_t"), p["batter"].cast("string") == F.col("_t"), "left_semi").select(*LINE, "batter")
 
 
+@query("optional_columns", "SELECT event_id, CAST(user_id AS VARCHAR) AS user_id, CAST(NULL AS DOUBLE) AS spin, event_type FROM events")
+def optional_columns(spark, sf):
+    return optional(table(spark, sf, "events"), {"event_id": "bigint", "user_id": "string", "spin": "double", "event_type": "string"})
+
+
+@query("truncated_features", "SELECT event_id, CASE WHEN value IS NULL OR isnan(value) THEN 0 ELSE CAST(trunc(value) AS BIGINT) END AS value_int, CASE WHEN value IS NULL OR isnan(value) THEN 0 ELSE CAST(trunc(-2.5 * value) AS BIGINT) END AS scaled_int FROM events")
+def truncated_features(spark, sf):
+    return table(spark, sf, "events").select("event_id", X.truncated("value").alias("value_int"), X.truncated(F.col("value") * -2.5).alias("scaled_int"))
+
+
+@query("batch_feed")
+def batch_feed(spark, sf):
+    """One shuffled epoch of lineitem in batches of 1024: rows of each batch, and what its function sums up."""
+    rows = feed.placed(spark, f"{sf}/lineitem.parquet", ["l_orderkey", "l_quantity"], 1024, seed=7, block=4096)
+    total = lambda t: pa.table({"batch": t.column("batch").slice(0, 1), "n": [t.num_rows], "first_key": t.column("l_orderkey").slice(0, 1), "quantity": [float(sum(t.column("l_quantity").to_pylist()))]})
+    return feed.map_batches(rows, total, "batch long, n long, first_key long, quantity double")
+
+
 STATS = ["balls", "strikes", "outs", "inning", "score_diff"]
 
 

@@ -117,6 +117,12 @@ def calibration_bins(spark, sf):
     return metrics.calibration(scored(spark, sf)).select("bin", "n", F.round("acc", 6).alias("acc"), F.round("conf", 6).alias("conf"))
 
 
+@query("calibration_edges", VS + """, ed AS (SELECT i AS bin, i / 15.0::DOUBLE AS lo, (i + 1) / 15.0::DOUBLE AS hi FROM (SELECT unnest(generate_series(0, 14)) AS i)), best AS (SELECT p, CASE WHEN c = label THEN 1.0::DOUBLE ELSE 0 END AS hit FROM rk WHERE r = 1)
+ SELECT CAST(bin AS INT) AS bin, round(lo, 9) AS lo, round(hi, 9) AS hi, count(p) AS n, round(avg(hit), 6) AS acc, round(avg(p), 6) AS conf FROM ed LEFT JOIN best ON p >= lo AND (p < hi OR bin = 14 AND p <= hi) GROUP BY bin, lo, hi""")
+def calibration_edges(spark, sf):
+    return metrics.calibration_edges(scored(spark, sf)).select("bin", F.round("lo", 9).alias("lo"), F.round("hi", 9).alias("hi"), "n", F.round("acc", 6).alias("acc"), F.round("conf", 6).alias("conf"))
+
+
 @query("ece", f"{VS}, {CAL} SELECT round(sum(abs(acc - conf) * n) / CAST(sum(n) AS DOUBLE), 6) AS ece FROM cb")
 def ece(spark, sf):
     return metrics.calibration_error(metrics.calibration(scored(spark, sf))).select(F.round("ece", 6).alias("ece"))

@@ -78,10 +78,9 @@ def read_trace(spark: SparkSession, path: str, schema: StructType, game: int | N
     """The events of one game.  A line that is no JSON object is an error, and so is a trace of several games when none is chosen."""
     bad = "_corrupt"
     rows = spark.read.schema(StructType(list(schema)).add(bad, "string")).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad).json(path)
-    rows = rows.persist()
-    broken = rows.where(F.col(bad).isNotNull()).select(bad).first()
+    broken = rows.where(F.col(bad).isNotNull()).select(schema[0].name, bad).first()  # the reader refuses the last column alone
     if broken:
-        raise ValueError(f"not an event: {broken[0][:200]}")
+        raise ValueError(f"not an event: {broken[bad][:200]}")
     rows = rows.drop(bad)
     if game is not None:
         return rows.where(F.col("game") == game)

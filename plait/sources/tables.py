@@ -14,6 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def optional(rows: DataFrame, wanted: dict[str, str]) -> DataFrame:
+    """The columns of ``wanted`` (name to type), in its order: cast where ``rows`` has them, null where not."""
+    return rows.select(*[(F.col(f"`{n}`") if n in rows.columns else F.lit(None)).cast(t).alias(n) for n, t in wanted.items()])
+
+
 #: Outcome tokens in the order of the adapter's code; code 12 is a token no rule knows.
 OUTCOMES = ("ball", "blocked_ball", "pitchout", "hit_by_pitch", "hit_into_play", "called_strike", "swinging_strike", "swinging_strike_blocked", "foul_tip", "missed_bunt", "foul", "foul_bunt", "other")
 
