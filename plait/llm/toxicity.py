@@ -2,12 +2,11 @@
 
 Two zstandard dictionaries are trained, one on ordinary and one on toxic text.  A text is cut into windows of WINDOW words;
 a window's figure is how many bytes fewer it takes with the toxic dictionary than with the ordinary one (the toxic
-compressor knows both, since toxic documents hold ordinary prose too).  A document's windows give a histogram of these
-figures, and a logistic calibration of it gives the score; the threshold is on that score.
+compressor knows both, since toxic documents hold ordinary prose too), below 0 where it takes more.  Every window is compressed with both.  A
+document's windows give a histogram of these figures, and a logistic calibration of it gives the score; the threshold is on that score.
 
-Before compression each byte of a word is replaced by four bytes that hash the word up to it, for its first OPENING bytes:
-matches then start at word starts only, and weigh more than the cost of a sequence.  A window without a code that only the toxic dictionary holds cannot
-find a longer match there: its figure is 0 and it is not compressed.  Labels are by document, yet most
+Before compression each byte of a word is replaced by four bytes that hash the word up to and with it: matches then start at
+word starts only, and weigh more than the cost of a sequence.  Labels are by document, yet most
 windows of a toxic document are ordinary: after a first toxic dictionary, trained on whole toxic documents, the next ones
 are trained on the words that the last one, from the other half of the documents, sets apart from ordinary words.
 
@@ -32,11 +31,13 @@ import zstandard as zs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plait.llm.darts import mix
+from plait.llm.darts import SpanHasher
 from plait.llm.shared import written
 
-WINDOW, OPENING, WIDTH, CHUNK = 4, 8, 4, 1 << 14
-LEVELS = 20
+WINDOW, WIDTH, CHUNK = 4, 4, 1 << 14
+#: A histogram's bounds: figures of at least 1 to UP, and of at most -1 to -DOWN; what lies beyond counts in the last.
+UP, DOWN = 20, 4
+_SPANS = SpanHasher()
 SCORES = "doc_id long, score double, predicted int"
 
 
@@ -44,27 +45,19 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "surrogatepass").split()
 
 
-def codes(ws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(words, OPENING) hashes of the words' openings, and which of them a word is long enough for."""
-    a = np.array(ws, f"S{OPENING}").view("u1").reshape(len(ws), OPENING)
-    h, out = np.zeros(len(ws), "u8"), np.empty((len(ws), OPENING), "<u4")
-    for i in range(OPENING):
-        h = mix(h + a[:, i] + np.uint64(1))
-        out[:, i] = h >> np.uint64(32)
-    return out, a > 0
-
-
 def coded(ws: list[bytes]) -> tuple[bytes, list[int]]:
-    """The words' codes, WIDTH bytes for each byte, and where each word ends."""
-    code, has = codes(ws)
-    return code[has].tobytes(), [0, *(WIDTH * np.cumsum(has.sum(axis=1))).tolist()]
+    """The words' codes, WIDTH bytes for each byte of a word, and where each word ends."""
+    data, sizes = np.frombuffer(b"".join(ws), "u1"), np.array([len(w) for w in ws], "i8")
+    ends = np.cumsum(sizes)
+    h = _SPANS(data, np.repeat(ends - sizes, sizes), np.arange(1, len(data) + 1))
+    return (h >> np.uint64(32)).astype("<u4").tobytes(), [0, *(WIDTH * ends).tolist()]
 
 
 def _compressor(content: bytes) -> zs.ZstdCompressor:
     p = zs.ZstdCompressionParameters.from_level(
         3, format=zs.FORMAT_ZSTD1_MAGICLESS if hasattr(zs, "FORMAT_ZSTD1_MAGICLESS") else zs.FORMAT_ZSTD1,
         write_content_size=False, write_checksum=False, write_dict_id=False,
-        min_match=6, strategy=zs.STRATEGY_BTULTRA, window_log=18, search_log=8, hash_log=16, chain_log=17, target_length=64,
+        min_match=6, strategy=zs.STRATEGY_BTLAZY2, window_log=18, search_log=8, hash_log=16, chain_log=17, target_length=64,
     )
     d = zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT)
     d.precompute_compress(compression_params=p)
@@ -77,17 +70,11 @@ class Dictionaries:
     toxic: bytes
 
 
-def _all_codes(content: bytes) -> np.ndarray:
-    """Every WIDTH successive bytes."""
-    return np.unique(np.concatenate([np.frombuffer(content[i : len(content) - (len(content) - i) % WIDTH], "<u4") for i in range(min(WIDTH, len(content)))] or [np.zeros(0, "<u4")]))
-
-
 class Distance:
     """Figures of windows under two dictionaries; remembers at most ``limit`` windows."""
 
     def __init__(self, d: Dictionaries, limit: int = 50_000):
         self.c0, self.c1, self.known, self.limit = _compressor(d.ordinary).compress, _compressor(d.toxic + d.ordinary).compress, {}, limit
-        self.own = np.setdiff1d(_all_codes(d.toxic), _all_codes(d.ordinary), assume_unique=True)
 
     def figure(self, window: bytes) -> int:
         r = self.known.get(window)
@@ -98,22 +85,21 @@ class Distance:
         return r
 
     def figures(self, ws: list[bytes]) -> np.ndarray:
-        """Figures, from 0 to LEVELS, of all windows."""
-        out = np.zeros(-(-len(ws) // WINDOW), "i8")
+        """Figures of all windows."""
+        out = []
         for at in range(0, len(ws), CHUNK):
-            code, has = codes(ws[at : at + CHUNK])
-            telling = np.flatnonzero((has & np.isin(code, self.own)).any(axis=1))
-            for i in np.unique(telling // WINDOW).tolist():
-                part = slice(i * WINDOW, (i + 1) * WINDOW)
-                out[at // WINDOW + i] = min(LEVELS, max(0, self.figure(code[part][has[part]].tobytes())))
-        return out
+            code, ends = coded(ws[at : at + CHUNK])
+            cuts = [*ends[::WINDOW], *ends[-1:]] if (len(ends) - 1) % WINDOW else ends[::WINDOW]
+            out += [self.figure(code[a:b]) for a, b in zip(cuts, cuts[1:])]
+        return np.array(out, "i8")
 
 
 def histogram(ws: list[bytes], distance: Distance) -> np.ndarray:
-    """How many windows reach each figure from 1 to LEVELS, as logarithms and as shares, and a constant."""
+    """How many windows reach each bound of the histogram, as logarithms and as shares, and a constant."""
     v = distance.figures(ws)
-    up = np.cumsum(np.bincount(v, minlength=LEVELS + 1)[::-1])[::-1][1:]
-    return np.concatenate([np.log1p(up), 10 * np.sqrt(up / max(1, len(v))), [1.0]])
+    reach = lambda x, most: np.cumsum(np.bincount(np.clip(x, 0, most), minlength=most + 1)[::-1])[::-1][1:]
+    n = np.concatenate([reach(v, UP), reach(-v, DOWN)])
+    return np.concatenate([np.log1p(n), 10 * np.sqrt(n / max(1, len(v))), [1.0]])
 
 
 @dataclass(frozen=True)
@@ -155,7 +141,7 @@ def train_dictionaries(docs: list[bytes], toxic: list[int], rounds: int = 2, sha
     bad = [(half(d.split(), 1), code, np.array(ends, "i4")) for d, y in zip(docs, toxic) if y and d for code, ends in [coded(d.split())]]
     each = max(WINDOW, most_ordinary // max(1, len(ordinary)))
     known = _trained([coded(spread(d.split(), each))[0] for d in ordinary], sizes[0])
-    plain = sorted({b[i:j] for d in ordinary[:800] for b, ends in [coded(spread(d.split(), 200))] for i, j in zip(ends, ends[1:])})
+    plain = sorted({b[i:j] for d in ordinary for b, ends in [coded(spread(d.split(), 200))] for i, j in zip(ends, ends[1:])})
     samples = {h: [b for g, b, _ in bad if g == h] for h in (0, 1)}
     for _ in range(rounds):
         chosen = {}

@@ -141,32 +141,39 @@ def test_toxicity_learns_words(spark, none):
     assert toxicity.train(none, labels).dictionaries is None
 
 
+def plain_code(word):
+    """Four bytes for each byte of a word: the upper half of the hash of the word up to it."""
+    out = b""
+    for n in range(1, len(word) + 1):
+        h = sum((b + 1) * pow(darts._BASE, i, 1 << 64) for i, b in enumerate(word[:n])) % (1 << 64)
+        out += int(darts.mix(np.array([h], "u8"))[0] >> np.uint64(32)).to_bytes(4, "little")
+    return out
+
+
 def test_toxicity_score_is_that_of_plain_compression():
     d = toxicity.Dictionaries(b"".join(toxicity.coded(prose(400, 1).encode().split())[0] for _ in range(2)), toxicity.coded([b"wretchling", b"mudbrained"])[0])
     c0, c1 = (toxicity._compressor(x).compress for x in (d.ordinary, d.toxic + d.ordinary))
-    own = {toxicity.coded([x])[0][-4:] for w in (b"wretchling", b"mudbrained") for x in [w[:k] for k in range(1, 9)]}
-    own = {c for c in own if c not in d.ordinary}
-    ws, counts = toxicity.words(prose(90, 2) + " Wretchlings mudbrained"), [0] * (toxicity.LEVELS + 1)
-    for i in range(0, len(ws), toxicity.WINDOW):
-        w = b"".join(toxicity.coded([x])[0] for x in ws[i : i + toxicity.WINDOW])
-        figure = len(c0(w)) - len(c1(w))
-        telling = any(w[j : j + 4] in own for j in range(0, len(w), 4))
-        assert telling or figure <= 1
-        counts[min(toxicity.LEVELS, max(0, figure)) if telling else 0] += 1
-    up = [sum(counts[k:]) for k in range(1, toxicity.LEVELS + 1)]
-    assert up[5] > 0 and np.allclose(toxicity.histogram(ws, toxicity.Distance(d)), [*np.log1p(up), *(10 * np.sqrt(np.array(up) / 23)), 1])
+    ws = toxicity.words(prose(90, 2) + " Wretchlings mudbrained averyveryverylongwordthatnodictionaryholds")
+    windows = [b"".join(map(plain_code, ws[i : i + toxicity.WINDOW])) for i in range(0, len(ws), toxicity.WINDOW)]
+    figures = [len(c0(w)) - len(c1(w)) for w in windows]
+    assert toxicity.Distance(d).figures(ws).tolist() == figures and max(figures) > 5
+    up = [sum(f >= k for f in figures) for k in range(1, toxicity.UP + 1)] + [sum(f <= -k for f in figures) for k in range(1, toxicity.DOWN + 1)]
+    assert np.allclose(toxicity.histogram(ws, toxicity.Distance(d)), [*np.log1p(up), *(10 * np.sqrt(np.array(up) / len(windows))), 1])
+    assert toxicity.histogram([], toxicity.Distance(d)).tolist() == [0.0] * (2 * len(up)) + [1.0]
 
 
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.text("abcé1 ", min_size=1), max_size=12))
 def test_codes_agree_as_far_as_words_begin_alike(texts):
     ws = toxicity.words(" ".join(texts))
-    b, ends = toxicity.coded(ws) if ws else (b"", [0])
+    b, ends = toxicity.coded(ws)
     parts = [b[i:j] for i, j in zip(ends, ends[1:])]
+    assert len(parts) == len(ws)
     for x, p in zip(ws, parts):
+        assert p == plain_code(x)
         for y, q in zip(ws, parts):
-            alike = next((k for k in range(min(len(x), len(y), 8)) if x[k] != y[k]), min(len(x), len(y), 8))
-            assert len(p) == 4 * min(len(x), 8) and p[: 4 * alike] == q[: 4 * alike] and p[4 * alike :][:4] != q[4 * alike :][:4] or p[4 * alike :] == b"" == q[4 * alike :]
+            alike = next((k for k in range(min(len(x), len(y))) if x[k] != y[k]), min(len(x), len(y)))
+            assert p[: 4 * alike] == q[: 4 * alike] and (p[4 * alike :][:4] != q[4 * alike :][:4] or p[4 * alike :] == b"" == q[4 * alike :])
 
 
 def test_spread_takes_windows_of_the_whole_text():
