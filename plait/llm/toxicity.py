@@ -57,7 +57,7 @@ def _compressor(content: bytes) -> zs.ZstdCompressor:
     p = zs.ZstdCompressionParameters.from_level(
         3, format=zs.FORMAT_ZSTD1_MAGICLESS if hasattr(zs, "FORMAT_ZSTD1_MAGICLESS") else zs.FORMAT_ZSTD1,
         write_content_size=False, write_checksum=False, write_dict_id=False,
-        min_match=6, strategy=zs.STRATEGY_BTLAZY2, window_log=18, search_log=8, hash_log=16, chain_log=17, target_length=64,
+        min_match=6, strategy=zs.STRATEGY_BTLAZY2, window_log=18, search_log=5, hash_log=16, chain_log=17, target_length=64,
     )
     d = zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT)
     d.precompute_compress(compression_params=p)
@@ -71,18 +71,14 @@ class Dictionaries:
 
 
 class Distance:
-    """Figures of windows under two dictionaries; remembers at most ``limit`` windows."""
+    """Figures of windows under two dictionaries."""
 
-    def __init__(self, d: Dictionaries, limit: int = 50_000):
-        self.c0, self.c1, self.known, self.limit = _compressor(d.ordinary).compress, _compressor(d.toxic + d.ordinary).compress, {}, limit
+    def __init__(self, d: Dictionaries):
+        self.c0, self.c1 = _compressor(d.ordinary).compress, _compressor(d.toxic + d.ordinary).compress
 
-    def figure(self, window: bytes) -> int:
-        r = self.known.get(window)
-        if r is None:
-            if len(self.known) > self.limit:
-                self.known.clear()
-            r = self.known[window] = len(self.c0(window)) - len(self.c1(window))
-        return r
+    def of(self, windows: list[bytes]) -> list[int]:
+        c0, c1 = self.c0, self.c1
+        return [len(c0(w)) - len(c1(w)) for w in windows]
 
     def figures(self, ws: list[bytes]) -> np.ndarray:
         """Figures of all windows."""
@@ -90,7 +86,7 @@ class Distance:
         for at in range(0, len(ws), CHUNK):
             code, ends = coded(ws[at : at + CHUNK])
             cuts = [*ends[::WINDOW], *ends[-1:]] if (len(ends) - 1) % WINDOW else ends[::WINDOW]
-            out += [self.figure(code[a:b]) for a, b in zip(cuts, cuts[1:])]
+            out += self.of([code[a:b] for a, b in zip(cuts, cuts[1:])])
         return np.array(out, "i8")
 
 
@@ -146,9 +142,10 @@ def train_dictionaries(docs: list[bytes], toxic: list[int], rounds: int = 2, sha
     for _ in range(rounds):
         chosen = {}
         for h in (0, 1):
-            figure = Distance(Dictionaries(known, _trained(samples[1 - h], sizes[1]))).figure
-            cut = max(1, np.quantile([figure(x) for x in plain], 1 - share)) if plain else 1
-            chosen[h] = [b[i:j] for g, b, ends in bad if g == h for i, j in zip(ends, ends[1:]) if figure(b[i:j]) > cut]
+            figures = Distance(Dictionaries(known, _trained(samples[1 - h], sizes[1]))).of
+            cut = max(1, np.quantile(figures(plain), 1 - share)) if plain else 1
+            own = [b[i:j] for g, b, ends in bad if g == h for i, j in zip(ends, ends[1:])]
+            chosen[h] = [w for w, f in zip(own, figures(own)) if f > cut]
         samples = chosen
     return Dictionaries(known, _trained(samples[0] + samples[1], sizes[1]))
 
