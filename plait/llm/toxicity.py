@@ -22,8 +22,10 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import lru_cache
+from operator import sub
 
 import numpy as np
 import pyarrow as pa
@@ -74,29 +76,42 @@ class Distance:
     """Figures of windows under two dictionaries; remembers at most ``limit`` windows."""
 
     def __init__(self, d: Dictionaries, limit: int = 50_000):
-        self.c0, self.c1, self.known, self.limit = _compressor(d.ordinary).compress, _compressor(d.toxic + d.ordinary).compress, {}, limit
+        self.compressors, self.known, self.limit = (_compressor(d.ordinary), _compressor(d.toxic + d.ordinary)), {}, limit
 
-    def figure(self, window: bytes) -> int:
-        r = self.known.get(window)
-        if r is None:
-            if len(self.known) > self.limit:
-                self.known.clear()
-            r = self.known[window] = len(self.c0(window)) - len(self.c1(window))
-        return r
-
-    def figures(self, ws: list[bytes]) -> np.ndarray:
-        """Figures of all windows."""
+    def of(self, windows: list[bytes]) -> list[int]:
+        """The windows' figures.  New ones are compressed by one call a dictionary, which costs less than a call a window."""
         out = []
-        for at in range(0, len(ws), CHUNK):
-            code, ends = coded(ws[at : at + CHUNK])
-            cuts = [*ends[::WINDOW], *ends[-1:]] if (len(ends) - 1) % WINDOW else ends[::WINDOW]
-            out += [self.figure(code[a:b]) for a, b in zip(cuts, cuts[1:])]
-        return np.array(out, "i8")
-
-
-def histogram(ws: list[bytes], distance: Distance) -> np.ndarray:
-    """How many windows reach each bound of the histogram, as logarithms and as shares, and a constant."""
-    v = distance.figures(ws)
+        for at in range(0, len(windows), CHUNK):
+            some = windows[at : at + CHUNK]
+            new = [w for w in dict.fromkeys(some) if w not in self.known]
+            if len(self.known) + len(new) > self.limit:
+                self.known.clear()
+                new = list(dict.fromkeys(some))
+            if new:
+                plain, toxic = ([len(x) for x in c.multi_compress_to_buffer(new)] for c in self.compressors)
+                self.known.update(zip(new, map(sub, plain, toxic)))
+            out += map(self.known.__getitem__, some)
+        return out
+
+    def figures(self, texts: Iterable[list[bytes]]) -> list[np.ndarray]:
+        """Figures of all windows of each text, a list of words; windows of many texts are compressed together."""
+        counts, windows, out = [0], [], []
+        for ws in texts:
+            counts.append(0)
+            for at in range(0, len(ws), CHUNK):
+                code, ends = coded(ws[at : at + CHUNK])
+                cuts = [*ends[::WINDOW], *ends[-1:]] if (len(ends) - 1) % WINDOW else ends[::WINDOW]
+                windows += [code[a:b] for a, b in zip(cuts, cuts[1:])]
+                counts[-1] += len(cuts) - 1
+                if len(windows) >= CHUNK:
+                    out += self.of(windows)
+                    windows = []
+        out, ends = np.array(out + self.of(windows), "i8"), np.cumsum(counts)
+        return [out[a:b] for a, b in zip(ends, ends[1:])]
+
+
+def histogram(v: np.ndarray) -> np.ndarray:
+    """How many of a text's figures reach each bound of the histogram, as logarithms and as shares, and a constant."""
     reach = lambda x, most: np.cumsum(np.bincount(np.clip(x, 0, most), minlength=most + 1)[::-1])[::-1][1:]
     n = np.concatenate([reach(v, UP), reach(-v, DOWN)])
     return np.concatenate([np.log1p(n), 10 * np.sqrt(n / max(1, len(v))), [1.0]])
@@ -107,11 +122,11 @@ class Model:
     dictionaries: Dictionaries | None
     weights: tuple[float, ...] = ()
 
-    def score(self, text: str | None, distance: Distance | None) -> float:
+    def scores(self, texts: pa.Array, distance: Distance | None) -> list[float]:
         if self.dictionaries is None:
-            return 0.0
-        z = float(np.dot(self.weights, histogram(words(text), distance)))
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+            return [0.0] * len(texts)
+        z = [float(np.dot(self.weights, histogram(v))) for v in distance.figures(words(t.as_py()) for t in texts)]
+        return [1 / (1 + math.exp(-max(-30.0, min(30.0, x)))) for x in z]
 
 
 def spread(ws: list[bytes], most: int) -> list[bytes]:
@@ -146,9 +161,10 @@ def train_dictionaries(docs: list[bytes], toxic: list[int], rounds: int = 2, sha
     for _ in range(rounds):
         chosen = {}
         for h in (0, 1):
-            figure = Distance(Dictionaries(known, _trained(samples[1 - h], sizes[1]))).figure
-            cut = max(1, np.quantile([figure(x) for x in plain], 1 - share)) if plain else 1
-            chosen[h] = [b[i:j] for g, b, ends in bad if g == h for i, j in zip(ends, ends[1:]) if figure(b[i:j]) > cut]
+            figures = Distance(Dictionaries(known, _trained(samples[1 - h], sizes[1]))).of
+            cut = max(1, np.quantile(figures(plain), 1 - share)) if plain else 1
+            found = [b[i:j] for g, b, ends in bad if g == h for i, j in zip(ends, ends[1:])]
+            chosen[h] = [x for x, v in zip(found, figures(found)) if v > cut]
         samples = chosen
     return Dictionaries(known, _trained(samples[0] + samples[1], sizes[1]))
 
@@ -204,7 +220,7 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 3000, max_ordinar
     def histograms(batches):
         pairs = {p: Distance(d) for p, d in by_part.items()}
         for b in batches:
-            h = [histogram(x, pairs.get(1 - half(x, 0), pairs[2])).tolist() for x in (words(t.as_py()) for t in b.column(2))]
+            h = [histogram(pairs.get(1 - half(x, 0), pairs[2]).figures([x])[0]).tolist() for x in (words(t.as_py()) for t in b.column(2))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(h, pa.list_(pa.float64()))], names=["doc_id", "toxic", "histogram"])
 
     found = sorted(rows.mapInArrow(histograms, "doc_id long, toxic int, histogram array<double>").collect())
@@ -222,7 +238,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     def scored(batches):
         distance = _distance(model.dictionaries) if model.dictionaries else None
         for b in batches:
-            s = [model.score(t.as_py(), distance) for t in b.column(1)]
+            s = model.scores(b.column(1), distance)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array([int(v >= threshold) for v in s], pa.int32())], names=["doc_id", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scored, SCORES)
@@ -235,7 +251,7 @@ def kept(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     def rows(batches):
         distance = _distance(model.dictionaries) if model.dictionaries else None
         for b in batches:
-            yield b.filter(pa.array([model.score(t.as_py(), distance) < threshold for t in b.column(at)], pa.bool_()))
+            yield b.filter(pa.array([v < threshold for v in model.scores(b.column(at), distance)], pa.bool_()))
 
     return docs.mapInArrow(rows, docs.schema)
 

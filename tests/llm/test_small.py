@@ -156,10 +156,10 @@ def test_toxicity_score_is_that_of_plain_compression():
     ws = toxicity.words(prose(90, 2) + " Wretchlings mudbrained averyveryverylongwordthatnodictionaryholds")
     windows = [b"".join(map(plain_code, ws[i : i + toxicity.WINDOW])) for i in range(0, len(ws), toxicity.WINDOW)]
     figures = [len(c0(w)) - len(c1(w)) for w in windows]
-    assert toxicity.Distance(d).figures(ws).tolist() == figures and max(figures) > 5
+    assert toxicity.Distance(d).figures([ws, [], ws[:3]])[0].tolist() == figures and max(figures) > 5
     up = [sum(f >= k for f in figures) for k in range(1, toxicity.UP + 1)] + [sum(f <= -k for f in figures) for k in range(1, toxicity.DOWN + 1)]
-    assert np.allclose(toxicity.histogram(ws, toxicity.Distance(d)), [*np.log1p(up), *(10 * np.sqrt(np.array(up) / len(windows))), 1])
-    assert toxicity.histogram([], toxicity.Distance(d)).tolist() == [0.0] * (2 * len(up)) + [1.0]
+    assert np.allclose(toxicity.histogram(np.array(figures)), [*np.log1p(up), *(10 * np.sqrt(np.array(up) / len(windows))), 1])
+    assert toxicity.histogram(toxicity.Distance(d).figures([[]])[0]).tolist() == [0.0] * (2 * len(up)) + [1.0]
 
 
 @settings(max_examples=100, deadline=None)
