@@ -27,77 +27,76 @@ RULES = (
     ("block", "com", "/de/"),
 )
 
-#: The labelled table, one host and path a word.  Allowed: well-known public sites.  Blocked: made-up addresses in the
-#: manner of gambling, adult, drug, advert, link and fraud sites, under names of their own.
-#: Neither is drawn from a test table.  Prefixes, endings and paths are alike on both sides, so that words decide.
+#: The labelled table, one host and path a word, written by hand from general knowledge and not from any table at hand.
+#: Allowed: well-known public sites (reference, press, science, government, universities, museums, software, shops, forums, travel),
+#: each with a path of its own kind.  Blocked: made-up addresses as gambling, adult, drug, advert, malware, fraud, loan, fake-goods
+#: and piracy sites name themselves, with paths of their kind; their endings stand in shares like the other half's com, org and net.
 BLOCKED = """
-bestcasinobonus.com/en/1 casinoroyal77.net/join www.onlinecasino-vip.org/welcome megacasino.com/de/112 m.live-casino-games.info/roulette
-blog.pokerstarsdeal.com/bonus poker-jackpots.net/fr/223 texas-poker-win.org/free www.luckyslots.com/spins slotmachine-free.info/es/334
-m.freebets24.com/odds blog.betting-tips-daily.net/football sportsbets-now.org/en/445 bets365-mirror.com/login www.win-big-bets.info/today
-lottery-winner.com/de/556 m.win-iphone-now.net/prize blog.you-won-prize.org/gift free-giftcards.com/fr/667 lucky-winner2024.info/spin
-www.buyviagra-online.com/order cheapviagra.net/es/778 m.cialis-discount.org/buy blog.cheap-meds-rx.com/pharmacy pills-without-rx.info/en/889
-dietpills-fast.com/buy www.online-pharmacy-pills.net/cart buy-xanax-cheap.org/de/1000 m.weightloss-miracle.com/pills blog.canadian-pills.info/sale
-xxxvideos-free.com/fr/1111 hot-xxx-cams.net/live www.freeporn-hd.org/new pornstream.com/es/1222 m.adultdating-tonight.info/signup
-blog.adult-webcams.com/girls adultchat-rooms.net/en/1333 sexcams-live.org/now www.nude-teens-pics.com/gallery escort-adult-ads.info/de/1444
-m.clickads-network.com/serve blog.adserver-fast.net/banner popads-track.org/fr/1555 trackingpixel.com/ads/img www.adtrack-analytics.info/pixel
-banner-ads-exchange.com/es/1666 m.affiliate-track.net/redirect blog.ads-click-pay.org/earn retarget-ads.com/en/1777 usertrack-cookies.info/sync
-www.linkfarm-seo.com/backlinks buy-backlinks.net/de/1888 m.spam-blaster.org/mail blog.bulk-email-spam.com/send seo-linkfarm.info/fr/1999
-contentfarm-spin.com/articles www.spamcomments.net/post mass-mailer-spam.org/es/2110 m.cheap-traffic.com/visitors blog.farm-of-links.info/dir
-replica-watches-sale.com/en/2221 cheap-rolex-replica.net/buy www.fake-handbags.org/gucci cheap-nike-outlet.com/de/2332 m.replica-bags.info/lv
-blog.crackedsoftware.com/download warez-keygen.net/fr/2443 torrent-cracks.org/full www.free-keygen.com/activate nulled-scripts.info/es/2554
-m.paydayloans-fast.com/apply blog.quick-cash-loans.net/now badcredit-loans.org/en/2665 earn-money-fast.com/home www.get-rich-crypto.info/invest
-secure-bank-login.com/de/2776 m.account-verify-paypal.net/signin blog.appleid-unlock.org/login free-robux-generator.com/fr/2887 hack-accounts.info/tool
-casino-nights.com/en/41 grand-casino.net/fr/880 casinoclub.org/de/12 free-casino-games.com/es/5 www.crypto-casino.info/play
-bet-casino.net/en/3077 live-bets.com/en/92 betsonline.net/fr/13 freebets-uk.org/es/771 www.bestbets.info/de/60
-bet-on-sports.com/en/5501 betting-odds.net/fr/3 cheap-pills.org/en/18 sleep-pills.com/de/95 pillshop.net/es/4012
-www.pills4u.info/fr/70 diet-pills.org/en/2 cheap-viagra.net/en/640 adult-movies.com/en/7 adult-toys-cheap.net/fr/31
-adultfinder.org/es/8 www.xxx-adult.info/de/519 adult-cams.net/en/1200 hot-adult.com/fr/44 ads-manager-pro.com/en/9
-cheap-ads.net/de/27 track-clicks.org/fr/604 www.ads-pixel.info/es/3 trackmyvisitors.com/en/88 ad-track-server.net/de/5
-spam-sender.com/en/30 link-farm.net/fr/77 spamfarm.org/es/6 www.click-farm.info/de/901 spam-bots.net/en/15
-email-spam-tool.com/fr/2 porn-videos.com/en/66 free-porn.net/de/410 www.porn-hub-mirror.info/es/9 poker-room.net/en/21
-online-poker.org/fr/5 slots-casino.com/de/33 win-cash-now.com/en/7 win-money.net/fr/902 winprizes.org/es/14
-cheap-replica.com/en/50 replica-shop.net/de/3 fast-loans.org/fr/61
+royalspin-casino.com/bonus/welcome luckyroulette88.org/register vegas-jackpot-online.com/play livecasinodealer.com/blackjack casino-nodeposit-bonus.net/claim
+bet777sport.com/odds/today onlinebetting-tips.org/football-predictions bookmaker-bonus-codes.com/signup goldenslots-spins.org/free-spins megaslotmachine.com/jackpot
+pokerchips-deposit.com/tournament videopoker-realmoney.org/join baccarat-vip.com/lobby keno-lottery-results.com/winners scratchcards-cash.net/instant
+1xsportbet-mirror.com/login bingo-cash-prize.org/rooms dailyfantasy-wager.com/lineups roulette-strategy-win.org/system sportsbook-freebet.com/promo
+hotgirls-webcam.com/live xxxtube-hd.org/videos/new milfdating-local.com/members freeporntube-mobile.com/watch nudecelebs-leaked.net/gallery
+sexchat-anonymous.com/rooms eroticmassage-escorts.org/london-girls adultfriend-hookup.com/join-free camgirls-private.org/show hentai-xxx-stream.com/episode
+escortdirectory-vip.com/city swingers-dating-club.org/profiles fetishvideos-pay.com/trailers livesex-cams24.com/models adultgames-3d.net/play
+buy-viagra-noprescription.com/order cialis-generic-cheap.org/cart onlinepharmacy-rx24.com/pills tramadol-overnight.org/buy cheapmeds-canada-pharmacy.com/shop
+weightloss-pills-miracle.com/before-after steroids-legal-buy.org/anabolic xanax-without-rx.com/order kamagra-jelly-discount.com/product testosterone-booster-trial.net/offer
+ketodiet-pills-shark.com/special hairgrowth-miracle-serum.org/buy-now cbd-gummies-freetrial.com/claim phentermine-online-rx.org/checkout erection-pills-express.com/order
+ads.clickserve-network.com/banner/728x90 adserver.popunder-media.org/delivery/afr track.affiliate-clicks.com/redirect?id pixel.datatracker-ads.com/collect cdn.adbanners-exchange.net/show
+pop.trafficmonetizer.com/serve sync.retargeting-pixel.org/match click.cpa-offers-track.com/aff_c adclick.sponsored-links.org/go beacon.usertracking-stats.com/hit
+native-ads-widget.com/loader.js doubleclicks-ad.org/imp push-notification-ads.com/subscribe offerwall-rewards.com/track banner-rotator-ads.net/rotate
+free-iphone-winner.com/survey you-are-selected-prize.org/claim-reward giftcard-generator-free.com/amazon congratulations-winner.org/spin-wheel getfreevbucks-now.com/verify
+robux-generator-nohuman.com/hack instagram-followers-free.org/boost unlimited-coins-cheats.com/generator survey-rewards-cash.com/start win-samsung-galaxy.net/entry
+secure-paypal-verify.com/account/login appleid-locked-support.org/unlock bankofamerica-alert.com/signin/confirm netflix-billing-update.org/payment amazon-security-check.com/verify
+microsoft-virus-warning.com/call-now wallet-recovery-phrase.org/restore dhl-parcel-fee.com/tracking/pay irs-tax-refund-claim.com/form facebook-login-secure.net/checkpoint
+flashplayer-update-now.com/download pc-cleaner-speedup.org/setup.exe driver-updater-free.com/install codec-pack-required.org/get antivirus-alert-scan.com/scan
+payday-loan-instant.com/apply badcredit-loans-approved.org/form fast-cash-advance.com/apply-now nocreditcheck-personal-loans.com/rates debt-relief-settlement.net/quote
+bitcoin-doubler-invest.com/deposit forex-robot-profit.org/signals crypto-mining-earn.com/plans binary-options-millionaire.org/system earn-money-home-daily.com/join
+passive-income-secret.com/webinar getrich-quick-method.org/video hyip-invest-daily.com/roi make-5000-weekly.com/start pumpdump-crypto-signals.net/telegram
+replica-rolex-watches.com/submariner fake-designer-handbags.org/louis-vuitton cheap-jordans-outlet.com/shoes rayban-sunglasses-discount.org/sale louboutin-replica-shop.com/red-bottom
+cheap-nfl-jerseys-china.com/wholesale oakley-outlet-store.org/80off michaelkors-bags-cheap.com/clearance uggboots-sale-online.com/women fakeid-documents-buy.net/passport
+warez-full-download.com/crack keygen-serials-free.org/photoshop cracked-apk-mods.com/premium torrentmovies-free-hd.org/watch-online nulled-themes-plugins.com/download
+freemovies-stream123.com/watch iptv-cheap-subscription.org/buy activator-windows-kms.com/download mp3-free-ripper.com/songs ebooks-pirate-pdf.net/free
+buy-backlinks-cheap.com/packages seo-blast-links.org/order guestpost-links-market.com/buy pbn-links-service.org/pricing article-spinner-bulk.com/tool
+bulkemail-leads-list.com/buy email-blaster-pro.org/unlimited essay-writing-cheap.com/order buy-diploma-degree.com/university write-my-paper-fast.net/order-now
+mail-order-brides-russia.com/profiles asian-singles-dating.org/join psychic-reading-free.com/chat love-spell-caster.org/return-ex penis-enlargement-tips.com/method
 """
 ALLOWED = """
-en.wikipedia.org/en/1 de.wikipedia.org/wiki/Berlin fr.wikipedia.org/wiki/Paris commons.wikimedia.org/de/160 wiktionary.org/wiki/word
-docs.python.org/3/library/os.html www.postgresql.org/fr/319 spark.apache.org/docs/latest numpy.org/doc/stable pandas.pydata.org/es/478
-bbc.co.uk/news/world-europe theguardian.com/science www.nytimes.com/en/637 lemonde.fr/culture elpais.com/cultura
-www.spiegel.de/de/796 zeit.de/kultur reuters.com/world apnews.com/fr/955 npr.org/sections/music
-nature.com/articles/d41586 www.science.org/es/1114 arxiv.org/abs/1706 jstor.org/stable/2346 plos.org/en/1273
-ncbi.nlm.nih.gov/pmc who.int/health-topics www.cdc.gov/de/1432 nhs.uk/conditions/asthma medlineplus.gov/ency
-www.nasa.gov/fr/1591 noaa.gov/weather usgs.gov/news www.nps.gov/es/1750 loc.gov/collections
-europa.eu/youreurope www.un.org/en/1909 gov.uk/browse/benefits bundestag.de/dokumente www.service-public.fr/de/2068
-stanford.edu/about mit.edu/research www.ox.ac.uk/fr/2227 ethz.ch/en/studies uni-heidelberg.de/de
-www.gutenberg.org/es/2386 archive.org/details/texts openstreetmap.org/way www.britannica.com/en/2545 merriam-webster.com/dictionary/other
-metmuseum.org/art www.louvre.fr/de/2704 tate.org.uk/art/artists rijksmuseum.nl/en www.britishmuseum.org/fr/2863
-theconversation.com/environment smithsonianmag.com/history www.nationalgeographic.com/es/3022 economist.com/leaders newscientist.com/subject/space
-github.com/en/3181 gitlab.com/gnome stackoverflow.com/questions/tagged/sql developer.mozilla.org/de/3340 kernel.org/doc/html
-rust-lang.org/learn go.dev/fr/3499 r-project.org/about.html gnu.org/software/bash www.debian.org/es/3658
-allrecipes.com/recipe/soup seriouseats.com/bread www.bonappetit.com/en/3817 kingarthurbaking.com/recipes rhs.org.uk/plants
-www.goodreads.com/de/3976 poetryfoundation.org/poems classicfm.com/composers www.rollingstone.com/fr/4135 theatlantic.com/ideas
-m.weather.com/forecast blog.wordpress.org/es/4294 blog.mozilla.org/en/internet m.ebay.com/books en.m.wikipedia.org/en/4453
-thetimes.co.uk/travel the-tls.co.uk/articles www.thehindu.com/de/4612 thearchers.org/notes oxfam.org/en/stories
-www.nationaltheatre.org.uk/fr/4771 internationalstudents.org/help motherearthnews.com/gardens www.northernireland.gov.uk/es/4930 weathernetwork.com/en
-lonelyplanet.com/france www.nationalrail.co.uk/en/5089 sbb.ch/en/timetable bahn.de/angebot www.amtrak.com/de/5248
-khanacademy.org/math coursera.org/courses ocw.mit.edu/fr/5407 edx.org/learn duolingo.com/course/fr
-php.net/manual/en sourceforge.net/projects behance.net/gallery jsdelivr.net/package speedtest.net/about
-battle.net/support asp.net/learn daringfireball.net/linked fanfiction.net/book slideshare.net/talks
-researchgate.net/publication phys.net/news earthsky.net/tonight gardenweb.net/roses chess.com/lessons
-mathoverflow.net/questions serverfault.com/tags openlibrary.org/works librivox.org/reader imslp.org/wiki
-musopen.org/music thinkery.net/en/81 theorem.net/fr/270 threadneedle.net/de/3011 thistle.net/es/44
-thornbury.org/en/917 heatherton.com/fr/6120 netherby.net/de/77 easternshore.info/es/903 otherwise.net/en/5
-northerner.info/en/3802 weatherhead.net/es/12 brotherhood.info/fr/655 tithebarn.info/de/19 intentions.net/en/4410
-stationhouse.net/fr/33 rationality.info/en/208 handlebar.net/de/5120 tableland.info/es/71 readable.net/en/640
-sensible.info/fr/8 blog.python.org/en/2024 blog.google/products blog.openstreetmap.org/news blog.wikimedia.org/fr/12
-blog.nationalarchives.gov.uk/en/310 blog.oup.com/history blog.scienceopen.com/es/7 blog.thephoenix.net/en/45 blog.earthwatch.net/de/9
-blog.museum.net/fr/88 blog.theredwood.com/es/2 blog.thinkers.com/en/640 m.bbc.com/en/news m.imdb.com/title
-m.dw.com/de/themen m.youtube.com/watch m.thesaurus.com/es/11 m.theweathernetwork.com/en/90 m.mathworld.net/fr/8
-m.railways.net/de/3 m.leather-crafts.com/en/71 m.thrushes.org/es/420 m.theatres.org/en/5 m.thirteen.org/fr/16
-m.threshold.com/de/77 thousandislands.com/en/12 thatchers.org/fr/9 therapists.net/de/604 heathland.org/es/81
-thermal-baths.com/de/15 earthen.net/en/330 thunderbird.net/en/1 stationers.org/en/28 nationtrust.org/es/60
-motion-pictures.org/fr/4 fictionhouse.com/en/93 relationship-studies.org/de/7 internet-society.org/en/50 adulteducation.org/courses
-assets.gov/en/3 alphabets.org/en/44 racetrack-history.org/fr/10 farmersmarket.org/en/8 organicfarm.net/es/19
-windmills.org/de/6
+en.wikipedia.org/wiki/Photosynthesis de.wikipedia.org/wiki/Berlin fr.wikipedia.org/wiki/Paris es.wiktionary.org/wiki/palabra commons.wikimedia.org/wiki/Category:Maps
+britannica.com/science/gravity-physics plato.stanford.edu/entries/kant merriam-webster.com/dictionary/serendipity dictionary.cambridge.org/grammar gutenberg.org/ebooks/1342
+archive.org/details/texts openlibrary.org/works worldcat.org/search loc.gov/collections/maps bl.uk/manuscripts
+bbc.co.uk/news/science-environment theguardian.com/books/reviews nytimes.com/section/world lemonde.fr/international elpais.com/cultura
+spiegel.de/wissenschaft zeit.de/politik reuters.com/markets apnews.com/hub/us-news npr.org/sections/music
+washingtonpost.com/opinions economist.com/leaders theatlantic.com/ideas newyorker.com/magazine corriere.it/esteri
+aljazeera.com/economy cbc.ca/news/canada abc.net.au/radionational irishtimes.com/sport swissinfo.ch/eng
+nature.com/articles science.org/journal arxiv.org/abs/1706.03762 jstor.org/stable/2346178 journals.plos.org/plosone
+pubmed.ncbi.nlm.nih.gov/about who.int/news-room/fact-sheets cdc.gov/flu/prevention nhs.uk/conditions/asthma medlineplus.gov/diabetes
+mayoclinic.org/diseases-conditions drugs.com/ibuprofen.html healthline.com/nutrition webmd.com/allergies cancer.org/research
+nasa.gov/missions noaa.gov/climate usgs.gov/volcanoes nps.gov/yellowstone esa.int/Science_Exploration
+europa.eu/youreurope un.org/sustainabledevelopment gov.uk/vehicle-tax bundestag.de/dokumente service-public.fr/particuliers
+irs.gov/refunds usa.gov/benefits canada.ca/immigration senat.fr/rapports admin.ch/documentation
+stanford.edu/research mit.edu/education ox.ac.uk/admissions ethz.ch/en/studies uni-heidelberg.de/institute
+berkeley.edu/academics cam.ac.uk/colleges ocw.mit.edu/courses/mathematics coursera.org/learn/algorithms khanacademy.org/math/calculus
+metmuseum.org/art/collection louvre.fr/oeuvres tate.org.uk/art/artists rijksmuseum.nl/collectie britishmuseum.org/exhibitions
+moma.org/calendar museodelprado.es/coleccion si.edu/visit poetryfoundation.org/poems goodreads.com/book/show
+docs.python.org/3/library/os.html postgresql.org/docs/current spark.apache.org/docs/latest numpy.org/doc/stable pandas.pydata.org/docs
+github.com/apache/spark gitlab.com/gnome/gtk stackoverflow.com/questions/tagged/sql developer.mozilla.org/docs/Web kernel.org/doc/html
+doc.rust-lang.org/book go.dev/blog r-project.org/about.html gnu.org/software/bash debian.org/releases
+php.net/manual sourceforge.net/projects eclipse.org/downloads mozilla.org/firefox/new code.visualstudio.com/download
+superuser.com/questions serverfault.com/tags mathoverflow.net/questions news.ycombinator.com/item reddit.com/r/askscience
+youtube.com/watch vimeo.com/channels/staffpicks soundcloud.com/discover imdb.com/title rottentomatoes.com/top
+allrecipes.com/recipe/soup seriouseats.com/bread bonappetit.com/recipes kingarthurbaking.com/learn rhs.org.uk/plants
+amazon.com/gp/help ebay.com/b/cameras etsy.com/market/ceramics ikea.com/catalog zalando.de/schuhe
+lonelyplanet.com/france/paris nationalrail.co.uk/stations sbb.ch/timetable bahn.de/angebot amtrak.com/routes
+booking.com/city tripadvisor.com/museums airbnb.com/help openstreetmap.org/way weather.gov/forecast
+fifa.com/worldcup olympics.com/athletes espn.com/nba/standings chess.com/lessons nba.com/schedule
+paypal.com/help visa.com/security ecb.europa.eu/stats federalreserve.gov/monetarypolicy worldbank.org/data
+oxfam.org/stories redcross.org/volunteer amnesty.org/reports wwf.org/species unicef.org/education
+duolingo.com/course/fr edx.org/learn/history ted.com/talks researchgate.net/publication slideshare.net/category
+speedtest.net/about battle.net/support behance.net/gallery daringfireball.net/linked asp.net/learn
+blog.python.org/releases blog.mozilla.org/community blog.openstreetmap.org/news blog.oup.com/history blog.nationalarchives.gov.uk/records
+m.dw.com/de/themen en.m.wikipedia.org/wiki/Tree history.com/topics smithsonianmag.com/arts-culture nationalgeographic.com/animals
+microsoft.com/windows support.apple.com/iphone ibm.com/topics siemens.com/company bosch.com/careers
 """
 LABELLED = tuple((u, 1) for u in BLOCKED.split()) + tuple((u, 0) for u in ALLOWED.split())
 
@@ -121,9 +120,9 @@ def longest_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
 
 
 def ngrams(host: str, path: str, sizes=(3, 4, 5), buckets: int = 1 << 14) -> np.ndarray:
-    """Distinct hashed character n-grams of ``^host$`` and ``^path$``, told apart."""
+    """Distinct hashed character n-grams of ``^host$``, without a leading ``www.``, and ``^path$``, told apart."""
     out = set()
-    for mark, s in (("h", f"^{host}$"), ("p", f"^{path}$")):
+    for mark, s in (("h", f"^{host.removeprefix('www.')}$"), ("p", f"^{path}$")):
         for n in sizes:
             for i in range(max(1, len(s) - n + 1)):
                 out.add(zlib.crc32((mark + s[i : i + n]).encode("utf-8", "surrogatepass")) % buckets)
@@ -133,15 +132,14 @@ def ngrams(host: str, path: str, sizes=(3, 4, 5), buckets: int = 1 << 14) -> np.
 @lru_cache(maxsize=4)
 def train(labelled=LABELLED, buckets: int = 1 << 14, ridge: float = 0.002, steps: int = 1500) -> tuple[np.ndarray, float]:
     """Weights and bias: gradient descent on the ridge-penalised logistic loss; rows have unit length."""
-    rows = [(ngrams(*_cut(u), buckets=buckets), y) for u, y in labelled]
+    grams, y = [ngrams(*_cut(u), buckets=buckets) for u, _ in labelled], np.array([y for _, y in labelled], float)
+    sizes = np.array([len(g) for g in grams])
+    at, starts, unit = np.concatenate(grams), np.cumsum(sizes) - sizes, 1 / np.sqrt(sizes)
     w, bias = np.zeros(buckets), 0.0
     for _ in range(steps):
-        g, gb = ridge * w / len(rows), 0.0
-        for at, y in rows:
-            e = (1 / (1 + np.exp(-(w[at].sum() / np.sqrt(len(at)) + bias))) - y) / len(rows)
-            g[at] += e / np.sqrt(len(at))
-            gb += e
-        w, bias = w - 4.0 * g, bias - 1.0 * gb
+        e = (1 / (1 + np.exp(-(np.add.reduceat(w[at], starts) * unit + bias))) - y) / len(y)
+        w -= 4.0 * (ridge * w / len(y) + np.bincount(at, np.repeat(e * unit, sizes), buckets))
+        bias -= e.sum()
     return w, bias
 
 
@@ -161,9 +159,9 @@ def judge(pages: DataFrame, rules=RULES, labelled=LABELLED, threshold: float = 0
     host, path = host_and_path(F.col("url").cast("string"))
     kind = pages.schema["page_id"].dataType.simpleString()
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
+    model = train(labelled)  # once, here: its size is that of ``buckets``
 
     def scored(batches):
-        model = train(labelled)
         for b in batches:
             p = [probability(h, x, model) for h, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], names=["page_id", "host", "path", "score"])
