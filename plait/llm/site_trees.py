@@ -22,6 +22,7 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from collections import defaultdict
 from functools import reduce
 
 import pyarrow as pa
@@ -77,6 +78,7 @@ def blocks(page: str | None, gone: frozenset[int] = frozenset()) -> tuple[list[t
     """The blocks of a page in order, each with its node, and all its presentation nodes; those at or below a node in ``gone`` are not kept."""
     root = _Node("#", frozenset(), None, gone=gone)
     stack, nodes, out, text = [root], [root], [], []
+    places = defaultdict(list)  # where in the stack each tag is open, so that no tag has to search it
     raw = None  # the element whose raw text is being skipped
 
     def flush():
@@ -86,9 +88,16 @@ def blocks(page: str | None, gone: frozenset[int] = frozenset()) -> tuple[list[t
             if s:
                 out.append((stack[-1], s))
 
+    def cut(i):
+        while len(stack) > i:
+            places[stack.pop().tag].pop()
+
     def pop_to(i):
         flush()
-        del stack[i:]
+        cut(i)
+
+    def last(tags):
+        return max((places[t][-1] for t in tags if places[t]), default=0)
 
     page, at = page or "", 0
     while at < len(page):
@@ -122,12 +131,11 @@ def blocks(page: str | None, gone: frozenset[int] = frozenset()) -> tuple[list[t
         if tag in INLINE and (ending or names.isdisjoint(NOISE_NAMES)):
             if tag == "br":
                 text.append(" ")
-            elif ending and any(n.tag == tag for n in stack[-3:]):  # an inline element that a noise name made a block
-                pop_to(max(i for i, n in enumerate(stack) if n.tag == tag))
+            elif ending and last((tag,)) >= max(1, len(stack) - 3):  # an inline element that a noise name made a block
+                pop_to(last((tag,)))
             continue
         if ending:
-            up = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if up:
+            if up := last((tag,)):
                 pop_to(up)
             else:
                 flush()
@@ -138,16 +146,13 @@ def blocks(page: str | None, gone: frozenset[int] = frozenset()) -> tuple[list[t
         if tag in CLOSED_BY_SELF:
             same = ("td", "th") if tag in ("td", "th") else ("dt", "dd") if tag in ("dt", "dd") else (tag,)
             stop = ("ul", "ol", "menu") if tag == "li" else ("table",) if tag in ("tr", "td", "th") else ("dl",) if tag in ("dt", "dd") else ()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in stop or tag in ("td", "th") and stack[i].tag == "tr":
-                    break
-                if stack[i].tag in same:
-                    del stack[i:]
-                    break
+            if (i := last(same)) > last((*stop, "tr") if tag in ("td", "th") else stop):
+                cut(i)
         elif stack[-1].tag == "p":
-            del stack[-1]
+            cut(len(stack) - 1)
         node = _Node(tag, names, stack[-1], whole, gone)
         stack[-1].children.append(tag)
+        places[tag].append(len(stack))
         stack.append(node)
         nodes.append(node)
     flush()

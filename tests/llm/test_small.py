@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -370,6 +371,15 @@ def test_scripts_end_at_their_own_end_tag():
     assert [s for _, s in site_trees.blocks("<p>a<script>b</p></scripted><p>c")[0]] == ["a"]
 
 
+def test_open_tags_cost_no_search():
+    """Unmatched ends and repeated items below many open tags: a search of the open stack would take minutes."""
+    n = 60_000
+    for page in ("<div>" * n + "</p>" * n, "<div>" * n + "<p>x</p>" * n, "<li><ul>" + "<div>" * n + "<li>x</li>" * n):
+        start = time.process_time()
+        found = site_trees.blocks(page)[0]
+        assert len(found) == n * ("x" in page) and time.process_time() - start < 20
+
+
 def test_url_rules_and_model(spark):
     rows = [(1, "http://A.example.org/es/1?x"), (2, "https://b.org"), (3, "https://b.org/"), (4, "http://example.org/en/12"), (5, "http://m.x.com/de/"), (6, "http://notexample.org/es/1"), (7, None), (8, "no scheme"), (9, "http://www.casino-pills.example.net/en/1"), (10, "http://meadow.example.net/en/1")]
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
