@@ -419,13 +419,13 @@ def classes_of(ids, pairs):
     return {i: top(i) for i in up}
 
 
-def brute_force_links(spark, found, read, max_distance, max_other):
+def brute_force_links(spark, found, read, tables, max_distance, max_other):
     """Links of all pairs of descriptors (image_id, place, w0..w3)."""
     w = np.array([f[2:6] for f in found], "<i8")
     ids, bits = np.array([f[0] for f in found]), np.unpackbits(w.view("u1").reshape(len(w), 32), axis=1, bitorder="little").astype("i4")
     differ = lambda x: x @ (1 - x).T + (1 - x) @ x.T
     ok = np.zeros((len(w), len(w)), bool)
-    for t in range(0, 256, read):
+    for t in [i * 256 // tables for i in range(tables)]:
         o = (t // 64 + 2) % 4 * 64
         ok |= (differ(bits[:, t : t + read]) == 0) & (differ(bits[:, o : o + 64]) <= max_other)
     ok &= (differ(bits) <= max_distance) & (ids[:, None] < ids[None])
@@ -446,7 +446,7 @@ def test_image_classes_are_those_of_brute_force(spark, crowded):
         rows.append((i, images.packed_place(90, 90, 1.0, 0.5), *common))
     found = spark.createDataFrame(rows, images.FEATURES)
     links, labels = images.links(found, crowded=crowded)
-    want = brute_force_links(spark, rows, 32, 24, 12)
+    want = brute_force_links(spark, rows, 40, 6, 24, 12)
     assert want == [(0, 4), (0, 9), (1, 7), (4, 9)] and {(x.a, x.b) for x in links.collect()} <= set(want)
     assert {i: 0 for i in (0, 4, 9)} | {1: 1, 7: 1} == {x.node: x.component for x in labels.collect()}
 
@@ -455,7 +455,7 @@ def test_image_copies_with_default_parameters(spark):
     r, height = np.random.default_rng(9), lambda a: [float(a.shape[0]), *a.ravel().tolist()]
     decode = lambda v: np.array(v[1:]).reshape(int(v[0]), -1)
     rows, origin = [], {}
-    for k in range(40):
+    for k in range(14):
         v = r.normal(size=64)
         a = images.from_vector(v)
         edited = a.copy()
@@ -468,7 +468,7 @@ def test_image_copies_with_default_parameters(spark):
     got = {x.image_id: x.class_id for x in images.classes(d, lambda v: decode(v) if v else None).collect()}
     assert len(got) == len(rows) + 3 and all(got[i] == i for i in (900, 901, 902))
     found = [(i, images.packed_place(*f[:4]), *f[4:]) for i, v, *_ in rows for f in images.describe(decode(v))]
-    assert {i: got[i] for i in origin} == classes_of(origin, brute_force_links(spark, found, 32, 24, 12))
+    assert {i: got[i] for i in origin} == classes_of(origin, brute_force_links(spark, found, 40, 6, 24, 12))
     assert all(got[i] in (i, o) for i, o in origin.items())
     for kind in range(1, 6):  # noise, turn, crop, edit, brightness
         copies = [i for i, o in origin.items() if i - o == kind]
@@ -476,6 +476,28 @@ def test_image_copies_with_default_parameters(spark):
     assert images.classes(d.limit(0), decode).count() == 0
 
 
+def test_image_copies_of_other_scales_and_cuts(spark):
+    r, rows = np.random.default_rng(10), []
+    decode = lambda v: np.array(v[1:]).reshape(int(v[0]), -1)
+    stretched = lambda a: images.sample(a, *np.meshgrid(np.arange(64), np.arange(64) * (a.shape[1] - 1) / 63, indexing="ij"))
+    n, edits = 30, 7
+    for k in range(n):
+        a = images.from_vector(r.normal(size=64))
+        small = images.smooth(a)
+        for j, s in enumerate([a, images.resize(small, 0.5), images.resize(small, 0.7), images.resize(a, 0.85), images.resize(a, 1.25), images.resize(a, 1.5), a[:, 32:], stretched(a[:, 8:])]):
+            rows.append((k * (edits + 1) + j, [float(s.shape[0]), *s.ravel().tolist()]))
+    got = {x.image_id: x.class_id for x in images.classes(spark.createDataFrame(rows, "image_id long, image array<double>"), decode).collect()}
+    assert all(got[i] // (edits + 1) == i // (edits + 1) for i in got)
+    for kind in range(1, edits + 1):
+        assert sum(got[k * (edits + 1) + kind] == k * (edits + 1) for k in range(n)) >= 0.9 * n, kind
+
+
+def test_places_of_large_images():
+    assert images.packed_place(260_000.25, 3.5, 1.0, 0.0) != images.packed_place(250_000.25, 3.5, 1.0, 0.0)
+    with pytest.raises(ValueError, match="does not fit"):
+        images.packed_place(300_000, 1, 1.0, 0.0)
+
+
 def test_corners_grow_with_the_image():
     a = np.random.default_rng(3).random((64, 64))
     few, many = images.corners(images.smooth(a), 16), images.corners(images.smooth(np.tile(a, (3, 3))), 16)
