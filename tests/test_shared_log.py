@@ -2,8 +2,11 @@
 
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from plait.operators import heads, network, simulation, splitting
 from plait.plans import learning, scoring, simulating
@@ -70,3 +73,18 @@ def test_half_way_means_round_away_from_zero_whatever_the_order_of_sums(spark):
     low, high = 2.2484374999999996, 2.2484375000000004
     got = spark.createDataFrame([(low,), (high,), (-low,)], "v double").select(learning.settled("v").alias("v")).collect()
     assert [r.v for r in got] == [2.248438, 2.248438, -2.248438] and spark.range(1).select(F.round(F.lit(low), 6)).first()[0] == 2.248437
+
+
+def test_network_reads_a_written_log(spark, no_broadcast):
+    assert "lineitem" not in simulating.mlp_predict(spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_rollout_asks_the_predictor_once_for_each_distinct_context(spark, monkeypatch):
+    p = heads.Predictor.of(heads.fit(simulating.state_rows(spark, SF), 7, 13), simulating.OUTCOME_NAMES)
+    asked, step, size = [], heads.Predictor.step, 5_000
+    monkeypatch.setattr(heads.Predictor, "step", lambda *a: asked.append(1) or step(*a))
+    keep = ["game", "pa", "seq", *simulation.FIELDS]
+    batch = pa.RecordBatch.from_pydict({c: pa.array(range(size) if c == "seq" else [7] * size if c == "game" else [0] * size, pa.int32()) for c in keep})
+    schema = to_arrow_schema(StructType.fromDDL("game int, sim_inning int, p_type int"))
+    got = list(simulation.fold(p, "constrained", 4, ["game"], schema)([batch, batch]))
+    assert sum(b.num_rows for b in got) == 2 * size and 0 < len(asked) < 500
