@@ -38,6 +38,8 @@ SHARDS = "part int, part_first long, n_docs long, n_tokens long, shard binary"
 DECODED = "doc_id long, start long, n_tokens long, ids_crc32 long"
 #: Write partitions at most; the manifest has one row of 16 bytes for each, so it is broadcast.
 MAX_PARTS = 100_000
+#: Words that a worker's tokenizer remembers in each of its two generations, about 200 bytes each; the ids do not depend on it.
+REMEMBERED = 300_000
 
 
 def _level(chunks: np.ndarray, more: np.ndarray, kind: str) -> bytes:
@@ -126,7 +128,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str | None = None, end_id:
     tok_path = tokenizer_path or default_path()
 
     def shards(batches):
-        tok, part = tokenizer(tok_path), TaskContext.get().partitionId()
+        tok, part = tokenizer(tok_path, REMEMBERED), TaskContext.get().partitionId()
         ids, names, n, first = [], [], 0, 0
 
         def flush():
